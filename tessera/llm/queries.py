@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import sources
+from tessera.llm import encoding, sources
 from tessera.session import table
 
 
@@ -20,5 +20,13 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return sources.rates(sources.parsed(table(spark, d, "files")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_rates)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "documents")).filter("garbled").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "documents")).filter("garbled").select("doc_id", "causes", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_rates, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
