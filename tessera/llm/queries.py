@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import encoding, sources
+from tessera.llm import encoding, mixing, packing, sources
+from tessera.llm.tokens import token_count
 from tessera.session import table
 
 
@@ -28,5 +30,23 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents")).filter("garbled").select("doc_id", "causes", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_rates, p10_found, p10_restored)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    return packing.packed(sizes, table(spark, d, "pack_plans"), "doc_id")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_pack(spark, d), table(spark, d, "pack_plans"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "source", token_count(F.col("text")).alias("tokens"))
+    return mixing.mixed(texts, table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_rates, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
