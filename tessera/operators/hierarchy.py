@@ -19,33 +19,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _climb(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pointer doubling over (t, id, up): subtree contributions of all nodes, and the nodes whose way up never ends.
+    """Pointer doubling over (t, id, ord, up): (t, id, gain), the nodes below each node, and the nodes whose way up never ends.
 
     A round doubles the distance of each pointer; a node leaves once its pointer passes the root. Of each node the number of
     nodes less than 2^k below it is kept up by adding the counts of the nodes exactly 2^k below. When a round loses no node, none
     of the rest reaches a root, as depths have no holes.
     """
-    active = cut(edges.select("t", "id", F.col("up").alias("ptr"), F.lit(1).cast("bigint").alias("acc")))
-    n, sizes = active.count(), []
+    active = edges.select("t", "id", "ord", F.col("up").alias("ptr"), F.lit(1).cast("bigint").alias("acc"))
+    n, rounds = active.count(), []
     while n:
-        gain = cut(active.groupBy("t", F.col("ptr").alias("id")).agg(F.sum("acc").alias("gain")))
-        sizes.append(gain)
+        rounds.append(active.select("t", F.col("ptr").alias("id"), F.col("acc").alias("gain")))
+        gain = rounds[-1].groupBy("t", "id").agg(F.sum("gain").alias("gain"))
         jump = active.select("t", F.col("id").alias("ptr"), F.col("ptr").alias("far"))
         active = active.join(jump, ["t", "ptr"]).join(gain, ["t", "id"], "left")
-        active = cut(active.select("t", "id", F.col("far").alias("ptr"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")))
+        active = cut(active.select("t", "id", "ord", F.col("far").alias("ptr"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")))
         n, was = active.count(), n
         if n == was:
             break
-    return (_union(sizes) if sizes else active.select("t", "id", F.col("acc").alias("gain"))), active.select("t", "id")
+    below = _union(rounds) if rounds else active.select("t", "id", F.col("acc").alias("gain"))
+    return below.groupBy("t", "id").agg(F.sum("gain").alias("gain")), active.select("t", "id", "ord", "ptr")
 
 
 def _circles(edges: DataFrame, lost: DataFrame) -> DataFrame:
     """(t, id, root) of nodes on or under a circle; root is the least id on it, by (ord, id).
 
-    Pointers double until their images stop getting fewer: these are then the circles. On them the least id within 2^k steps
-    doubles until it no longer changes.
+    `lost` are these nodes with far pointers. Pointers double until their images stop getting fewer: these are then the circles.
+    On them the least id within 2^k steps doubles until it no longer changes.
     """
-    lost = cut(edges.join(lost, ["t", "id"], "left_semi").select("t", "id", "ord", F.col("up").alias("ptr")))
     hop, images = lost.select("t", "id", "ptr"), -1
     while True:
         n = hop.select("t", "ptr").distinct().count()
@@ -54,40 +54,41 @@ def _circles(edges: DataFrame, lost: DataFrame) -> DataFrame:
         images = n
         far = hop.select("t", F.col("id").alias("ptr"), F.col("ptr").alias("far"))
         hop = cut(hop.join(far, ["t", "ptr"]).select("t", "id", F.col("far").alias("ptr")))
+    if not n:
+        return hop.select("t", "id", F.col("ptr").alias("root"))
     ring = hop.select("t", F.col("ptr").alias("id")).distinct()
-    walk = cut(lost.join(ring, ["t", "id"], "left_semi").select("t", "id", "ptr", F.struct("ord", "id").alias("least")))
-    while images > 0:
+    walk = cut(edges.join(ring, ["t", "id"]).select("t", "id", F.col("up").alias("ptr"), F.struct("ord", "id").alias("least"), F.lit(True).alias("changed")))
+    while not walk.filter("changed").isEmpty():
         far = walk.select("t", F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("least").alias("l2"))
-        new = walk.join(far, ["t", "ptr"]).select("t", "id", F.col("far").alias("ptr"), F.least("least", "l2").alias("least"), (F.col("l2") < F.col("least")).alias("changed"))
-        walk = cut(new)
-        if walk.filter("changed").isEmpty():
-            break
+        walk = cut(walk.join(far, ["t", "ptr"]).select("t", "id", F.col("far").alias("ptr"), F.least("least", "l2").alias("least"), (F.col("l2") < F.col("least")).alias("changed")))
     roots = walk.select("t", F.col("id").alias("ptr"), F.col("least.id").alias("root"))
-    return hop.join(roots, ["t", "ptr"]).select("t", "id", "root")
+    return cut(hop.join(roots, ["t", "ptr"]).select("t", "id", "root"))
+
+
+def _to_the_top(links: DataFrame, sums: list[str]) -> DataFrame:
+    """Pointer doubling over (t, id, ptr, sums...), until each pointer stands on something that is no `id`; the sums add up."""
+    state = links.select("t", "id", "ptr", *sums, F.lit(False).alias("end"))
+    while True:
+        far = state.select("t", F.col("id").alias("ptr"), F.col("ptr").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in sums], F.col("end").alias("end_2"))
+        open_, ended = state.filter("NOT end"), state.filter("end")
+        step = open_.join(far, ["t", "ptr"], "left").select(
+            "t", "id", F.coalesce("p2", "ptr").alias("ptr"), *[(F.col(c) + F.coalesce(f"{c}_2", F.lit(0))).alias(c) for c in sums],
+            F.coalesce("end_2", F.lit(True)).alias("end"),
+        )
+        state = cut(ended.unionByName(step))
+        if state.filter("NOT end").isEmpty():
+            return state.drop("end")
 
 
 def _chains(edges: DataFrame, size: DataFrame) -> DataFrame:
-    """(t, id, head, pos): each node with an edge to or from it, its chain's head and its place in the chain.
+    """(t, id, head, pos): each node that continues a chain, with the chain's head and its place in it.
 
     Of a node's children the one with the largest subtree continues its chain; any way up passes at most log2(n) chains.
     """
     sized = edges.select("t", "id", "up").join(size, ["t", "id"], "left").withColumn("size", F.coalesce("gain", F.lit(0)) + 1)
-    heavy = sized.groupBy("t", "up").agg(F.max(F.struct("size", "id")).alias("x")).select("t", F.col("x.id").alias("id"), "up")
-    heavy = cut(heavy)
-    done: list[DataFrame] = []
-    walk = heavy.select("t", "id", F.col("up").alias("ptr"), F.lit(1).cast("bigint").alias("pos"))
-    # A pointer that leaves the heavy children stands on a head.
-    is_head = walk.join(heavy.select("t", F.col("id").alias("ptr")), ["t", "ptr"], "left_anti")
-    done.append(cut(is_head))
-    todo = cut(walk.join(heavy.select("t", F.col("id").alias("ptr")), ["t", "ptr"], "left_semi"))
-    while not todo.isEmpty():
-        known = _union(done)
-        state = known.withColumn("end", F.lit(True)).unionByName(todo.withColumn("end", F.lit(False)))
-        far = state.select("t", F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("pos").alias("d2"), "end")
-        step = cut(todo.join(far, ["t", "ptr"]).select("t", "id", F.col("p2").alias("ptr"), (F.col("pos") + F.col("d2")).alias("pos"), "end"))
-        done.append(step.filter("end").drop("end"))
-        todo = step.filter("NOT end").drop("end")
-    return _union(done).select("t", "id", F.col("ptr").alias("head"), "pos")
+    heavy = sized.groupBy("t", "up").agg(F.max(F.struct("size", "id")).alias("x"))
+    heavy = cut(heavy.select("t", F.col("x.id").alias("id"), F.col("up").alias("ptr"), F.lit(1).cast("bigint").alias("pos")))
+    return _to_the_top(heavy, ["pos"]).select("t", "id", F.col("ptr").alias("head"), "pos")
 
 
 def _prefixed_lights(edges: DataFrame, size: DataFrame, member: DataFrame) -> DataFrame:
@@ -117,11 +118,11 @@ class Forest:
         self.nodes = nodes = cut(nodes.filter("id IS NOT NULL").select("t", "id", "ord", "up"))
         ids = nodes.select("t", F.col("id").alias("up"))
         edges = cut(nodes.filter("up IS NOT NULL").join(ids, ["t", "up"], "left_semi").select("t", "id", "ord", "up"))
-        gains, lost = _climb(edges)
-        self.circles = cut(_circles(edges, lost))
-        self.edges = edges = cut(edges.join(lost, ["t", "id"], "left_anti"))
-        ends = lost.select("t", "id")
-        self.size = cut(gains.groupBy("t", "id").agg(F.sum("gain").alias("gain")).join(ends, ["t", "id"], "left_anti"))
+        below, lost = _climb(edges)
+        self.circles = _circles(edges, lost)
+        gone = lost.select("t", "id")
+        self.edges = edges = cut(edges.join(gone, ["t", "id"], "left_anti"))
+        self.size = cut(below.join(gone, ["t", "id"], "left_anti"))
         self.member = _chains(edges, self.size)
 
     def placed(self, intervals: bool = False) -> DataFrame:
@@ -137,17 +138,7 @@ class Forest:
             "t", "head", F.coalesce("above", "up").alias("ptr"), (F.coalesce("at", F.lit(0)) + 1).cast("bigint").alias("depth"),
             (F.coalesce("at", F.lit(0)) + 1 + F.col("before")).cast("bigint").alias("pre"),
         )
-        links, done = cut(links), []
-        todo = links
-        done.append(links.join(links.select("t", F.col("head").alias("ptr")), ["t", "ptr"], "left_anti"))
-        todo = cut(links.join(links.select("t", F.col("head").alias("ptr")), ["t", "ptr"], "left_semi"))
-        while not todo.isEmpty():
-            state = _union(done).withColumn("end", F.lit(True)).unionByName(todo.withColumn("end", F.lit(False)))
-            far = state.select("t", F.col("head").alias("ptr"), F.col("ptr").alias("p2"), F.col("depth").alias("d2"), F.col("pre").alias("q2"), "end")
-            step = cut(todo.join(far, ["t", "ptr"]).select("t", "head", F.col("p2").alias("ptr"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("pre") + F.col("q2")).alias("pre"), "end"))
-            done.append(step.filter("end").drop("end"))
-            todo = step.filter("NOT end").drop("end")
-        self.chain_roots = chains = _union(done).select("t", "head", F.col("ptr").alias("root"), "depth", "pre")
+        chains = _to_the_top(cut(links.withColumnRenamed("head", "id")), ["depth", "pre"]).select("t", F.col("id").alias("head"), F.col("ptr").alias("root"), "depth", "pre")
         heads = chains.select("t", F.col("head").alias("id"), "root", "depth", "pre")
         rest = self.member.join(chains, ["t", "head"], "left").select(
             "t", "id", F.coalesce("root", "head").alias("root"), (F.coalesce("depth", F.lit(0)) + F.col("pos")).alias("depth"), (F.coalesce("pre", F.lit(0)) + F.col("pos")).alias("pre")
@@ -206,7 +197,7 @@ def issue_nodes(issues: DataFrame) -> DataFrame:
     """
     bare = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     held = issues.select(bare(F.col("id")).alias("k"), F.struct("updated", "id", "parent").alias("x")).filter("k IS NOT NULL")
-    held = cut(held.groupBy("k").agg(F.max("x").alias("x")).select("k", "x.id", bare(F.col("x.parent")).alias("pk"), "x.parent"))
+    held = held.groupBy("k").agg(F.max("x").alias("x")).select("k", "x.id", bare(F.col("x.parent")).alias("pk"), "x.parent")
     names = held.select(F.col("k").alias("pk"), F.col("id").alias("up"))
     named = F.when(F.col("pk") != "", F.coalesce("up", F.concat(F.lit("\u0000"), "parent")))  # not in the table: a name no node has
     return held.join(names, "pk", "left").select(F.lit("issues").alias("t"), "id", F.lit(0).cast("bigint").alias("ord"), named.alias("up"))
