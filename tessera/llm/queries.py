@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encoding, mixing, packing, sources
+from tessera.llm import encoding, mixing, packing, pii, sources
 from tessera.llm.tokens import token_count
 from tessera.session import table
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "comments").select(F.lit("comments").alias("tbl"), F.col("id").alias("row_id"), "text")
+    runs = table(spark, d, "runs").select(F.lit("runs").alias("tbl"), F.col("id").cast("string").alias("row_id"), F.col("title").alias("text"))
+    return pii.scanned(comments.unionByName(runs), table(spark, d, "people"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(_scans(spark, d))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).filter("redacted IS NOT NULL").select("tbl", "row_id", "redacted").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sources.parsed(table(spark, d, "files")).filter("NOT valid").select("id")
 
@@ -48,5 +62,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_rates, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_errors, p4_rates, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
