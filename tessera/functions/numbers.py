@@ -27,10 +27,14 @@ def upper_quartile(sorted_values: Column) -> Column:
     return F.when(n > 0, F.get(sorted_values, F.least(n - 1, F.floor(n * 3 / 4)).cast("int")))
 
 
-@F.pandas_udf("double")
-def exact_tenths(x: pd.Series) -> pd.Series:
+def exact_tenths(x: Column) -> Column:
     """One decimal, halves up by the exact binary value, so that 1.15 (which is a little less) gives 1.1."""
-    return x.map(lambda v: v if v is None or v != v or v in (float("inf"), float("-inf")) else float(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP)))
+
+    @F.pandas_udf("double")
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None or v != v or v in (float("inf"), float("-inf")) else float(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP)))
+
+    return exact(x)
 
 
 def weighted_cost(fresh: Column, write_5m: Column, write_1h: Column, read: Column, output: Column) -> Column:
