@@ -24,6 +24,6 @@ def token_count(text: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABU
         t = Tokenizer.from_file(os.path.join(folder, vocabulary))
         t.encode_special_tokens = True
         for texts in batches:
-            yield pd.Series([len(e.ids) for e in t.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+            yield pd.Series([len(t.encode(x, add_special_tokens=False)) if x else 0 for x in texts], dtype="int64")
 
     return count(text)
