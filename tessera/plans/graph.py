@@ -63,13 +63,16 @@ def g3_focused_rank(s: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.round("rank", 6).alias("rank"))
 
 
-_SUPER = f"sup AS (SELECT DISTINCT name AS a, trim(regexp_replace(s, '<.*>', '')) AS b FROM (SELECT name, unnest(string_split(supertypes, ' ')) AS s FROM de WHERE kind IN {TYPES} AND supertypes <> '') WHERE s <> '')"
+_SUPER = f"""sup AS (SELECT name AS a, trim(regexp_replace(s, '<.*>', '')) AS b FROM (SELECT name, unnest(string_split(supertypes, ' ')) AS s FROM de WHERE kind IN {TYPES} AND supertypes <> '') WHERE s <> ''
+ UNION SELECT name, regexp_extract(container, '[^.]*$') FROM de WHERE kind IN {TYPES} AND container <> '')"""
 
 
 def supertype_edges(s: SparkSession, d: str) -> DataFrame:
-    """(a, b): a type's name and the names of its supertypes, arguments erased; names outside the tables are kept."""
-    rows = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum") & (F.col("supertypes") != ""))
-    return rows.select(F.col("name").alias("a"), F.explode(F.split("supertypes", " ")).alias("s")).filter("s <> ''").select("a", base_type(F.col("s")).alias("b")).distinct()
+    """(a, b): a type's name and the types it stands under, its supertypes without arguments and the type around it; outside names are kept."""
+    rows = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum"))
+    named = rows.filter("supertypes <> ''").select(F.col("name").alias("a"), F.explode(F.split("supertypes", " ")).alias("s")).filter("s <> ''").select("a", base_type(F.col("s")).alias("b"))
+    around = rows.filter("container <> ''").select(F.col("name").alias("a"), F.regexp_extract("container", "[^.]*$", 0).alias("b"))
+    return named.unionByName(around).distinct()
 
 
 @query("WITH " + _SUPER + ", cl AS (SELECT a AS start, b AS id, 1::BIGINT AS depth FROM sup UNION SELECT cl.start, sup.b, depth + 1 FROM cl JOIN sup ON sup.a = cl.id WHERE depth < 12) SELECT start, id, min(depth) AS depth FROM cl WHERE id <> start GROUP BY ALL")
