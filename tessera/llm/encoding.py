@@ -27,6 +27,9 @@ PAIR_GAIN, TOTAL_GAIN, SPAN_GAIN = 2.0, 9.0, 1.0
 ROUNDS = 4
 SEEN = 100_000  # runs and words whose re-readings a worker remembers, to save work only
 _RIGHT = re.compile("[ -ſƒȘ-țˆ-˝Ά-ώЀ-џҐґẀ-ỹ‐-⁞€℀-⅏←-⋿①-➿﻿�\U0001f300-\U0001faff]+")
+#: The letters of the languages met here and the common marks, which need no corpus to be likely.
+_USUAL = frozenset("áčďéěíňóřšťúůýžäöüßàâçèêëîïôùûüÿœæąćęłńśźżãõñøåÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÄÖÜÀÂÇÈÊËÎÏÔÙÛŒĄĆĘŁŃŚŹŻÃÕÑ–—‘’“”„…«»•€™©®°§ ") | frozenset(map(chr, range(0x410, 0x450))) | {"ё", "Ё"}
+_CONTROLS = re.compile("[\x80-\x9f]")
 _FOREIGN = re.compile("[^\x00-\x7f]+")
 
 
@@ -82,14 +85,14 @@ def pairs(text: str) -> list[str]:
 
 
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n) over all texts. There are at most some 800 classes of characters, so at most 640 000 pairs at any size."""
+    """(pair, n): in how many texts a pair occurs, over all texts, so that no long text decides what is usual. There are at most some 800 classes of characters, so at most 640 000 pairs at any size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for b in batches:
             for t in b["t"]:
                 if not t.isascii():
-                    n.update(pairs(t))
+                    n.update(set(pairs(t)))
         yield pd.DataFrame({"pair": list(n), "n": list(n.values())}).astype({"pair": "str", "n": "int64"})
 
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(text).alias("t"))
@@ -127,12 +130,17 @@ def _run_spans(left: str, run: str, right: str, likely: Likelihood) -> list[tupl
         for m in automaton(name).finditer(run):
             a, b = m.span()
             new = decoded(m[0], name)
-            if new is None or not _RIGHT.fullmatch(new):
+            if new is None:
+                continue
+            again = b - a >= 4 and decoded_again(new)
+            if not _RIGHT.fullmatch(_CONTROLS.sub("", new) or " " if again else new):
                 continue
             before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
-            gain = likely.mean(before + new + after) - likely.mean(before + m[0] + after)
-            # What was read twice stays garbled after one reading, so it only has to become shorter in bytes that make sense.
-            if gain >= SPAN_GAIN or (b - a >= 4 and decoded_again(new)):
+            was = likely.mean(before + m[0] + after)
+            gain = likely.mean(before + new + after) - was
+            # What was read twice stays garbled after one reading, so it only has to become shorter in bytes that make sense. Where
+            # the corpus knows neither reading, the bytes' structure decides, if it gives usual characters.
+            if gain >= SPAN_GAIN or (gain >= 0 and was < likely.rare and b - a == len(run) and _USUAL.issuperset(new)) or again:
                 found.append((a, b, new, name, gain))
     found.sort(key=lambda x: (x[0] - x[1], -x[4]))
     taken, out = [], []
@@ -176,10 +184,12 @@ def _rereadings(word: str, likely: Likelihood) -> list[tuple[int, str, float]]:
             continue
         new = "".join(c if c.isascii() else back[there[c]] for c in word)
         t2, n2 = likely.of(new)
-        if new == word or not n2 or (len(word) == 1 and not (word.isalpha() and new in "–—…")):
+        if new == word or not n2:
             continue
-        if t2 / n2 - total / n >= PAIR_GAIN and _letters(new):
-            out.append((k, new, (t2 / n2 - total / n) * n))
+        # A letter alone is no evidence, unless it stands for a dash; it follows the other words.
+        alone = sum(map(str.isalpha, word)) < 2 and sum(map(str.isalpha, new)) < 2 and not (word.isalpha() and new in "–—…")
+        if t2 / n2 - total / n >= PAIR_GAIN and t2 / n2 >= likely.rare and _letters(new):
+            out.append((k, new, 0.0 if alone else (t2 / n2 - total / n) * n))
     return out
 
 
@@ -252,6 +262,8 @@ def likelihood(counts: dict[str, int]) -> Likelihood:
     out.none = min(out.none, 0.0) - 1.0
     # A word is odd if its pairs are, on the mean, less than one in some thousands of all pairs.
     out.odd = math.log(total) - 7.0
+    # A reading whose pairs are, on the mean, rarer than one in some hundred thousand is unknown to the corpus.
+    out.rare = min(out.odd - 3.5, math.log(total) / 2)
     return out
 
 

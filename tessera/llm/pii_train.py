@@ -118,7 +118,7 @@ def examples(n: int, seed: int) -> list[tuple[str, set, Names]]:
         text, gold = example(r)
         words = {fold(w) for a, b, k in gold if k == "name" for w in text[a:b].replace(",", " ").split()}
         given = frozenset(fold(g) for g in GIVENS if r.random() < 0.9)
-        out.append((text, gold, Names(given, frozenset(w for w in words if w not in map(fold, GIVENS) and r.random() < 0.5))))
+        out.append((text, gold, Names(given, frozenset(w for w in sorted(words) if w not in map(fold, GIVENS) and r.random() < 0.5))))
     return out
 
 

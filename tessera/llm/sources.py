@@ -40,7 +40,7 @@ _JAVA = re.compile(
 _OWN = {"+", "-", "*", "<", ">", "&&", "="}  # operators that the Kotlin grammar names
 _KOTLIN_BINARY = frozenset("/ % == != === !== <= >= || ?: .. ..<".split())
 _ASSIGN = frozenset("+= -= *= /= %= &= |= ^= <<=".split())
-_JAVA_BINARY = frozenset("* / % == != <= && || ^ <<".split())
+_JAVA_BINARY = frozenset("/ % == != <= && || ^ <<".split())
 _GOES_ON_AFTER = frozenset(" =| +| -| *| <| &&| .| ?.| ::| ->| (| [| ,| :| !| @| in| !in| is| !is| as| as?|BINOP|ASSIGN| &".split("|"))
 _GOES_ON_BEFORE = frozenset(" .| ?.| ::| )| ]| ,| {| =| :| ->| else| as| as?| where| by| &&|ASSIGN| &".split("|"))
 _CONTINUES = frozenset("|| ?:".split())
@@ -140,6 +140,8 @@ def scan_kotlin(text: str) -> tuple[list[str], list[int]]:
                 continue
             if tok in ("!is", "!in"):
                 put(" " + tok, at)
+            elif tok == "*" and kinds and kinds[-1] == " .":
+                put("STAR", at)  # of an import, after which a line may end
             elif tok in ("++", "--"):
                 put("INCR", at)
             elif tok in _KOTLIN_BINARY:
