@@ -103,7 +103,7 @@ class Likelihood:
     """How usual pairs of characters are in the corpus."""
 
     def __init__(self, counts: dict[str, int]):
-        self.logs = {p: math.log(n) for p, n in counts.items()}
+        self.logs = {p: math.log(n) for p, n in counts.items() if n > 1}  # a pair in one text says nothing about that text
         self.none = -2.0
         self.seen: dict[tuple, list] = {}
         self.words: dict[str, list] = {}
@@ -262,8 +262,8 @@ def likelihood(counts: dict[str, int]) -> Likelihood:
     out.none = min(out.none, 0.0) - 1.0
     # A word is odd if its pairs are, on the mean, less than one in some thousands of all pairs.
     out.odd = math.log(total) - 7.0
-    # A reading whose pairs are, on the mean, rarer than one in some hundred thousand is unknown to the corpus.
-    out.rare = min(out.odd - 3.5, math.log(total) / 2)
+    # A reading whose pairs are, on the mean, in three texts at most or in less than one of 30 000 is unknown to the corpus.
+    out.rare = max(out.odd - 3.5, 1.1)
     return out
 
 
