@@ -5,7 +5,8 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,21 @@ def upper_quartile(sorted_values: Column) -> Column:
     return F.when(n > 0, F.get(sorted_values, F.least(n - 1, F.floor(n * 3 / 4)).cast("int")))
 
 
+def picked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, p75, total) of an integer column by the rules of `median` and `upper_quartile`; nulls don't count.
+
+    Values are counted before they are ranked, so that a hot group is combined before the shuffle and only its distinct values are
+    ordered; no group is collected.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    c = c.withColumns({"_upto": F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    low, high = at(F.floor((F.col("_all") - 1) / 2)), at(F.floor(F.col("_all") / 2))
+    mid = F.when(F.max("_all") % 2 == 1, high.cast("double")).otherwise(half_up((low + high) / 2).cast("double"))
+    return c.groupBy(*keys).agg(mid.alias("median"), at(F.least(F.col("_all") - 1, F.floor(F.col("_all") * 3 / 4))).alias("p75"), F.sum(F.col("_v") * F.col("_n")).alias("total"))
+
+
 def exact_tenths(x: Column) -> Column:
     """One decimal, halves up by the exact binary value, so that 1.15 (which is a little less) gives 1.1."""
 

@@ -37,7 +37,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None
         lost = state.filter("NOT out").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = state.join(share, state["id"] == share["a"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("s")).alias("g"))
         rank = damping * F.coalesce("g", F.lit(0.0)) + (damping * F.col("lost") + (1 - damping)) * F.col("jump")
-        new = state.join(given, state["id"] == given["b"], "left").crossJoin(F.broadcast(lost))
+        new = state.join(given, state["id"] == given["b"], "left").join(F.broadcast(lost), F.lit(True))  # one row
         state = new.select("id", "jump", "out", rank.alias("new"), F.abs(rank - F.col("rank")).alias("moved")).withColumnRenamed("new", "rank")
         if i % every == 0 or i == rounds:
             state = cut(state)

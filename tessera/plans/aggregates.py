@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import exact_tenths, half_up, median, upper_quartile, weighted_cost
+from tessera.functions.numbers import exact_tenths, half_up, picked, weighted_cost
 from tessera.operators.filters import first_rule
 from tessera.plans import base as b
 from tessera.plans.filters import _CASE, RULES
@@ -106,17 +106,9 @@ _PICK = "CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1]::DOUBLE ELSE floor((v[
 
 @query("SELECT role, measure, " + _PICK + ", list_sum(v)::BIGINT AS total FROM (SELECT role, measure, list_sort(list(value)) AS v FROM (UNPIVOT (SELECT role, " + ", ".join(f"{m}::BIGINT AS {m}" for m in MEASURES) + " FROM ru) ON " + ", ".join(MEASURES) + " INTO NAME measure VALUE value) GROUP BY ALL)")
 def a10_role_summary(s: SparkSession, d: str) -> DataFrame:
-    """Median, upper quartile and sum of 14 measures by role. Values are counted before they are ranked, so a role's task sees
-    distinct values and running counts, never all rows."""
+    """Median, upper quartile and sum of 14 measures by role."""
     r = b.runs(s, d).select("role", *[F.col(m).cast("bigint").alias(m) for m in MEASURES])
-    long = r.unpivot("role", list(MEASURES), "measure", "value").filter("value IS NOT NULL")
-    c = long.groupBy("role", "measure", "value").agg(n_())
-    w = W.partitionBy("role", "measure")
-    c = c.withColumns({"upto": F.sum("n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    low, high = at(F.floor((F.col("all") - 1) / 2)), at(F.floor(F.col("all") / 2))
-    mid = F.when(F.max("all") % 2 == 1, high.cast("double")).otherwise(half_up((low + high) / 2).cast("double"))
-    return c.groupBy("role", "measure").agg(mid.alias("median"), at(F.least(F.col("all") - 1, F.floor(F.col("all") * 3 / 4))).alias("p75"), F.sum(F.col("value") * F.col("n")).alias("total"))
+    return picked(r.unpivot("role", list(MEASURES), "measure", "value"), ["role", "measure"], "value")
 
 
 @query("WITH g AS (SELECT role, kind, sum(cost) AS c, count(*) AS n FROM ru GROUP BY ALL) SELECT role, kind, round(100.0 * c / sum(c) OVER (PARTITION BY role), 4) AS cost_share, round(100.0 * n / sum(n) OVER (PARTITION BY role), 4) AS run_share FROM g")
@@ -178,7 +170,7 @@ def a18_boilerplate(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT role, kind, CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1]::DOUBLE ELSE floor((v[len(v) // 2] + v[len(v) // 2 + 1]) / 2.0 + 0.5) END AS median FROM (SELECT role, kind, list_sort(list(input)) AS v FROM ru WHERE input IS NOT NULL GROUP BY ALL)")
 def a19_start_context(s: SparkSession, d: str) -> DataFrame:
-    return b.runs(s, d).filter("input IS NOT NULL").groupBy("role", "kind").agg(median(F.sort_array(F.collect_list("input"))).alias("median"))
+    return picked(b.runs(s, d), ["role", "kind"], "input").select("role", "kind", "median")
 
 
 @query("SELECT name, count(*) AS n, min(fqn) AS example FROM de GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, name LIMIT 25")
@@ -378,7 +370,7 @@ def fn_exact_tenths(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT role, v[least(len(v) - 1, 3 * len(v) // 4) + 1] AS p75 FROM (SELECT role, list_sort(list(turns)) AS v FROM ru GROUP BY 1)")
 def fn_upper_quartile(s: SparkSession, d: str) -> DataFrame:
-    return b.runs(s, d).groupBy("role").agg(upper_quartile(F.sort_array(F.collect_list("turns"))).alias("p75"))
+    return picked(b.runs(s, d), ["role"], "turns").select("role", "p75")
 
 
 @query("SELECT id, floor((cost - 10000) / 1000.0 + 0.5)::BIGINT AS half_up, (input + cw5m * 1.25 + cw1h * 2 + cache_read * 0.1 + output * 5)::DOUBLE AS weighted FROM ru")

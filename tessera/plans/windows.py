@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as op
+from tessera.operators.blocks import LEAF_ROWS, ordered_blocks
 from tessera.plans import base as b
 from tessera.plans.joins import _TURNS, turns
 from tessera.plans.scans import document_lines
@@ -114,17 +115,32 @@ _STATUS = """e AS (SELECT user_id AS k, CASE event_type WHEN 'signup' THEN 'A' W
 c AS (SELECT k, i, s AS v FROM e WHERE i = 1 UNION ALL SELECT e.k, e.i, CASE WHEN c.v = '' THEN e.s WHEN c.v = 'A' AND e.s = 'D' THEN '' WHEN c.v = 'A' THEN 'A' WHEN e.s = 'D' THEN 'D' WHEN c.v = 'D' AND e.s = 'A' THEN 'M' ELSE c.v END FROM c JOIN e ON e.k = c.k AND e.i = c.i + 1)"""
 
 
-def fold_status(marks):  # noqa: ANN001, ANN201
+def fold_status(marks: Column, before: str = "") -> Column:
     """The state of ordered marks: added then deleted is gone, deleted then added is modified, the first of the rest stays."""
     step = lambda a, m: F.when(a == "", m).when((a == "A") & (m == "D"), F.lit("")).when(a == "A", a).when(m == "D", m).when((a == "D") & (m == "A"), F.lit("M")).otherwise(a)
-    return F.aggregate(marks, F.lit(""), step)
+    return F.aggregate(marks, F.lit(before), step)
 
 
-@query(f"WITH {_STATUS} SELECT k AS user_id, v AS status FROM c WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1 AND v <> ''")
+def folded_status(marks: DataFrame, key: str, order: list[str], mark: str, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(key, status) after all marks of a key in their order, empty for gone.
+
+    A block of marks is a table from the state before to the state after; tables chain, so a key with very many marks is cut into
+    blocks and only their tables meet.
+    """
+    states = ("", "A", "M", "D")
+    blocked, _ = ordered_blocks(marks.select(key, *order, mark), [key], order, leaf_rows)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(*order, mark))), lambda x: x[mark])
+    leaves = blocked.groupBy(key, "_block").agg(ordered.alias("x"))
+    after = F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*[fold_status(F.col("x"), x) for x in states]))
+    chain = leaves.select(key, "_block", after.alias("t")).groupBy(key).agg(F.collect_list(F.struct("_block", F.map_entries("t").alias("t"))).alias("b"))
+    tables = F.transform(F.array_sort("b"), lambda x: F.map_from_entries(x["t"]))
+    return chain.select(key, F.aggregate(tables, F.lit(""), lambda a, t: F.element_at(t, a)).alias("status"))
+
+
+@query()
 def w14_status_fold(s: SparkSession, d: str) -> DataFrame:
     mark = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "D").otherwise("M")
-    e = b.events(s, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", mark.alias("m")))).alias("x"))
-    return e.select("user_id", fold_status(F.transform("x", lambda x: x["m"])).alias("status")).filter("status <> ''")
+    return folded_status(b.events(s, d).select("user_id", "ts", "event_id", mark.alias("m")), "user_id", ["ts", "event_id"], "m").filter("status <> ''")
 
 
 SQL["w14_status_fold"] = b.PRELUDE + f", {_STATUS} SELECT k AS user_id, v AS status FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1) WHERE v <> ''"
@@ -140,7 +156,7 @@ def w15_heaviest(s: SparkSession, d: str) -> DataFrame:
 ORDER = " _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$0123456789abcdefghijklmnopqrstuvwxyz"  # fixed value: marks, then digits, then letters
 
 
-def path_key(path):  # noqa: ANN001, ANN201
+def path_key(path: Column) -> Column:
     """A key that sorts paths alike everywhere: marks before digits before letters, letters without case, then shorter, then lower case first."""
     targets = "".join(chr(0x100 + i) for i in range(len(ORDER)))
     return F.struct(F.translate(F.lower(path), ORDER, targets).alias("a"), F.translate(path, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz").alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import Row
 
 from tessera.functions import numbers, text, words
 from tessera.operators import filters, graph, search, tables
-from tessera.plans.windows import fold_status, path_key
+from tessera.plans.windows import fold_status, folded_status, path_key
 
 
 def col(df, name):
@@ -55,6 +55,17 @@ def test_status_folds(spark):
     assert col(df.select(fold_status(F.col("m")).alias("s")), "s") == ["A", "", "M", "D", ""]
 
 
+@pytest.mark.parametrize("leaf", [1, 3, 4096])
+def test_status_over_blocks(spark, leaf):
+    import random
+
+    r = random.Random(leaf)
+    rows = [(r.choice("hhhk"), i, r.choice("AMMD")) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int, m string")
+    whole = df.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m")).select("k", fold_status(F.col("m")).alias("status"))
+    assert {tuple(x) for x in folded_status(df, "k", ["i"], "m", leaf).collect()} == {tuple(x) for x in whole.collect()}
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, None, 1), (2, "b", 2)], "k int, v string, n int")
     new = spark.createDataFrame([(1, "a", 5), (2, "x", 6), (3, "c", 7)], old.schema)
