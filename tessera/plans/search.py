@@ -11,6 +11,7 @@ from tessera.operators import search as op
 from tessera.plans import base as b
 from tessera.plans.joins import document_files, document_tasks
 from tessera.plans.scans import document_lines
+from tessera.session import written
 
 query = b.Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -142,7 +143,7 @@ _BM = f"""dw AS (SELECT doc_id, {stems_sql('text')} AS ws FROM documents), n AS
 @query(f"WITH {_BM}, e AS (SELECT qid, d.term, CASE WHEN d.term = qt.term THEN 1.0 ELSE 0.6 END AS w FROM qt JOIN dfr d ON d.term = qt.term OR (length(qt.term) >= 5 AND starts_with(d.term, qt.term))) SELECT qid, doc_id, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM tk JOIN e USING (term) JOIN dfr USING (term) CROSS JOIN n GROUP BY ALL")
 def q9_okapi(s: SparkSession, d: str) -> DataFrame:
     """Okapi BM25 with prefix expansion from five characters; an expanded word counts 0.6 with its own rarity."""
-    docs = b.documents(s, d).select("doc_id", stems(F.col("text")).alias("ws"))
+    docs = written(b.documents(s, d).select("doc_id", stems(F.col("text")).alias("ws")))  # stemmed once
     tokens = op.token_table(docs, "doc_id", "ws")
     terms = op.expanded_terms(_questions(s), op.document_frequency(tokens).select("term"), 5, 0.6)
     return op.bm25(tokens, op.corpus_size(docs, "ws"), terms, "doc_id").withColumn("score", F.round("score", 6))
@@ -184,7 +185,7 @@ def q12_query_terms(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BM} SELECT qid, doc_id, round(score, 6) AS score FROM (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score FROM tk JOIN qt USING (term) JOIN dfr USING (term) JOIN documents USING (doc_id) CROSS JOIN n WHERE source = 'facts' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) <= 10")
 def q13_fact_search(s: SparkSession, d: str) -> DataFrame:
-    docs = b.documents(s, d).select("doc_id", "source", stems(F.col("text")).alias("ws"))
+    docs = written(b.documents(s, d).select("doc_id", "source", stems(F.col("text")).alias("ws")))
     tokens = op.token_table(docs, "doc_id", "ws")
     scores = op.bm25(tokens, op.corpus_size(docs, "ws"), _questions(s).withColumn("w", F.lit(1.0)), "doc_id")
     facts = scores.join(docs.filter("source = 'facts'").select("doc_id"), "doc_id", "left_semi").withColumn("score", F.round("score", 6))
@@ -199,7 +200,7 @@ def q14_near_duplicates(s: SparkSession, d: str) -> DataFrame:
     """Word sets alike by 0.85 that name the same numbers."""
     ws = F.array_sort(F.array_distinct(stems(F.col("text"))))
     docs = b.documents(s, d).select("doc_id", ws.alias("ws")).withColumn("numbers", F.array_join(F.filter("ws", lambda w: w.rlike("[0-9]")), " "))
-    return op.similar_sets(docs, "doc_id", "ws", 0.85, "numbers")
+    return op.similar_sets(written(docs), "doc_id", "ws", 0.85, "numbers")
 
 
 @query(f"WITH t AS (SELECT DISTINCT id, unnest({stems_sql('summary')}) AS term FROM iss), {_QT}, h AS (SELECT qid, id, count(DISTINCT qt.term) AS n FROM t JOIN qt ON starts_with(t.term, qt.term) GROUP BY ALL), need AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1) SELECT qid, id FROM h JOIN need USING (qid) WHERE n = need")
