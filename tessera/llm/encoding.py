@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -84,19 +85,55 @@ def pairs(text: str) -> list[str]:
     return out
 
 
+def _readings(run: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(from, to, decoded, page, still garbled) of each maximal well-formed span of a run that decodes to right characters."""
+    for name in READ_AS:
+        for m in automaton(name).finditer(run):
+            a, b = m.span()
+            new = decoded(m[0], name)
+            if new is None:
+                continue
+            again = b - a >= 4 and decoded_again(new)
+            if _RIGHT.fullmatch(_CONTROLS.sub("", new) or " " if again else new):
+                yield a, b, new, name, again
+
+
+def _apart(run: str, a: int, b: int) -> bool:
+    """Whether run[a:b] has no foreign letter beside it. Right words meet the structure by chance, but mostly inside a longer run of letters."""
+    return not run[a - 1 : a].isalpha() and not run[b : b + 1].isalpha()
+
+
+@lru_cache(SEEN)
+def _evidence(left: str, run: str, right: str) -> frozenset:
+    """The pairs of a run that say what is usual: those that touch no span which may itself be garbled."""
+    s = [_class(c) for c in left + run + right]
+    doubtful = {i for a, b, *_ in _readings(run) if _apart(run, a, b) for i in range(a, b + 1)}
+    return frozenset(x + y for i, (x, y) in enumerate(zip(s, s[1:])) if i not in doubtful)
+
+
+def evidence(text: str) -> set[str]:
+    """`pairs` without those of spans that are well-formed UTF-8 in a legacy page, so that no garbling becomes usual by being frequent."""
+    out: set[str] = set()
+    for m in _FOREIGN.finditer(text):
+        a, b = m.span()
+        out |= _evidence(text[a - 1] if a else " ", m[0], text[b] if b < len(text) else " ")
+    return out
+
+
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): in how many texts a pair occurs, over all texts, so that no long text decides what is usual. There are at most some 800 classes of characters, so at most 640 000 pairs at any size."""
+    """(pair, n): in how many different texts a pair occurs as evidence, so that neither long texts nor copies decide what is usual.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
+    Only a hash and the set of pairs of each text that isn't ASCII are shuffled. There are at most some 800 classes of characters, so
+    at most 640 000 pairs at any size.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t in b["t"]:
-                if not t.isascii():
-                    n.update(set(pairs(t)))
-        yield pd.DataFrame({"pair": list(n), "n": list(n.values())}).astype({"pair": "str", "n": "int64"})
+            rows = [t for t in b["t"] if not t.isascii()]
+            yield pd.DataFrame({"h": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in rows], "ps": ["".join(sorted(evidence(t))) for t in rows]})
 
     rows = documents.filter(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    return rows.mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(find, "h binary, ps string").distinct().select(F.explode(F.regexp_extract_all("ps", F.lit("(?s).."), 0)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 class Likelihood:
@@ -116,6 +153,11 @@ class Likelihood:
         total, n = self.of(text)
         return total / n if n else 5.0
 
+    def inside(self, span: str) -> float:
+        """The mean over the span's own pairs, without those at its ends."""
+        s = [_class(c) for c in span]
+        return sum(self.logs.get(x + y, self.none) for x, y in zip(s, s[1:])) / (len(s) - 1)
+
 
 def _shown(text: str, a: int, b: int) -> bool:
     """Whether text[a:b] stands alone between quotation marks, brackets or code marks: shown, not garbled."""
@@ -126,22 +168,13 @@ def _shown(text: str, a: int, b: int) -> bool:
 def _run_spans(left: str, run: str, right: str, likely: Likelihood) -> list[tuple[int, int, str, str]]:
     """(from, to, restored, page) in a run of characters that aren't ASCII; the longest first where pages disagree."""
     found = []
-    for name in READ_AS:
-        for m in automaton(name).finditer(run):
-            a, b = m.span()
-            new = decoded(m[0], name)
-            if new is None:
-                continue
-            again = b - a >= 4 and decoded_again(new)
-            if not _RIGHT.fullmatch(_CONTROLS.sub("", new) or " " if again else new):
-                continue
-            before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
-            was = likely.mean(before + m[0] + after)
-            gain = likely.mean(before + new + after) - was
-            # What was read twice stays garbled after one reading, so it only has to become shorter in bytes that make sense. Where
-            # the corpus knows neither reading, the bytes' structure decides, if it gives usual characters.
-            if gain >= SPAN_GAIN or (gain >= 0 and was < likely.rare and b - a == len(run) and _USUAL.issuperset(new)) or again:
-                found.append((a, b, new, name, gain))
+    for a, b, new, name, again in _readings(run):
+        before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
+        gain = likely.mean(before + new + after) - likely.mean(before + run[a:b] + after)
+        # What was read twice stays garbled after one reading, so it only has to become shorter in bytes that make sense. Where
+        # no right text has the span's own pairs, the bytes' structure decides, if it gives usual characters.
+        if gain >= SPAN_GAIN or (_apart(run, a, b) and likely.inside(run[a:b]) < likely.rare and _USUAL.issuperset(new)) or again:
+            found.append((a, b, new, name, gain))
     found.sort(key=lambda x: (x[0] - x[1], -x[4]))
     taken, out = [], []
     for a, b, new, name, _ in found:

@@ -63,3 +63,22 @@ def test_operator(spark):
     out = {r["doc_id"]: r for r in E.repaired(df).filter("garbled").collect()}
     assert set(out) == {900, 903} and out[900]["restored"] == "Don’t call it, café" and out[903]["restored"] == "the café " * 50_000
     assert E.repaired(df.limit(0)).count() == 0
+
+
+def test_a_frequent_garbling_stays_garbled(spark):
+    back = E.page("cp1252")[1]
+    wrong = lambda t: "".join(back[b] if b > 127 else chr(b) for b in t.encode())
+    words = "Prüfung läuft über größere Flächen, für höhere Ströme müßte später jährlich geprüft werden".split()
+    texts = [f"{i} " + " ".join(words[i % 7 :] + words[: i % 7]) for i in range(60)]
+    copies = [(i, wrong(texts[0])) for i in range(300)]  # one text over and over
+    source = [(1000 + i, wrong(t)) for i, t in enumerate(texts)]  # different texts, all garbled
+    right = [(2000 + i, t) for i, t in enumerate(sorted(set(CLEAN)))] + [(3000 + i, f"{i} её ещё объём, чётко её пёс") for i in range(20)]
+    df = spark.createDataFrame(copies + source + right, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["restored"] for r in E.repaired(df).filter("garbled").collect()}
+    assert set(out) == {i for i, _ in copies + source}
+    assert out[0] == texts[0] and all(out[1000 + i] == t for i, t in enumerate(texts))
+
+
+def test_copies_count_once(spark):
+    df = spark.createDataFrame([(t,) for t in ["á é"] * 5 + ["á"]], "text string")
+    assert E.model(df) == {" á": 2, "á ": 2, " é": 1, "é ": 1}
