@@ -163,24 +163,55 @@ _PAIRS = f"w AS (SELECT id, list_distinct({stems_sql('summary')}) AS ws FROM iss
 
 @query(f"WITH {_PAIRS}, h AS (SELECT q, t.id, any_value(n) AS n, count(*) AS shared FROM qtm JOIN t USING (term) WHERE q <> t.id GROUP BY ALL) SELECT q, id, shared FROM h WHERE shared >= greatest(3, ceil(0.4 * n))")
 def q11_similar_issues(s: SparkSession, d: str) -> DataFrame:
-    """Other issues that share enough of an issue's words; asked for the issues whose number ends in 0."""
-    w = b.issues(s, d).select("id", F.array_distinct(stems(F.col("summary"))).alias("ws"))
-    t = w.select("id", F.explode("ws").alias("term"))
-    q = w.filter(F.col("id").endswith("0")).select(F.col("id").alias("q"), F.size("ws").alias("n"), F.explode("ws").alias("term"))
-    h = q.join(t, "term").filter("q <> id").groupBy("q", "id").agg(F.max("n").alias("n"), F.count("*").alias("shared"))
-    return h.filter("shared >= greatest(3, ceil(0.4 * n))").select("q", "id", "shared")
+    """Other issues alike, best first; asked for the issues whose number ends in 0."""
+    i = b.issues(s, d).select("id", "summary", F.get_json_object("json", "$.description").alias("description"), "k")
+    said = b.comments(s, d).groupBy(F.lower(F.trim("issue")).alias("k")).agg(F.concat_ws(" ", F.collect_list("text")).alias("comments"))
+    return similar(i.join(said, "k", "left"), F.col("id").endswith("0"))
+
+
+def similar(issues: DataFrame, asked: Column, top: int = 60) -> DataFrame:
+    """(q, id, place, shared) for the `asked` of the issues (id, summary, description, comments).
+
+    The `top` others by BM25 over fields weighted 10, 1 and 0.4, as FTS5 has it: a word's weighted frequency saturates over all
+    fields, and length is that of all fields. Of these stay the ones whose title or description has two of the asked title's words
+    (all of a shorter title), or at least three and two fifths of all terms asked. `place` counts before that filter.
+    """
+    words = written(_by_field(issues.withColumn("asked", asked), ("summary", "description", "comments"), "asked"))  # stemmed once
+    weight = F.when(F.col("src") == 0, 10.0).when(F.col("src") == 1, 1.0).otherwise(0.4)
+    tokens = words.select("id", "src", F.explode("ws").alias("term")).groupBy("id", "term").agg(F.sum(weight).alias("tf"), F.max((F.col("src") < 2).cast("int")).alias("own"))
+    length = words.groupBy("id").agg(F.sum(F.size("ws")).alias("length"))
+    sizes = length.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("avg_len"))
+    tokens = tokens.join(length, "id")
+    terms = query_terms(words.filter("asked AND src < 2")).withColumnRenamed("id", "q")
+    need = terms.groupBy("q").agg(F.count("*").alias("n"), F.count(F.when(F.col("src") == 0, 1)).alias("titles"))
+    hit = terms.join(tokens, "term").filter("q <> id").join(op.document_frequency(tokens), "term").join(F.broadcast(sizes), F.lit(True))
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    norm = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_len")))
+    h = hit.groupBy("q", "id").agg(F.round(F.sum(idf * norm), 6).alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
+    best = h.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= top).join(need, "q")
+    return best.filter("(titles > 0 AND in_title >= least(2, titles)) OR shared >= greatest(3, ceil(0.4 * n))").select("q", "id", "place", "shared")
 
 
 @query(f"WITH x AS (SELECT id, 0 AS src, term, min(i) AS pos, count(*) AS n FROM (SELECT id, ws[i] AS term, i FROM (SELECT id, {stems_sql('summary')} AS ws FROM iss), unnest(range(1, len(ws) + 1)) AS t(i)) GROUP BY ALL UNION ALL SELECT id, 1, term, min(i), count(*) FROM (SELECT id, ws[i] AS term, i FROM (SELECT id, {stems_sql(chr(39) + chr(39) + ' || coalesce(json->>' + chr(39) + 'description' + chr(39) + ', ' + chr(39) + chr(39) + ')')} AS ws FROM iss), unnest(range(1, len(ws) + 1)) AS t(i)) GROUP BY ALL), u AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, term ORDER BY src) = 1) SELECT id, term FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, CASE WHEN src = 0 THEN 0 ELSE -n END, pos) <= 16")
 def q12_query_terms(s: SparkSession, d: str) -> DataFrame:
     """Title words first, then the description's by frequency and place; 16 at most."""
-    i = b.issues(s, d)
-    of = lambda src, c: i.select("id", F.lit(src).alias("src"), F.posexplode(stems(c)).alias("pos", "term"))
-    both = of(0, F.col("summary")).unionByName(of(1, F.coalesce(F.get_json_object("json", "$.description"), F.lit(""))))
+    i = b.issues(s, d).select("id", "summary", F.get_json_object("json", "$.description").alias("description"))
+    return query_terms(_by_field(i, ("summary", "description"))).select("id", "term")
+
+
+def _by_field(issues: DataFrame, fields: tuple[str, ...], *keep: str) -> DataFrame:
+    """(id, src, ws): the stems of each field of an issue, src being the field's place."""
+    texts = F.array(*[F.struct(F.lit(n).alias("src"), F.col(c).alias("text")) for n, c in enumerate(fields)])
+    return issues.select("id", *keep, F.explode(texts).alias("x")).select("id", *keep, "x.src", stems(F.col("x.text")).alias("ws"))
+
+
+def query_terms(words: DataFrame) -> DataFrame:
+    """(id, term, src) of the words (id, src, ws) of titles, src 0, and descriptions, src 1."""
+    both = words.select("id", "src", F.posexplode("ws").alias("pos", "term"))
     g = both.groupBy("id", "src", "term").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     g = g.withColumn("first", F.row_number().over(W.partitionBy("id", "term").orderBy("src"))).filter("first = 1")
     r = F.row_number().over(W.partitionBy("id").orderBy("src", F.when(F.col("src") == 0, 0).otherwise(-F.col("n")), "pos"))
-    return g.withColumn("r", r).filter("r <= 16").select("id", "term")
+    return g.withColumn("r", r).filter("r <= 16").select("id", "term", "src")
 
 
 @query(f"WITH {_BM} SELECT qid, doc_id, round(score, 6) AS score FROM (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score FROM tk JOIN qt USING (term) JOIN dfr USING (term) JOIN documents USING (doc_id) CROSS JOIN n WHERE source = 'facts' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) <= 10")
