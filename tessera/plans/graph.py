@@ -259,18 +259,28 @@ def r7_lambda_types(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RES}, b AS (SELECT DISTINCT file_id, name, target, level FROM cand QUALIFY level = min(level) OVER (PARTITION BY file_id, name)) SELECT target AS id, count(DISTINCT file_id) AS callers FROM b WHERE target % 7 = 0 AND target NOT IN (SELECT id FROM de WHERE file_id = b.file_id) GROUP BY 1")
 def r8_callers_of_changed(s: SparkSession, d: str) -> DataFrame:
-    """Files that still name a changed declaration of another file."""
-    best = nearest_level(resolved(s, d), ["file_id", "name"]).filter("target % 7 = 0")
+    """How many other files name a declaration, for all that are named, whichever of them a change may touch."""
+    best = nearest_level(resolved(s, d), ["file_id", "name"])
     home = b.decls(s, d).select(F.col("id").alias("target"), F.col("file_id").alias("home"))
     return best.join(home, "target").filter("file_id <> home").groupBy(F.col("target").alias("id")).agg(F.count_distinct("file_id").alias("callers"))
 
 
 @query("WITH a AS (SELECT f.id AS file_id, f.path, 12 AS line FROM f WHERE f.id % 3 = 0) SELECT a.path || ':12' AS asked, fqn FROM a JOIN de ON de.file_id = a.file_id AND 12 BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY end_line - start_line, start_line DESC, fqn) = 1")
 def r9_symbol_at(s: SparkSession, d: str) -> DataFrame:
-    """`path:line` to the innermost declaration there."""
-    asked = b.files(s, d).filter("id % 3 = 0").select(F.col("id").alias("file_id"), F.concat("path", F.lit(":12")).alias("asked"))
-    asked = asked.withColumn("line", F.regexp_extract("asked", ":([0-9]+)$", 1).cast("bigint"))
-    return narrowest(asked, b.decls(s, d), "file_id", "line", "start_line", "end_line", ["fqn"], ["asked"]).filter("fqn IS NOT NULL")
+    """`path:line` to the innermost declaration there, for every line of every file and every line on which a declaration begins.
+
+    Outside all declarations it is the first that begins after the line and is not local, or else the last that ends before it.
+    """
+    de = b.decls(s, d)
+    at = b.lines(s, d).select(F.col("id").alias("file_id"), "line").unionByName(de.select("file_id", F.col("start_line").cast("bigint").alias("line"))).distinct()
+    asked = at.join(b.files(s, d).select(F.col("id").alias("file_id"), "path"), "file_id").select("file_id", F.concat_ws(":", "path", "line").alias("asked"), "line")
+    found = narrowest(asked, de, "file_id", "line", "start_line", "end_line", ["fqn"], ["asked"])
+    rest = asked.join(found.filter("fqn IS NULL"), "asked", "left_semi").join(de.filter("local = 0").select("file_id", "start_line", "end_line", "fqn"), "file_id")
+    wide = F.col("start_line") - F.col("end_line")
+    after = F.min(F.when(F.col("start_line") > F.col("line"), F.struct("start_line", wide.alias("wide"), "fqn")))
+    before = F.min(F.when(F.col("end_line") < F.col("line"), F.struct((-F.col("end_line")).alias("end"), wide.alias("wide"), "fqn")))
+    near = rest.groupBy("asked").agg(F.coalesce(after["fqn"], before["fqn"]).alias("fqn"))
+    return found.select("asked", "fqn").filter("fqn IS NOT NULL").unionByName(near.filter("fqn IS NOT NULL"))
 
 
 @query("WITH " + _SUPER + ", k AS (SELECT name, count(*) AS members FROM (SELECT regexp_extract(container, '[^.]*$') AS name FROM de WHERE container IS NOT NULL) GROUP BY 1) SELECT t.name, coalesce(members, 0) AS members, (SELECT count(*) FROM sup WHERE a = t.name) AS up, (SELECT count(*) FROM sup WHERE b = t.name) AS down FROM (SELECT DISTINCT name FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')) t LEFT JOIN k USING (name)")
@@ -371,8 +381,8 @@ def r17_triage(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RES}, k AS (SELECT DISTINCT file_id, name FROM cand WHERE level <= 2), an AS (SELECT DISTINCT name FROM ty) SELECT rf.file_id, rf.name, CASE WHEN an.name IS NULL THEN 'unknown' ELSE 'not imported' END AS problem FROM rf LEFT JOIN k ON k.file_id = rf.file_id AND k.name = rf.name LEFT JOIN an ON an.name = rf.name WHERE k.name IS NULL AND rf.file_id % 5 = 0")
 def r18_name_check(s: SparkSession, d: str) -> DataFrame:
-    """Names of edited files that no scope knows: unknown altogether, or declared elsewhere but not imported."""
-    ln = b.lines(s, d).filter("id % 5 = 0").filter(~F.col("text").startswith("import "))
+    """Names of all files that no scope knows: unknown altogether, or declared elsewhere but not imported."""
+    ln = b.lines(s, d).filter(~F.col("text").startswith("import "))
     refs = ln.select(F.col("id").alias("file_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), 0)).alias("name")).distinct()
     known = resolved(s, d).filter("level <= 2").select("file_id", "name").distinct()
     any_ = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).select("name", F.lit(True).alias("there")).distinct()

@@ -1,6 +1,14 @@
 """Queries that once did less than the whole job."""
 
-from tessera.plans import search
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.plans import base, graph, search
+
+D = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
 
 
 def test_similar_by_two_title_words_or_description(spark):
@@ -15,3 +23,14 @@ def test_similar_by_two_title_words_or_description(spark):
     out = search.similar(df, df["id"] == "A-10").collect()
     assert {(r["id"], r["shared"]) for r in out} == {("A-1", 2), ("A-2", 4)}
     assert next(r["place"] for r in out if r["id"] == "A-1") == 1
+
+
+@tables
+def test_all_files_and_declarations_are_asked(spark):
+    checked = {r["file_id"] % 5 for r in graph.r18_name_check(spark, D).collect()}
+    assert checked == {0, 1, 2, 3, 4}
+    assert {r["id"] % 7 for r in graph.r8_callers_of_changed(spark, "/root/testdata/sf0.01").collect()} - {0}
+    rows = graph.r9_symbol_at(spark, D).collect()
+    held = base.lines(spark, D).join(base.decls(spark, D).filter("local = 0").select(F.col("file_id").alias("id")).distinct(), "id").select("path", "line").distinct()
+    asked = {r["asked"] for r in rows}
+    assert len(asked) == len(rows) and {f"{r['path']}:{r['line']}" for r in held.collect()} <= asked
