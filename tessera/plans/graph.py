@@ -78,13 +78,13 @@ def supertype_edges(s: SparkSession, d: str) -> DataFrame:
 @query("WITH " + _SUPER + ", cl AS (SELECT a AS start, b AS id, 1::BIGINT AS depth FROM sup UNION SELECT cl.start, sup.b, depth + 1 FROM cl JOIN sup ON sup.a = cl.id WHERE depth < 12) SELECT start, id, min(depth) AS depth FROM cl WHERE id <> start GROUP BY ALL")
 def g4_supertypes(s: SparkSession, d: str) -> DataFrame:
     e = supertype_edges(s, d)
-    return op.reach(e.select(F.col("a").alias("id")).distinct(), e, 12).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("WITH " + _SUPER + ", cl AS (SELECT b AS start, a AS id, 1::BIGINT AS depth FROM sup UNION SELECT cl.start, sup.a, depth + 1 FROM cl JOIN sup ON sup.b = cl.id WHERE depth < 12) SELECT start, id, min(depth) AS depth FROM cl WHERE id <> start GROUP BY ALL")
 def g5_subtypes(s: SparkSession, d: str) -> DataFrame:
     e = supertype_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return op.reach(e.select(F.col("a").alias("id")).distinct(), e, 12).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
 @query("SELECT m.id, o.id AS same_as FROM de m JOIN de o ON m.name = o.name AND m.kind = o.kind AND m.param_count = o.param_count AND m.id < o.id AND m.container LIKE o.container || '.%' WHERE m.kind IN ('fun', 'method')")

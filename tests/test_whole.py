@@ -34,3 +34,11 @@ def test_all_files_and_declarations_are_asked(spark):
     held = base.lines(spark, D).join(base.decls(spark, D).filter("local = 0").select(F.col("file_id").alias("id")).distinct(), "id").select("path", "line").distinct()
     asked = {r["asked"] for r in rows}
     assert len(asked) == len(rows) and {f"{r['path']}:{r['line']}" for r in held.collect()} <= asked
+
+
+def test_closures_have_no_depth(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"T{i:02}", f"T{i + 1:02}") for i in range(15)] + [("T15", "T14")], "a string, b string")
+    monkeypatch.setattr(graph, "supertype_edges", lambda s, d: chain)
+    up = {(r["start"], r["id"]): r["depth"] for r in graph.g4_supertypes(spark, "").collect()}
+    down = {(r["id"], r["start"]): r["depth"] for r in graph.g5_subtypes(spark, "").collect()}
+    assert up == down == {(f"T{i:02}", f"T{j:02}"): j - i for i in range(16) for j in range(i + 1, 16)} | {("T15", "T14"): 1}
