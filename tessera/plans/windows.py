@@ -14,6 +14,7 @@ from tessera.operators.blocks import LEAF_ROWS, ordered_blocks
 from tessera.plans import base as b
 from tessera.plans.joins import _TURNS, turns
 from tessera.plans.scans import document_lines
+from tessera.session import cut
 
 query = b.Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -167,14 +168,23 @@ _KEY = "translate(lower(path), '" + ORDER.replace("'", "''") + "', '" + "".join(
 
 @query(f"SELECT path, row_number() OVER (ORDER BY {_KEY}, path) AS place FROM (SELECT DISTINCT path FROM f) ORDER BY place LIMIT 200")
 def o1_path_order(s: SparkSession, d: str) -> DataFrame:
-    top = b.files(s, d).select("path").distinct().orderBy(path_key(F.col("path"))).limit(200)
-    return top.select("path", F.row_number().over(W.orderBy(path_key(F.col("path")))).cast("bigint").alias("place"))
+    return placed(b.files(s, d).select("path").distinct(), path_key(F.col("path"))).select("path", "place")
+
+
+def placed(df: DataFrame, order: Column) -> DataFrame:
+    """`df` with `place`, from 1, in the whole order: range partitions are numbered by themselves, after the counts of those before."""
+    rows = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row to a partition
+    ahead = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_ahead"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_ahead") + 1
+    return rows.join(F.broadcast(ahead), "_part").withColumn("place", place.cast("bigint")).drop("_id", "_part", "_ahead")
 
 
 @query("SELECT path, start_line, de.id FROM de JOIN f ON f.id = file_id ORDER BY path, start_line, de.id LIMIT 300")
 def o2_by_path_and_line(s: SparkSession, d: str) -> DataFrame:
     f = b.files(s, d).select(F.col("id").alias("file_id"), "path")
-    return b.decls(s, d).join(f, "file_id").select("path", "start_line", "id").orderBy("path", "start_line", "id").limit(300)
+    return b.decls(s, d).join(f, "file_id").select("path", "start_line", "id").orderBy("path", "start_line", "id")
 
 
 @query("SELECT id, cost, (SELECT count(*) FROM ru) AS total FROM ru ORDER BY cost DESC, id DESC LIMIT 50 OFFSET 100")

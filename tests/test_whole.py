@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import base, graph, search
+from tessera.plans import base, graph, search, windows
 
 D = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
@@ -42,3 +42,14 @@ def test_closures_have_no_depth(spark, monkeypatch):
     up = {(r["start"], r["id"]): r["depth"] for r in graph.g4_supertypes(spark, "").collect()}
     down = {(r["id"], r["start"]): r["depth"] for r in graph.g5_subtypes(spark, "").collect()}
     assert up == down == {(f"T{i:02}", f"T{j:02}"): j - i for i in range(16) for j in range(i + 1, 16)} | {("T15", "T14"): 1}
+
+
+@tables
+def test_orders_are_whole(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("p"), (F.col("id") * 7 % 1000).cast("string")).alias("path"))
+    out = windows.placed(rows.repartition(7), windows.path_key(F.col("path"))).collect()
+    assert [r["path"] for r in sorted(out, key=lambda r: r["place"])] == sorted({f"p{i}" for i in range(1000)})
+    assert sorted(r["place"] for r in out) == list(range(1, 1001))
+    found = windows.o2_by_path_and_line(spark, D).collect()
+    assert len(found) == base.decls(spark, D).join(base.files(spark, D).select(F.col("id").alias("file_id")), "file_id").count() > 300
+    assert windows.o1_path_order(spark, "/root/testdata/sf0.01").count() > 200
