@@ -145,68 +145,101 @@ def build(text: str, start: str) -> tuple[list[dict], list[dict]]:
     return actions, gotos
 
 
-def _same(a: tuple, b: tuple) -> bool:
-    while a is not b:
-        if a is None or b is None or a[0] != b[0]:
-            return False
-        a, b = a[1], b[1]
-    return True
+def _below(node: list, size: int, edge: tuple | None = None) -> list[list]:
+    """The nodes `size` steps below `node`; with an edge (upper node, lower node), only those reached by it."""
+    level = {(id(node), edge is None): node}
+    for _ in range(size):
+        below = {}
+        for (_, used), x in level.items():
+            for y in (x[1], *x[2]) if x[2] else (x[1],):
+                if y is not None:
+                    below[id(y), used or (x is edge[0] and y is edge[1])] = y
+        level = below
+    return [x for (_, used), x in level.items() if used]
+
+
+def _advance(tables: tuple[list[dict], list[dict]], fresh: list[list], kind: str) -> list[list] | None:
+    """The tops of all stacks after the token `kind`, or None if the whole text is read.
+
+    The stacks form a graph: a node is [state, node below, further nodes below or None]. Stacks share what they have in common, and
+    the tops at one place are told apart by their state alone, so their number is bounded by the table, whatever the text.
+    """
+    actions, gotos = tables
+    tops = {node[0]: node for node in fresh}
+    shifted: dict[int, list] = {}
+    todo: list[tuple] = []
+    while fresh or todo:
+        if fresh:
+            node = fresh.pop()
+            act = actions[node[0]].get(kind)
+            if act is not None:
+                for a in act if type(act) is list else (act,):
+                    if type(a) is tuple:
+                        todo.append((node, a, None))
+                    elif a in shifted:
+                        shifted[a][2] = [*(shifted[a][2] or ()), node]
+                    else:
+                        shifted[a] = [a, node, None]
+            continue
+        node, (lhs, size), edge = todo.pop()
+        if lhs == "start'":
+            return None
+        if edge is None:
+            while size and node[2] is None:
+                node = node[1]
+                size -= 1
+        for base in _below(node, size, edge) if size else (node,):
+            state = gotos[base[0]][lhs]
+            top = tops.get(state)
+            if top is None:
+                tops[state] = top = [state, base, None]
+                fresh.append(top)
+            elif top[1] is not base and not (top[2] and any(b is base for b in top[2])):
+                top[2] = [*(top[2] or ()), base]  # a new way down: what reduces across it does so again
+                for x in tops.values():
+                    act = actions[x[0]].get(kind)
+                    todo += [(x, a, (top, base)) for a in (act if type(act) is list else (act,)) if type(a) is tuple and a[1]]
+    return list(shifted.values())
 
 
 def first_error(tables: tuple[list[dict], list[dict]], kinds: list[str]) -> int:
     """The place of the first token after which nothing the grammar allows begins with what was read; -1 if all is valid.
 
-    Where the tables allow several actions all are followed, each with its own stack; equal stacks are one.
+    One stack is followed as long as the tables allow one action; where they allow several, all are followed on a graph of stacks.
+    The work is polynomial in the number of tokens, however ambiguous the text.
     """
     actions, gotos = tables
-    node, several = (0, None), None
+    tops: list[list] = [[0, None, None]]
     for n, kind in enumerate([*kinds, END]):
-        if several is None:
+        if len(tops) == 1:
+            node = tops[0]
             while True:
                 act = actions[node[0]].get(kind)
-                if type(act) is tuple:
-                    lhs, size = act
-                    if lhs == "start'":
-                        return -1
-                    while size:
-                        node = node[1]
-                        size -= 1
-                    node = (gotos[node[0]][lhs], node)
-                elif type(act) is int:
-                    node = (act, node)
+                if type(act) is int:
+                    tops = [[act, node, None]]
                     break
-                elif act is None:
+                if act is None:
                     return n
-                else:
-                    several = [node]
+                if type(act) is list:
+                    tops = [node]
                     break
-            if several is None:
-                continue
-        todo, shifted = several, []
-        while todo:
-            node = todo.pop()
-            act = actions[node[0]].get(kind)
-            if act is None:
+                lhs, size = act
+                if lhs == "start'":
+                    return -1
+                base = node
+                while size and base[2] is None:
+                    base = base[1]
+                    size -= 1
+                if size:
+                    tops = [node]
+                    break
+                node = [gotos[base[0]][lhs], base, None]
+            if type(act) is int:
                 continue
-            for a in act if type(act) is list else (act,):
-                if type(a) is int:
-                    new = (a, node)
-                    if not any(_same(new, x) for x in shifted):
-                        shifted.append(new)
-                else:
-                    lhs, size = a
-                    if lhs == "start'":
-                        return -1
-                    base = node
-                    while size:
-                        base = base[1]
-                        size -= 1
-                    new = (gotos[base[0]][lhs], base)
-                    if not any(_same(new, x) for x in todo):
-                        todo.append(new)
-        if not shifted:
+        after = _advance(tables, tops, kind)
+        if after is None:
+            return -1
+        if not after:
             return n
-        several = shifted
-        if len(several) == 1:
-            node, several = several[0], None
+        tops = after
     return len(kinds)

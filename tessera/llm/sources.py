@@ -14,15 +14,18 @@ from tessera.llm.glr import build, first_error
 
 # Fixed values of the languages: reserved words, words with a meaning in places, and operators.
 KOTLIN_HARD = frozenset("as break class continue do else false for fun if in interface is null object package return super this throw true try typealias val var when while".split())
-KOTLIN_PLACED = frozenset("file import by get set constructor init where catch finally companion enum out suspend dynamic".split())
+KOTLIN_PLACED = frozenset("file import by get set constructor init where catch finally companion enum out suspend dynamic context".split())
 KOTLIN_MODIFIERS = frozenset("public private internal protected open abstract final sealed data inner value annotation override lateinit const inline noinline crossinline vararg infix operator tailrec external expect actual reified".split())
 JAVA_HARD = frozenset("assert break case catch class continue default do else enum extends false final finally for if implements import instanceof interface new null package return static super switch synchronized this throw throws true try void while".split())
 JAVA_PRIMITIVES = frozenset("boolean byte char double float int long short".split())
 JAVA_MODIFIERS = frozenset("public private protected abstract native strictfp transient volatile".split())
-JAVA_PLACED = frozenset("record sealed permits yield when".split())
+JAVA_PLACED = frozenset("record sealed permits yield when open module requires transitive exports opens to uses provides with".split())
 JAVA_NEVER = frozenset("const goto _".split())
 
-_NUMBER = r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*)(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)"
+_DIGITS, _HEX = r"(?:\d(?:[\d_]*\d)?)", r"(?:[0-9a-fA-F](?:[0-9a-fA-F_]*[0-9a-fA-F])?)"
+_NUMBER = rf"(?:0[xX]{_HEX}?(?:\.{_HEX}?)?(?:[pP][+-]?{_DIGITS})?|0[bB][01](?:[01_]*[01])?|{_DIGITS}(?:\.{_DIGITS})?(?:[eE][+-]?{_DIGITS})?|\.{_DIGITS}(?:[eE][+-]?{_DIGITS})?)"
+# What the pattern lets through: a prefix without digits, and an octal number with the digit 8 or 9.
+_NO_NUMBER = re.compile(r"0[xX][^0-9a-fA-F.]*$|0[xX]\.?$|0[\d_]*[89][\d_]*[lL]?$")
 _KOTLIN = re.compile(
     r"(?P<skip>[ \t\f\ufeff]+|//[^\r\n]*)|(?P<nl>\r\n?|\n)|(?P<comment>/\*)|(?P<raw>\"\"\")|(?P<quote>\")"
     r"|(?P<char>'(?:\\u[0-9a-fA-F]{4}|\\.|[^'\\\r\n])')"
@@ -111,6 +114,8 @@ def scan_kotlin(text: str) -> tuple[list[str], list[int]]:
         elif kind == "char":
             put("CHAR", at)
         elif kind == "number":
+            if _NO_NUMBER.match(tok) or tok[0] == "0" and len(tok) > 1 and tok.isdigit():
+                raise Unreadable(at)
             put("NUMBER", at)
         elif kind == "at":
             put(" " + tok.split("@")[0], at)
@@ -176,6 +181,8 @@ def scan_java(text: str) -> tuple[list[str], list[int]]:
             elif kind == "op":
                 kind = "INCR" if tok in ("++", "--") else "ASSIGN" if tok in _ASSIGN else "BINOP" if tok in _JAVA_BINARY else " " + tok
             else:
+                if kind == "number" and _NO_NUMBER.match(tok):
+                    raise Unreadable(pos)
                 kind = {"text": "STRING", "string": "STRING", "empty": "STRING", "char": "CHAR", "number": "NUMBER"}[kind]
             kinds.append(kind)
             places.append(pos)
@@ -206,8 +213,8 @@ def syntax_error(text: str, extension: str, known: dict[str, tuple] | None = Non
     except Unreadable as e:
         at = e.args[0]
     lines = re.split(r"\r\n?|\n", text[:at])
-    found = re.match(r"\w+|\S", text[at : at + 40])
-    return len(lines), len(lines[-1]) + 1, found[0] if found else "end of file"
+    found = re.match(r"\w+|[^\w\r\n]|\Z", text[at : at + 40])
+    return len(lines), len(lines[-1]) + 1, (found[0] or "end of file") if found else "end of line"
 
 
 def extension_of(path: Column) -> Column:
@@ -219,7 +226,8 @@ def parsed(files: DataFrame) -> DataFrame:
 
     The language is the one the path's extension stands for; files of other extensions, and those with null content or path, are
     left out. An empty file or one with only comments is valid. Long files are parsed whole. Contents are not shuffled: each row
-    is parsed where it is read, and repeated rows are dropped afterwards.
+    is parsed where it is read, and repeated rows are dropped afterwards. Of rows of one id that differ, an invalid one stands,
+    and of several invalid ones that with the latest first error.
     """
     sc = files.sparkSession.sparkContext
     shared = sc.broadcast(tables())
@@ -232,8 +240,9 @@ def parsed(files: DataFrame) -> DataFrame:
 
     ext = extension_of(F.col("path"))
     rows = files.filter(F.col("content").isNotNull() & (ext != "")).select("id", F.split_part("path", F.lit("/"), F.lit(1)).alias("repository"), ext.alias("extension"), check("content", ext).alias("e"))
-    out = rows.select("id", "repository", "extension", F.col("e.line").isNull().alias("valid"), "e.line", "e.col", "e.token")
-    return out.dropDuplicates(["id"])
+    one = rows.groupBy("id").agg(F.max(F.struct(F.coalesce("e.line", F.lit(0)).alias("line"), "e.col", "e.token", "repository", "extension")).alias("r"))
+    line = F.nullif("r.line", F.lit(0))
+    return one.select("id", "r.repository", "r.extension", line.isNull().alias("valid"), line.alias("line"), "r.col", "r.token")
 
 
 def rates(parsed_files: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Valid and broken sources; every prefix of a file that ends inside something must be found."""
 
+import time
+
 import pytest
 
 from tessera.llm.glr import build, first_error
-from tessera.llm.sources import parsed, rates, syntax_error
+from tessera.llm.sources import parsed, rates, syntax_error, tables
 
 KOTLIN = '''@file:JvmName("X")
 package a.b
@@ -112,6 +114,37 @@ def test_deep_nesting_is_linear():
     assert syntax_error("fun f() { if (a < b) " + "{ if (a < b) x = { a -> b } else c } ;" * 500 + " }", "kt") is None
 
 
+VALID_MORE = [
+    ("fun f() = a or\n  b", "kt"), ("val p = x to\n\n y", "kt"), ("fun f() { for (i in 1 until\n 2) {} }", "kt"), ("context(Foo) fun f() {}", "kt"), ("context(a: Foo, b: Bar)\nfun f() {}", "kt"),
+    ("fun g(context: Int) { context(3); val x: context(A) () -> Unit = y }", "kt"), ("module a.b { requires transitive java.base; exports a.b to c.d, e; uses x.Y; provides A with B, C; opens q; }", "java"),
+    ("@Deprecated open module a { requires static x; }", "java"), ("class A { int open, to; void with() { module = to; } }", "java"), ("class A { int a = 07, b = 0; double c = 08.5, d = 09f, e = 0x1.8p3; long l = 0xFFL; int x = 0_7; }", "java"),
+    ("val x = 0x1F_FF; val y = 1_000", "kt"), ("class A { val x: Int get() = 1; val y = 2 }", "kt"), ("class A { val x = 1 }", "kt"), ("class A { var x = 1\n private set\n\n fun f() {} }", "kt"), ("enum class E { A; val x = 1 }", "kt"),
+    ("val x by lazy { 1 }\nval y = 2", "kt"), ("val x = 1;;val y = 2", "kt"), ("val a: Int\n get() = 3\nval b = 1", "kt"), ("interface A { val x: Int; fun f() }", "kt"), ("class A { val a = object : B { val c = 1 } }", "kt"),
+]
+
+
+@pytest.mark.parametrize(("text", "ext"), VALID_MORE)
+def test_valid_more(text, ext):
+    assert syntax_error(text, ext) is None
+
+
+@pytest.mark.parametrize(("text", "ext"), [("val x = 1_", "kt"), ("class A { int a = 08; }", "java"), ("class A { int a = 1_; }", "java"), ("class A { int a = 0x; }", "java"), ("val x = 0x", "kt"), ("val x = 1 val y = 2", "kt"), ("class A { val x = 1 val y = 2 }", "kt"), ("module a { requires; }", "java"), ("val x = a or", "kt"), ("val x = 01", "kt")])
+def test_broken_more(text, ext):
+    assert syntax_error(text, ext)
+
+
+@pytest.mark.parametrize(("text", "ext"), [("val x = " + "(a < " * 200 + "b" + ")" * 200, "kt"), ("class A { Object f() { return " + "(a < " * 200 + "b" + ")" * 200 + "; } }", "java"), ("class A { Object f() { return " + "(a) -> (T) (" * 200 + "b" + ")" * 200 + "; } }", "java")])
+def test_ambiguity_is_polynomial(text, ext):
+    known, began = tables(), time.time()
+    assert syntax_error(text, ext, known) is None and syntax_error(text.replace(")", "", 1), ext, known)
+    assert time.time() - began < 2
+
+
+def test_same_id_with_different_contents(spark):
+    df = spark.createDataFrame([(1, "r/a.kt", "val a = 1"), (1, "r/a.kt", "\nval"), (1, "r/a.kt", "val")], "id bigint, path string, content string")
+    assert [(r["valid"], r["line"], r["token"]) for r in parsed(df).collect()] == [(False, 2, "end of file")]
+
+
 def test_operator(spark):
     rows = [(1, "r/a.kt", "val a = 1", "kotlin"), (1, "r/a.kt", "val a = 1", "kotlin"), (2, "r/b.java", "class {", None), (3, "q/c.kts", "", "x"), (4, "q/d.md", "{", ""), (5, None, "{", ""), (6, "q/e.kt", None, "")]
     df = spark.createDataFrame(rows, "id bigint, path string, content string, valid string")
