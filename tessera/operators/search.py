@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,12 +35,45 @@ def expanded_terms(terms: DataFrame, vocabulary: DataFrame, least: int, weight:
 
 
 def bm25(tokens: DataFrame, sizes: DataFrame, terms: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score) of the documents that share a term with a query; the idf is that of the word found."""
-    df = document_frequency(tokens)
-    hit = tokens.join(terms, "term").join(df, "term").join(F.broadcast(sizes), F.lit(True))
+    """(qid, key, score) of the documents that share a term with a query; the idf is that of the word found.
+
+    Tokens are first cut down to the words asked for, and only these are counted. `tf` may be weighted; a term found in no document
+    adds nothing.
+    """
+    hit = _asked(tokens, terms)
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return _summed(hit, sizes, idf * F.col("w"), key, k1, b)
+
+
+def fts_bm25(tokens: DataFrame, sizes: DataFrame, terms: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As `bm25`, with the rarity full-text indexes use: never below a millionth, however common the word."""
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return _summed(_asked(tokens, terms), sizes, idf * F.col("w"), key, k1, b)
+
+
+def _asked(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """The tokens of words that some query asks for, with the words' document frequencies."""
+    words = tokens.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.join(document_frequency(words), "term").join(terms, "term")
+
+
+def _summed(hit: DataFrame, sizes: DataFrame, weight: Column, key: str, k1: float, b: float) -> DataFrame:
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
-    return hit.groupBy("qid", key).agg(F.sum(F.col("w") * idf * norm).alias("score"))
+    return hit.join(F.broadcast(sizes), F.lit(True)).groupBy("qid", key).agg(F.sum(weight * norm).alias("score"))
+
+
+def weighted_tokens(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """(key, term, tf, length) over several word columns: a word's frequency counts as its field's weight, the length as words in all fields."""
+    tag = lambda c: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(fields[c]).alias("weight")))
+    length = sum((F.size(c) for c in fields), F.lit(0)).cast("bigint")
+    rows = docs.select(key, length.alias("length"), F.explode(F.flatten(F.array(*map(tag, fields)))).alias("x"))
+    return rows.groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.weight").alias("tf"), F.max("length").alias("length"))
+
+
+def lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: the number of documents and their mean length over all fields, for `weighted_tokens`."""
+    length = sum((F.greatest(F.size(c), F.lit(0)) for c in fields), F.lit(0))
+    return docs.agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.coalesce(F.avg(length), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
 
 def similar_sets(sets: DataFrame, key: str, words: str, threshold: float, same: str | None = None) -> DataFrame:

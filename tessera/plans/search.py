@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.words import KEYWORDS, STOP, stems, stems_sql
+from tessera.functions.words import DECLARING, ENGLISH, stems, stems_sql
 from tessera.operators import search as op
 from tessera.plans import base as b
 from tessera.plans.joins import document_files, document_tasks
@@ -22,25 +22,46 @@ def q1_tokens(s: SparkSession, d: str) -> DataFrame:
     return b.issues(s, d).select("id", F.array_join(stems(F.col("summary")), " ").alias("words"))
 
 
-_SIG = STOP + KEYWORDS
-_FIELDS = f"SELECT de.id, {stems_sql('name')} AS name, {stems_sql('container')} AS ctx, list_filter({stems_sql('sig', _SIG)}, lambda w: NOT list_contains({stems_sql('name')}, w))[:12] AS sig, {stems_sql('module')} AS dirs FROM de JOIN f ON f.id = file_id WHERE local = 0 AND kind NOT IN ('constructor', 'init')"
+#: Files and documents from this instant on lie over the base as edits.
+BASE_AT = 1_767_225_600_000
+_SIG = sorted({*ENGLISH, *DECLARING})
+FIELDS = ["name", "ctx", "sig", "doc", "dirs"]
+_COMMENT = r"^[ \t]*(?:/\*\*?|\*/?|//+)"
+_COMMENTS = f"""cm AS (SELECT id, line, line - row_number() OVER (PARTITION BY id ORDER BY line) AS block, regexp_replace(regexp_replace(text, '{_COMMENT}', ''), '\\*/[ \t]*$', '') AS said FROM ln WHERE regexp_matches(text, '{_COMMENT}')), docs AS (SELECT id AS file_id, max(line) + 1 AS start_line, string_agg(said, ' ' ORDER BY line) AS doc FROM cm GROUP BY id, block)"""
+_TOP = "kind IN ('class', 'interface', 'object', 'enum', 'record') OR coalesce(container, '') = ''"
+_FIELDS = f"""SELECT de.id, de.kind, CASE WHEN f.mtime >= {BASE_AT} THEN 'overlay' ELSE 'base' END AS src, (f.source_set LIKE '%est%') AS test, {stems_sql('name')} AS name, {stems_sql('container')} AS ctx, list_filter({stems_sql('sig', _SIG)}, lambda w: NOT list_contains({stems_sql('name')}, w))[:12] AS sig,
+{stems_sql('doc')}[:60] AS doc, CASE WHEN {_TOP} THEN {stems_sql('module')} ELSE [] END AS dirs FROM de JOIN f ON f.id = de.file_id LEFT JOIN docs USING (file_id, start_line) WHERE local = 0 AND kind NOT IN ('constructor', 'init')"""
+
+
+def comment_blocks(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, start_line, doc): blocks of comment lines, by the line after them."""
+    rows = b.lines(s, d).filter(F.col("text").rlike(_COMMENT))
+    block = F.col("line") - F.row_number().over(W.partitionBy("id").orderBy("line"))
+    said = F.regexp_replace(F.regexp_replace("text", _COMMENT, ""), r"\*/[ \t]*$", "")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("line", said.alias("t")))), lambda x: x["t"])
+    g = rows.withColumn("block", block).groupBy("id", "block").agg((F.max("line") + 1).alias("start_line"), F.array_join(parts, " ").alias("doc"))
+    return g.select(F.col("id").alias("file_id"), "start_line", "doc")
 
 
 def fields(s: SparkSession, d: str) -> DataFrame:
-    """The word columns of declarations: name, container, signature without the name's words, and place."""
-    f = b.files(s, d).select(F.col("id").alias("file_id"), "module")
-    rows = b.decls(s, d).filter("local = 0 AND kind NOT IN ('constructor', 'init')").join(f, "file_id")
-    rows = rows.select("id", "kind", stems(F.col("name")).alias("name"), stems(F.col("container")).alias("ctx"), stems(F.col("sig"), _SIG).alias("s"), stems(F.col("module")).alias("dirs"))
+    """The word columns of declarations: name, container, signature without the name's words, the comment above, and, of types and top declarations, place."""
+    f = b.files(s, d).select(F.col("id").alias("file_id"), "module", "mtime", "source_set")
+    rows = b.decls(s, d).filter("local = 0 AND kind NOT IN ('constructor', 'init')").join(f, "file_id").join(comment_blocks(s, d), ["file_id", "start_line"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select(
+        "id", "kind", F.when(F.col("mtime") >= BASE_AT, "overlay").otherwise("base").alias("src"), F.col("source_set").contains("est").alias("test"), stems(F.col("name")).alias("name"), stems(F.col("container")).alias("ctx"),
+        stems(F.col("sig"), _SIG).alias("s"), F.slice(stems(F.col("doc")), 1, 60).alias("doc"), F.when(F.expr(_TOP), stems(F.col("module"))).otherwise(none).alias("dirs"),
+    )
     return rows.withColumn("sig", F.slice(F.filter("s", lambda w: ~F.array_contains("name", w)), 1, 12)).drop("s")
 
 
 def _tagged() -> Column:
     """All words of the fields as (field, w, len), len being the field's words."""
     tag = lambda c: F.transform(c, lambda w: F.struct(F.lit(c).alias("field"), w.alias("w"), F.size(c).alias("len")))
-    return F.flatten(F.array(*map(tag, ("name", "ctx", "sig", "dirs"))))
+    return F.flatten(F.array(*map(tag, FIELDS)))
 
 
-@query(f"WITH x AS ({_FIELDS}) SELECT id, field, term, count(*) AS tf FROM (SELECT id, 'name' AS field, unnest(name) AS term FROM x UNION ALL SELECT id, 'ctx', unnest(ctx) FROM x UNION ALL SELECT id, 'sig', unnest(sig) FROM x UNION ALL SELECT id, 'dirs', unnest(dirs) FROM x) GROUP BY ALL")
+@query(f"WITH {_COMMENTS}, x AS ({_FIELDS}) SELECT id, field, term, count(*) AS tf FROM (" + " UNION ALL ".join(f"SELECT id, '{c}' AS field, unnest({c}) AS term FROM x" for c in FIELDS) + ") GROUP BY ALL")
 def q2_field_tokens(s: SparkSession, d: str) -> DataFrame:
     return fields(s, d).select("id", F.explode(_tagged()).alias("x")).groupBy("id", "x.field", F.col("x.w").alias("term")).agg(F.count("*").alias("tf"))
 
@@ -53,8 +74,9 @@ def q3_indexed(s: SparkSession, d: str) -> DataFrame:
 
 QUESTIONS = [(1, "limit"), (1, "snapshot"), (2, "rebuild"), (2, "branch"), (3, "token"), (3, "budget")]
 _QT = "qt AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") v(qid, term))"
-WEIGHT = {"name": 3.0, "ctx": 1.0, "sig": 0.7, "dirs": 0.5}
-TYPICAL = {"name": 3.0, "ctx": 4.0, "sig": 5.0, "dirs": 4.0}
+WEIGHT = {"name": 3.0, "ctx": 1.0, "sig": 0.7, "doc": 1.3, "dirs": 0.5}
+TYPICAL = {"name": 3.0, "ctx": 4.0, "sig": 5.0, "doc": 20.0, "dirs": 4.0}
+FOUND_BY = {"name": 10.0, "ctx": 4.0, "sig": 2.0, "doc": 3.0, "dirs": 1.0}  # weights of the first search
 _PRIOR = "CASE kind WHEN 'class' THEN 1.15 WHEN 'interface' THEN 1.15 WHEN 'object' THEN 1.1 WHEN 'property' THEN 0.85 ELSE 1.0 END"
 
 
@@ -73,40 +95,51 @@ _TF = lambda c: f"list_sum(list_transform({c}, lambda w: {_STRENGTH}))"  # noqa:
 _PART = lambda c: f"CASE WHEN coalesce({_TF(c)}, 0) > 0 THEN {WEIGHT[c]} * {_TF(c)} * 2.2 / ({_TF(c)} + 1.2 * (0.5 + 0.5 * len({c}) / {TYPICAL[c]})) ELSE 0 END"
 
 
-def fielded(s: SparkSession, d: str) -> DataFrame:
-    """(qid, id, score, terms): fielded BM25, where each field's hits saturate on their own and rarity is that of all declarations.
+def candidates(x: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id, src, score): the best 60 of each layer for each question, by a BM25 over the fields' weighted words."""
+    tokens = op.weighted_tokens(x, "id", FOUND_BY)
+    scores = op.fts_bm25(tokens, op.lengths(x, FIELDS), questions.withColumn("w", F.lit(1.0)), "id").withColumn("score", F.round("score", 6))
+    r = F.row_number().over(W.partitionBy("qid", "src").orderBy(F.desc("score"), "id"))
+    return scores.join(x.select("id", "src"), "id").withColumn("r", r).filter("r <= 60").select("qid", "id", "src", "score")
+
+
+def rescored(x: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id, kind, test, score, terms) of the candidates: fielded BM25, where each field's hits saturate on their own and rarity is that of the base.
 
     Words meet terms through their shared beginnings of four characters (shorter ones whole), so the join is on equality.
     """
-    x = fields(s, d)
-    total = x.agg(F.count("*").cast("double").alias("total"))
+    base = x.filter("src = 'base'")
+    total = base.agg(F.count("*").cast("double").alias("total"))
     start = lambda c: F.substring(c, 1, 4)
-    words = x.select("id", "kind", F.explode(_tagged()).alias("x")).select("id", "kind", "x.*").withColumn("start", start("w"))
-    terms = _questions(s).withColumn("start", start("term"))
-    hit = words.join(F.broadcast(terms), "start").withColumn("st", strength(F.col("term"), F.col("w"))).filter("st > 0")
-    tf = hit.groupBy("qid", "term", "id", "kind", "field", "len").agg(F.sum("st").alias("tf"))
+    terms = questions.withColumn("start", start("term"))
+    found = candidates(x, questions).select("qid", "id")
+    words = x.join(found.select("id").distinct(), "id", "left_semi").select("id", "kind", "test", F.explode(_tagged()).alias("x")).select("id", "kind", "test", "x.*").withColumn("start", start("w"))
+    hit = words.join(terms, "start").withColumn("st", strength(F.col("term"), F.col("w"))).filter("st > 0").join(found, ["qid", "id"], "left_semi")
+    tf = hit.groupBy("qid", "term", "id", "kind", "test", "field", "len").agg(F.sum("st").alias("tf"))
     weight = F.create_map(*[F.lit(v) for kv in WEIGHT.items() for v in kv])[F.col("field")]
     typical = F.create_map(*[F.lit(v) for kv in TYPICAL.items() for v in kv])[F.col("field")]
     part = weight * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.5 + 0.5 * F.col("len") / typical))
-    df = words.join(F.broadcast(terms.select("term").distinct().withColumnRenamed("term", "w")), "w").groupBy(F.col("w").alias("term")).agg(F.count_distinct("id").alias("df"))
-    by = tf.groupBy("qid", "term", "id", "kind").agg(F.sum(part).alias("p")).join(df, "term", "left").join(F.broadcast(total), F.lit(True))
+    asked = base.select("id", F.explode(F.array_distinct(F.flatten(F.array(*FIELDS)))).alias("term")).join(questions.select("term").distinct(), "term", "left_semi")
+    by = tf.groupBy("qid", "term", "id", "kind", "test").agg(F.sum(part).alias("p")).join(op.document_frequency(asked), "term", "left").join(F.broadcast(total), F.lit(True))
     n = F.coalesce("df", F.lit(0))
-    return by.groupBy("qid", "id", "kind").agg(F.sum(F.col("p") * F.ln(1 + (F.col("total") - n + 0.5) / (n + 0.5))).alias("score"), F.count("*").alias("terms"))
+    return by.groupBy("qid", "id", "kind", "test").agg(F.sum(F.col("p") * F.ln(1 + (F.col("total") - n + 0.5) / (n + 0.5))).alias("score"), F.count("*").alias("terms"))
 
 
-_SCORED = f"""x AS ({_FIELDS.replace('SELECT de.id,', 'SELECT de.id, kind,')}), {_QT}, dfs AS (SELECT term, count(x.id) AS df FROM (SELECT DISTINCT term FROM qt) LEFT JOIN x ON list_contains(list_concat(name, ctx, sig, dirs), term) GROUP BY 1),
-sc AS (SELECT qid, id, kind, sum(p * ln(1 + ((SELECT count(*) FROM x) - df + 0.5) / (df + 0.5))) AS score, count(*) AS terms FROM (SELECT qid, term, id, kind, {_PART('name')} + {_PART('ctx')} + {_PART('sig')} + {_PART('dirs')} AS p FROM x CROSS JOIN qt) JOIN dfs USING (term) WHERE p > 0 GROUP BY ALL)"""
+_ALL = "list_concat(list_concat(list_concat(list_concat(name, ctx), sig), doc), dirs)"
+_FOUND = f"""{_COMMENTS}, x AS MATERIALIZED ({_FIELDS}), {_QT}, tkw AS (SELECT id, term, sum(w) AS tf FROM ({' UNION ALL '.join(f"SELECT id, unnest({c}) AS term, {w}::DOUBLE AS w FROM x" for c, w in FOUND_BY.items())}) GROUP BY ALL), ld AS (SELECT id, src, len({_ALL}) AS l FROM x), dfw AS (SELECT term, count(*) AS df FROM tkw GROUP BY 1),
+cand AS (SELECT * FROM (SELECT qid, id, src, round(sum(greatest(ln(((SELECT count(*) FROM x) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (SELECT greatest(avg(l), 1.0) FROM ld)))), 6) AS score FROM qt JOIN tkw USING (term) JOIN dfw USING (term) JOIN ld USING (id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid, src ORDER BY score DESC, id) <= 60)"""
+_SCORED = f"""{_FOUND}, dfs AS (SELECT term, count(x.id) AS df FROM (SELECT DISTINCT term FROM qt) LEFT JOIN x ON src = 'base' AND list_contains({_ALL}, term) GROUP BY 1),
+sc AS (SELECT qid, id, kind, test, sum(p * ln(1 + ((SELECT count(*) FROM x WHERE src = 'base') - df + 0.5) / (df + 0.5))) AS score, count(*) AS terms FROM (SELECT qid, term, id, kind, test, {' + '.join(map(_PART, FIELDS))} AS p FROM x JOIN (SELECT qid, id FROM cand) USING (id) JOIN qt USING (qid)) JOIN dfs USING (term) WHERE p > 0 GROUP BY ALL)"""
 
 
-@query(f"WITH {_SCORED} SELECT qid, id, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) <= 60")
+@query(f"WITH {_FOUND} SELECT * FROM cand")
 def q4_candidates(s: SparkSession, d: str) -> DataFrame:
-    rows = fielded(s, d).select("qid", "id", F.round("score", 6).alias("score"))
-    return op.top_per_query(rows, "id", 60)
+    return candidates(written(fields(s, d)), _questions(s))
 
 
 @query(f"WITH {_SCORED} SELECT qid, id, round(score, 6) AS score, terms FROM sc")
 def q5_fielded_bm25(s: SparkSession, d: str) -> DataFrame:
-    return fielded(s, d).select("qid", "id", F.round("score", 6).alias("score"), "terms")
+    return rescored(written(fields(s, d)), _questions(s)).select("qid", "id", F.round("score", 6).alias("score"), "terms")
 
 
 @query(f"WITH {_QT}, v AS (SELECT DISTINCT unnest({stems_sql('name')}) AS w FROM de) SELECT qid, term, w, round({_STRENGTH}, 2) AS strength FROM v CROSS JOIN qt WHERE {_STRENGTH} > 0")
@@ -116,23 +149,27 @@ def q6_term_strength(s: SparkSession, d: str) -> DataFrame:
     return j.withColumn("strength", F.round(strength(F.col("term"), F.col("w")), 2)).filter("strength > 0").select("qid", "term", "w", "strength")
 
 
-@query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({stems_sql('text')}) AS term FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 10 <> 0) SELECT term, round(ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY 1")
+_BASE = f"created < epoch_ms({BASE_AT}) OR created IS NULL"
+
+
+@query(f"WITH bd AS (SELECT * FROM documents WHERE {_BASE}), t AS (SELECT DISTINCT doc_id, unnest({stems_sql('text')}) AS term FROM bd), n AS (SELECT count(*) AS n FROM bd) SELECT term, round(ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY 1")
 def q7_base_idf(s: SparkSession, d: str) -> DataFrame:
     """Rarity from the base only, so that edits do not move the ranking."""
-    base = b.documents(s, d).filter("doc_id % 10 <> 0")
+    base = b.documents(s, d).filter((F.unix_millis(F.col("created").cast("timestamp")) < BASE_AT) | F.col("created").isNull())
     df = base.select("doc_id", F.explode(F.array_distinct(stems(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(base.agg(F.count("*").alias("n"))), F.lit(True)).select("term", F.round(F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-@query(f"WITH {_SCORED}, need AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1), r AS (SELECT qid, sc.id, round(score * CASE WHEN terms = need THEN 1.25 ELSE 1 END * {_PRIOR.replace('kind', 'sc.kind')}, 6) AS score FROM sc JOIN need USING (qid)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM r), pop AS (SELECT de.id, count(*) OVER (PARTITION BY name) AS refs FROM de) SELECT qid, k.id, place, round(CASE WHEN place <= 30 THEN score * (1 + 0.06 * ln(1 + least(refs, 200))) ELSE score END, 3) AS score FROM k JOIN pop ON pop.id = k.id")
+@query(f"WITH {_SCORED}, need AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1), r AS (SELECT qid, sc.id, round(score * CASE WHEN terms = need THEN 1.25 ELSE 1 END * {_PRIOR.replace('kind', 'sc.kind')} * CASE WHEN test THEN 0.85 ELSE 1 END, 6) AS score FROM sc JOIN need USING (qid)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM r), pop AS (SELECT de.id, count(*) OVER (PARTITION BY name) AS refs FROM de) SELECT qid, k.id, place, round(CASE WHEN place <= 30 THEN score * (1 + 0.06 * ln(1 + least(refs, 200))) ELSE score END, 3) AS score FROM k JOIN pop ON pop.id = k.id")
 def q8_boosts(s: SparkSession, d: str) -> DataFrame:
-    """All terms found, kind of declaration, and how often a name occurs, the last for the best 30 only."""
+    """All terms found, kind of declaration, tests, and how often a name occurs, the last for the best 30 only."""
     need = _questions(s).groupBy("qid").agg(F.count("*").alias("need"))
     prior = F.when(F.col("kind").isin("class", "interface"), 1.15).when(F.col("kind") == "object", 1.1).when(F.col("kind") == "property", 0.85).otherwise(1.0)
-    r = fielded(s, d).join(F.broadcast(need), "qid").withColumn("score", F.round(F.col("score") * F.when(F.col("terms") == F.col("need"), 1.25).otherwise(1.0) * prior, 6))
+    whole, test = F.when(F.col("terms") == F.col("need"), 1.25).otherwise(1.0), F.when(F.col("test"), 0.85).otherwise(1.0)
+    r = rescored(written(fields(s, d)), _questions(s)).join(F.broadcast(need), "qid").withColumn("score", F.round(F.col("score") * whole * prior * test, 6))
     r = r.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("bigint"))
     de = b.decls(s, d).select("id", "name")
-    pop = de.join(de.groupBy("name").agg(F.count("*").alias("refs")), "name").select("id", "refs")
+    pop = de.join(r.select("id"), "id", "left_semi").join(de.groupBy("name").agg(F.count("*").alias("refs")), "name").select("id", "refs")
     boost = F.when(F.col("place") <= 30, 1 + 0.06 * F.ln(1 + F.least(F.col("refs"), F.lit(200)))).otherwise(1.0)
     return r.join(pop, "id").select("qid", "id", "place", F.round(F.col("score") * boost, 3).alias("score"))
 
@@ -158,33 +195,40 @@ def q10_tiers(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", (100 * F.greatest(100 * F.col("k"), 85 * F.col("y"), 45 * F.col("m")) + 500 * F.greatest(F.col("k") + F.col("y") + F.col("m") - 1, F.lit(0))).alias("score"))
 
 
-_PAIRS = f"w AS (SELECT id, list_distinct({stems_sql('summary')}) AS ws FROM iss), qs AS (SELECT * FROM w WHERE hash(id) IS NOT NULL AND id LIKE '%0'), t AS (SELECT id, unnest(ws) AS term FROM w), qtm AS (SELECT id AS q, unnest(ws) AS term, len(ws) AS n FROM qs)"
+_JSON_TEXT = "json->>'description'"
+_SIMILAR = f"""fw AS (SELECT id, num, 0 AS src, {stems_sql('summary')} AS ws FROM iss UNION ALL SELECT id, num, 1, {stems_sql('d')} FROM (SELECT id, num, {_JSON_TEXT} AS d FROM iss) UNION ALL SELECT iss.id, num, 2, {stems_sql('text')} FROM co JOIN iss ON iss.k = lower(trim(issue))),
+tk AS (SELECT id, term, sum(CASE src WHEN 0 THEN 10.0 WHEN 1 THEN 1.0 ELSE 0.4 END)::DOUBLE AS tf, max((src < 2)::INT) AS own FROM (SELECT id, src, unnest(ws) AS term FROM fw) GROUP BY ALL), le AS (SELECT id, sum(len(ws)) AS l FROM fw GROUP BY 1), dfq AS (SELECT term, count(*) AS df FROM tk GROUP BY 1),
+po AS (SELECT id, src, ws[i] AS term, i FROM fw, unnest(range(1, len(ws) + 1)) AS t(i) WHERE src < 2 AND num % 50 = 0), pg AS (SELECT id, src, term, min(i) AS pos, count(*) AS n FROM po GROUP BY id, src, term QUALIFY row_number() OVER (PARTITION BY id, term ORDER BY src) = 1),
+tr AS (SELECT id AS q, term, src FROM pg QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, CASE WHEN src = 0 THEN 0 ELSE -n END, pos) <= 16), need AS (SELECT q, count(*) AS n, count(*) FILTER (src = 0) AS titles FROM tr GROUP BY 1),
+hs AS (SELECT q, tk.id, round(sum(greatest(ln(((SELECT count(*) FROM le) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (SELECT avg(l) FROM le)))), 6) AS score, sum(own) AS shared, sum(CASE WHEN src = 0 THEN own ELSE 0 END) AS in_title FROM tr JOIN tk USING (term) JOIN dfq USING (term) JOIN le ON le.id = tk.id WHERE q <> tk.id GROUP BY ALL),
+hb AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS place FROM hs QUALIFY place <= 60)"""
 
 
-@query(f"WITH {_PAIRS}, h AS (SELECT q, t.id, any_value(n) AS n, count(*) AS shared FROM qtm JOIN t USING (term) WHERE q <> t.id GROUP BY ALL) SELECT q, id, shared FROM h WHERE shared >= greatest(3, ceil(0.4 * n))")
+@query(f"WITH {_SIMILAR} SELECT q, id, place::INT AS place, shared::BIGINT AS shared FROM hb JOIN need USING (q) WHERE titles > 0 AND in_title >= least(2, titles) OR shared >= greatest(3, ceil(0.4 * n))")
 def q11_similar_issues(s: SparkSession, d: str) -> DataFrame:
-    """Other issues alike, best first; asked for the issues whose number ends in 0."""
-    i = b.issues(s, d).select("id", "summary", F.get_json_object("json", "$.description").alias("description"), "k")
-    said = b.comments(s, d).groupBy(F.lower(F.trim("issue")).alias("k")).agg(F.concat_ws(" ", F.collect_list("text")).alias("comments"))
-    return similar(i.join(said, "k", "left"), F.col("id").endswith("0"))
+    """Other issues alike, best first; asked for the issues whose number is divisible by 50, against all."""
+    i = written(b.issues(s, d).select("id", "num", "summary", F.get_json_object("json", "$.description").alias("description"), "k"))
+    said = b.comments(s, d).select(F.lower(F.trim("issue")).alias("k"), "text").join(i.select("k", "id"), "k").select("id", "text")
+    return similar(i, said, F.col("num") % 50 == 0)
 
 
-def similar(issues: DataFrame, asked: Column, top: int = 60) -> DataFrame:
-    """(q, id, place, shared) for the `asked` of the issues (id, summary, description, comments).
+def similar(issues: DataFrame, comments: DataFrame, asked: Column, top: int = 60) -> DataFrame:
+    """(q, id, place, shared) for the `asked` of the issues (id, summary, description), with their comments (id, text).
 
-    The `top` others by BM25 over fields weighted 10, 1 and 0.4, as FTS5 has it: a word's weighted frequency saturates over all
-    fields, and length is that of all fields. Of these stay the ones whose title or description has two of the asked title's words
-    (all of a shorter title), or at least three and two fifths of all terms asked. `place` counts before that filter.
+    The `top` others by BM25 over fields weighted 10, 1 and, for comments, 0.4, as FTS5 has it: a word's weighted frequency saturates
+    over all fields, and length is that of all fields. Of these stay the ones whose title or description has two of the asked title's
+    words (all of a shorter title), or at least three and two fifths of all terms asked. `place` counts before that filter.
     """
-    words = written(_by_field(issues.withColumn("asked", asked), ("summary", "description", "comments"), "asked"))  # stemmed once
+    said = comments.select("id", F.lit(False).alias("asked"), F.lit(2).alias("src"), stems(F.col("text")).alias("ws"))
+    words = written(_by_field(issues.withColumn("asked", asked), ("summary", "description"), "asked").unionByName(said))  # stemmed once
     weight = F.when(F.col("src") == 0, 10.0).when(F.col("src") == 1, 1.0).otherwise(0.4)
     tokens = words.select("id", "src", F.explode("ws").alias("term")).groupBy("id", "term").agg(F.sum(weight).alias("tf"), F.max((F.col("src") < 2).cast("int")).alias("own"))
     length = words.groupBy("id").agg(F.sum(F.size("ws")).alias("length"))
     sizes = length.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("avg_len"))
-    tokens = tokens.join(length, "id")
-    terms = query_terms(words.filter("asked AND src < 2")).withColumnRenamed("id", "q")
+    terms = written(query_terms(words.filter("asked AND src < 2")).withColumnRenamed("id", "q"))
     need = terms.groupBy("q").agg(F.count("*").alias("n"), F.count(F.when(F.col("src") == 0, 1)).alias("titles"))
-    hit = terms.join(tokens, "term").filter("q <> id").join(op.document_frequency(tokens), "term").join(F.broadcast(sizes), F.lit(True))
+    tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
+    hit = terms.join(tokens.join(op.document_frequency(tokens), "term").join(length, "id"), "term").filter("q <> id").join(F.broadcast(sizes), F.lit(True))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_len")))
     h = hit.groupBy("q", "id").agg(F.round(F.sum(idf * norm), 6).alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
@@ -214,13 +258,31 @@ def query_terms(words: DataFrame) -> DataFrame:
     return g.withColumn("r", r).filter("r <= 16").select("id", "term", "src")
 
 
-@query(f"WITH {_BM} SELECT qid, doc_id, round(score, 6) AS score FROM (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))) AS score FROM tk JOIN qt USING (term) JOIN dfr USING (term) JOIN documents USING (doc_id) CROSS JOIN n WHERE source = 'facts' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) <= 10")
+#: What is asked of the facts; the third question has no word that is searched for.
+ASKED = [(1, "Which tokens are limited?"), (2, "rebuilding the snapshot budget"), (3, "to be or not to be")]
+_ASKED = "aq AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") v(qid, question))"
+_FACTS = f"""{_ASKED}, aw AS (SELECT DISTINCT qid, unnest({stems_sql('question')}) AS term FROM aq), fx AS (SELECT doc_id, created, {stems_sql('text')} AS body, {stems_sql('project')} AS tags FROM documents WHERE source = 'facts'),
+ft AS (SELECT doc_id, term, sum(w)::DOUBLE AS tf FROM (SELECT doc_id, unnest(body) AS term, 1.0 AS w FROM fx UNION ALL SELECT doc_id, unnest(tags), 0.3 FROM fx) GROUP BY ALL), fl AS (SELECT doc_id, len(body) + len(tags) AS l FROM fx),
+pt AS (SELECT qid, aw.term AS qterm, doc_id, sum(tf) AS tf FROM ft JOIN aw ON ft.term = aw.term OR (length(aw.term) >= 5 AND starts_with(ft.term, aw.term)) GROUP BY ALL), pd AS (SELECT qterm, count(DISTINCT doc_id) AS df FROM pt GROUP BY 1),
+fs AS (SELECT qid, doc_id, round(sum(greatest(ln(((SELECT count(*) FROM fl) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (SELECT greatest(avg(l), 1.0) FROM fl)))), 6) AS score FROM pt JOIN pd USING (qterm) JOIN fl USING (doc_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {_FACTS} SELECT qid, doc_id, score FROM fs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 10 UNION ALL (SELECT qid, doc_id, NULL FROM (SELECT qid FROM aq WHERE qid NOT IN (SELECT qid FROM aw)), (SELECT doc_id FROM fx ORDER BY created DESC NULLS LAST, doc_id DESC LIMIT 10))")
 def q13_fact_search(s: SparkSession, d: str) -> DataFrame:
-    docs = written(b.documents(s, d).select("doc_id", "source", stems(F.col("text")).alias("ws")))
-    tokens = op.token_table(docs, "doc_id", "ws")
-    scores = op.bm25(tokens, op.corpus_size(docs, "ws"), _questions(s).withColumn("w", F.lit(1.0)), "doc_id")
-    facts = scores.join(docs.filter("source = 'facts'").select("doc_id"), "doc_id", "left_semi").withColumn("score", F.round("score", 6))
-    return op.top_per_query(facts, "doc_id", 10).select("qid", "doc_id", "score")
+    """The ten best facts for a question: any of its stems, one of five characters or more as a prefix too; the newest facts if it has no stem."""
+    facts = b.documents(s, d).filter("source = 'facts'").select("doc_id", "created", stems(F.col("text")).alias("body"), stems(F.col("project")).alias("tags"))
+    facts = written(facts)
+    asked = s.createDataFrame(ASKED, "qid int, question string")
+    terms = asked.select("qid", F.explode(F.array_distinct(stems(F.col("question")))).alias("term"))
+    tokens = op.weighted_tokens(facts, "doc_id", {"body": 1.0, "tags": 0.3})
+    words = op.expanded_terms(terms, tokens.select("term").distinct(), 5, 1.0).select("qterm", "term").distinct()
+    # A prefix is one phrase: the frequencies of the words it stands for add up.
+    phrases = tokens.join(words, "term").groupBy("doc_id", F.col("qterm").alias("term")).agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    scores = op.fts_bm25(phrases, op.lengths(facts, ["body", "tags"]), terms.withColumn("w", F.lit(1.0)), "doc_id").withColumn("score", F.round("score", 6))
+    best = op.top_per_query(scores, "doc_id", 10).select("qid", "doc_id", "score")
+    newest = facts.orderBy(F.desc_nulls_last("created"), F.desc("doc_id")).limit(10).select("doc_id")
+    unasked = asked.join(terms, "qid", "left_anti").select("qid")
+    return best.unionByName(F.broadcast(unasked).join(newest, F.lit(True)).select("qid", "doc_id", F.lit(None).cast("double").alias("score")))
 
 
 _SETS = f"ws AS (SELECT doc_id, list_sort(list_distinct({stems_sql('text')})) AS w FROM documents), cl AS (SELECT w, min(doc_id) AS rep FROM ws WHERE len(w) > 0 GROUP BY 1)"
@@ -234,14 +296,24 @@ def q14_near_duplicates(s: SparkSession, d: str) -> DataFrame:
     return op.similar_sets(written(docs), "doc_id", "ws", 0.85, "numbers")
 
 
-@query(f"WITH t AS (SELECT DISTINCT id, unnest({stems_sql('summary')}) AS term FROM iss), {_QT}, h AS (SELECT qid, id, count(DISTINCT qt.term) AS n FROM t JOIN qt ON starts_with(t.term, qt.term) GROUP BY ALL), need AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1) SELECT qid, id FROM h JOIN need USING (qid) WHERE n = need")
+TASK_HITS = 2000
+_TASKS = f"""{_QT}, tw AS (SELECT id, ws, len(ws) AS l FROM (SELECT id, {stems_sql('summary')} AS ws FROM iss)), tt AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(ws) AS term FROM tw) GROUP BY ALL),
+tp AS (SELECT qid, qt.term AS qterm, id, sum(tf) AS tf FROM tt JOIN qt ON starts_with(tt.term, qt.term) GROUP BY ALL), td AS (SELECT qterm, count(DISTINCT id) AS df FROM tp GROUP BY 1), need AS (SELECT qid, count(*) AS need FROM qt GROUP BY 1),
+ts AS (SELECT qid, id, round(sum(greatest(ln(((SELECT count(*) FROM tw) - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / (SELECT greatest(avg(l), 1.0) FROM tw)))), 6) AS score, count(*) AS n FROM tp JOIN td USING (qterm) JOIN tw USING (id) GROUP BY ALL)"""
+
+
+@query(f"WITH {_TASKS} SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS place FROM ts JOIN need USING (qid) WHERE n = need QUALIFY place <= {TASK_HITS}")
 def q15_all_terms(s: SparkSession, d: str) -> DataFrame:
-    t = b.issues(s, d).select("id", F.explode(F.array_distinct(stems(F.col("summary")))).alias("term"))
+    """Issues that have all terms of a question, each as a prefix, in the order of their rank; the best 2 000."""
+    issues = written(b.issues(s, d).select("id", stems(F.col("summary")).alias("ws")))
+    tokens = op.token_table(issues, "id", "ws")
     q = _questions(s)
-    e = op.expanded_terms(q, t.select("term").distinct(), 4, 1.0)
-    need = q.groupBy("qid").agg(F.count("*").alias("need"))
-    h = t.join(e, "term").groupBy("qid", "id").agg(F.count_distinct("qterm").alias("n"))
-    return h.join(F.broadcast(need), "qid").filter("n = need").select("qid", "id")
+    words = op.expanded_terms(q, tokens.select("term").distinct(), 1, 1.0).select("qterm", "term").distinct()
+    phrases = tokens.join(words, "term").groupBy("id", F.col("qterm").alias("term")).agg(F.sum("tf").cast("double").alias("tf"), F.max("length").alias("length"))
+    scores = op.fts_bm25(phrases, op.lengths(issues, ["ws"]), q.withColumn("w", F.lit(1.0)), "id").withColumn("score", F.round("score", 6))
+    whole = phrases.join(q, "term").groupBy("qid", "id").agg(F.count("*").alias("n")).join(F.broadcast(q.groupBy("qid").agg(F.count("*").alias("need"))), "qid").filter("n = need")
+    hit = scores.join(whole.select("qid", "id"), ["qid", "id"], "left_semi")
+    return hit.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= TASK_HITS).select("qid", "id", "place")
 
 
 _BULLETS = "l AS (SELECT doc_id, i::BIGINT AS line, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS t(i)), bl AS (SELECT * FROM l WHERE starts_with(text, '- '))"

@@ -19,8 +19,9 @@ def test_similar_by_two_title_words_or_description(spark):
         ("A-3", "Snapshot only", "nothing", None),
         ("A-4", "Unlike", "nothing", "snapshot index nightly backup"),  # a comment ranks, but is no shared word
     ] + [(f"B-{i}1", "Plain filler", None, None) for i in range(20)]
-    df = spark.createDataFrame(rows, "id string, summary string, description string, comments string")
-    out = search.similar(df, df["id"] == "A-10").collect()
+    df = spark.createDataFrame([r[:3] for r in rows], "id string, summary string, description string")
+    said = spark.createDataFrame([(r[0], r[3]) for r in rows if r[3]], "id string, text string")
+    out = search.similar(df, said, df["id"] == "A-10").collect()
     assert {(r["id"], r["shared"]) for r in out} == {("A-1", 2), ("A-2", 4)}
     assert next(r["place"] for r in out if r["id"] == "A-1") == 1
 
