@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,7 @@ SWAPS = (
 )
 #: Nats by which a re-reading must be likelier: per pair of characters, and in all.
 PAIR_GAIN, TOTAL_GAIN, SPAN_GAIN = 2.0, 9.0, 1.0
-ROUNDS = 4
 SEEN = 100_000  # runs and words whose re-readings a worker remembers, to save work only
-_RIGHT = re.compile("[ -ſƒȘ-țˆ-˝Ά-ώЀ-џҐґẀ-ỹ‐-⁞€℀-⅏←-⋿①-➿﻿�\U0001f300-\U0001faff]+")
-#: The letters of the languages met here and the common marks, which need no corpus to be likely.
-_USUAL = frozenset("áčďéěíňóřšťúůýžäöüßàâçèêëîïôùûüÿœæąćęłńśźżãõñøåÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÄÖÜÀÂÇÈÊËÎÏÔÙÛŒĄĆĘŁŃŚŹŻÃÕÑ–—‘’“”„…«»•€™©®°§ ") | frozenset(map(chr, range(0x410, 0x450))) | {"ё", "Ё"}
 _CONTROLS = re.compile("[\x80-\x9f]")
 _FOREIGN = re.compile("[^\x00-\x7f]+")
 
@@ -69,6 +67,46 @@ def _known() -> frozenset:
     return frozenset(c for n in (*READ_AS, "cp1253") for c in page(n)[0])
 
 
+#: Blocks where one character may be all of a span: Latin-1, Latin Extended-A, Romanian letters, Greek, Cyrillic, general punctuation,
+#: currency and letterlike symbols. Elsewhere a span needs more structure.
+_NEAR = ((0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x2010, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x214F))
+#: Bits by which a sequence of 2, 3 or 4 bytes is rarer than chance among high bytes (lead bytes over 128, times 1/2 for each other byte).
+_BITS = {2: 3, 3: 5, 4: 8}
+#: Scripts that are written together; any other script stands alone.
+_TOGETHER = tuple(regex.compile("[" + "".join(rf"\p{{{x}}}" for x in n.split()) + "]+") for n in ("Latin", "Cyrillic", "Greek", "Han Hiragana Katakana Bopomofo", "Hangul Han"))
+_NEUTRAL = regex.compile(r"[\p{Common}\p{Inherited}]+")
+
+
+@lru_cache(SEEN)
+def _assigned(c: str) -> bool:
+    """Whether a text may hold the character: it is assigned, no control but white space, and not for private use."""
+    kind = unicodedata.category(c)
+    return kind not in ("Cn", "Co", "Cs") and (kind != "Cc" or c in "\t\n\r")
+
+
+def _coherent(text: str) -> bool:
+    """Whether all letters of a span are of one script, or of several that are written together."""
+    bare = _NEUTRAL.sub("", text)
+    return not bare or any(p.fullmatch(bare) for p in _TOGETHER) or len({unicodedata.name(c, "").split(" ")[0] for c in bare}) == 1
+
+
+_LOWER = regex.compile(r"\p{Ll}+")
+_WORD_LIKE = regex.compile(r"\p{Ll}+|\p{Lu}\p{Ll}*|\p{Lu}+|\p{Ll}\p{Lu}+")
+
+
+def plausible(span: str, new: str) -> bool:
+    """Whether a span and what it decodes to may be taken for a garbled place on the bytes' structure alone.
+
+    Either the new characters lie in near blocks and the span isn't all small letters, or there are bits enough, in one script. What looks like a word as it stands (or
+    one with its case turned) needs more: whole words of some languages are well-formed in some page by chance.
+    """
+    if not _coherent(new):
+        return False
+    if all(c <= "\x7f" or any(a <= ord(c) <= b for a, b in _NEAR) for c in new) and not _LOWER.fullmatch(span):
+        return True
+    return sum(_BITS[len(c.encode())] for c in new if c > "\x7f") >= (40 if _WORD_LIKE.fullmatch(span) and _coherent(span) else 5)
+
+
 def _class(c: str) -> str:
     if c.isascii():
         return c if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else "."
@@ -94,20 +132,22 @@ def _readings(run: str) -> Iterator[tuple[int, int, str, str, bool]]:
             if new is None:
                 continue
             again = b - a >= 4 and decoded_again(new)
-            if _RIGHT.fullmatch(_CONTROLS.sub("", new) or " " if again else new):
+            if all(map(_assigned, _CONTROLS.sub("", new) if again else new)):
                 yield a, b, new, name, again
 
 
 def _apart(run: str, a: int, b: int) -> bool:
-    """Whether run[a:b] has no foreign letter beside it. Right words meet the structure by chance, but mostly inside a longer run of letters."""
-    return not run[a - 1 : a].isalpha() and not run[b : b + 1].isalpha()
+    """Whether run[a:b] has no foreign letter beside it, nor a symbol if it holds symbols. Right words and drawn lines meet the
+    structure by chance, but mostly inside a longer run of their kind."""
+    beside = run[a - 1 : a] + run[b : b + 1]
+    return not any(map(str.isalpha, beside)) and not (any(unicodedata.category(c) == "So" for c in beside) and any(unicodedata.category(c) == "So" for c in run[a:b]))
 
 
 @lru_cache(SEEN)
 def _evidence(left: str, run: str, right: str) -> frozenset:
     """The pairs of a run that say what is usual: those that touch no span which may itself be garbled."""
     s = [_class(c) for c in left + run + right]
-    doubtful = {i for a, b, *_ in _readings(run) if _apart(run, a, b) for i in range(a, b + 1)}
+    doubtful = {i for a, b, new, *_ in _readings(run) if _apart(run, a, b) and plausible(run[a:b], new) for i in range(a, b + 1)}
     return frozenset(x + y for i, (x, y) in enumerate(zip(s, s[1:])) if i not in doubtful)
 
 
@@ -153,6 +193,10 @@ class Likelihood:
         total, n = self.of(text)
         return total / n if n else 5.0
 
+    def knows(self, text: str) -> bool:
+        """Whether each pair of a text is in the corpus."""
+        return all(p in self.logs for p in pairs(text))
+
     def inside(self, span: str) -> float:
         """The mean over the span's own pairs, without those at its ends."""
         s = [_class(c) for c in span]
@@ -165,40 +209,53 @@ def _shown(text: str, a: int, b: int) -> bool:
     return (left, right) in {("“", "”"), ('"', '"'), ("'", "'"), ("„", "“"), ("‘", "’"), ("«", "»"), ("`", "`"), ("(", ")"), ("[", "]"), ("<", ">"), ("‹", "›"), ("„", "”")}
 
 
-def _run_spans(left: str, run: str, right: str, likely: Likelihood) -> list[tuple[int, int, str, str]]:
-    """(from, to, restored, page) in a run of characters that aren't ASCII; the longest first where pages disagree."""
+Found = tuple[int, int, str, str, float]
+
+
+def _run_spans(left: str, run: str, right: str, likely: Likelihood) -> list[Found]:
+    """(from, to, restored, page, gain) of all acceptable readings in a run of characters that aren't ASCII."""
     found = []
     for a, b, new, name, again in _readings(run):
         before, after = run[a - 1] if a else left, run[b] if b < len(run) else right
         gain = likely.mean(before + new + after) - likely.mean(before + run[a:b] + after)
         # What was read twice stays garbled after one reading, so it only has to become shorter in bytes that make sense. Where
-        # no right text has the span's own pairs, the bytes' structure decides, if it gives usual characters.
-        if gain >= SPAN_GAIN or (_apart(run, a, b) and likely.inside(run[a:b]) < likely.rare and _USUAL.issuperset(new)) or again:
+        # no right text has the span's own pairs, the bytes' structure decides.
+        fits = plausible(run[a:b], new)
+        if (gain >= SPAN_GAIN and (fits or likely.knows(before + new + after))) or (fits and _apart(run, a, b) and likely.inside(run[a:b]) < likely.rare) or again:
             found.append((a, b, new, name, gain))
-    found.sort(key=lambda x: (x[0] - x[1], -x[4]))
-    taken, out = [], []
-    for a, b, new, name, _ in found:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            out.append((a, b, new, name))
-    return out
+    return found
+
+
+def _chosen(found: list[Found], votes: Counter) -> list[Found]:
+    """The longest readings first; where pages disagree on a place, the page by which the whole text gains most."""
+    taken: list[Found] = []
+    for x in sorted(found, key=lambda x: (x[0] - x[1], -votes[x[3]], -x[4])):
+        if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
+            taken.append(x)
+    return taken
 
 
 def utf8_spans(text: str, likely: Likelihood) -> list[tuple[int, int, str, str]]:
     """(from, to, restored, page) of the spans that are UTF-8 read in a legacy page. Such a span holds no ASCII."""
-    out = []
+    runs = []
     for m in _FOREIGN.finditer(text):
         i, j = m.span()
         if j - i < 2:
             continue
         key = (text[i - 1 : i], m[0], text[j : j + 1])
-        spans = likely.seen.get(key)
-        if spans is None:
-            spans = _run_spans(*key, likely)
+        found = likely.seen.get(key)
+        if found is None:
+            found = _run_spans(*key, likely)
             if len(likely.seen) < SEEN:
-                likely.seen[key] = spans
-        out += [(i + a, i + b, new, name) for a, b, new, name in spans if not _shown(text, i + a, i + b)]
-    return sorted(out)
+                likely.seen[key] = found
+        if found:
+            runs.append((i, found))
+    votes: Counter = Counter()
+    for _, found in runs:
+        for a, b, _, name, gain in found:
+            votes[name] += (b - a) * (1.0 + max(gain, 0.0))
+    out = [(i + a, i + b, new, name) for i, found in runs for a, b, new, name, _ in _chosen(found, votes)]
+    return sorted(x for x in out if not _shown(text, x[0], x[1]))
 
 
 def decoded_again(text: str) -> bool:
@@ -268,10 +325,7 @@ def repair(text: str, likely: Likelihood) -> tuple[bool, str, list[str]]:
     if text.isascii():
         return False, text, []
     done: list[str] = []
-    for _ in range(ROUNDS):
-        spans = utf8_spans(text, likely)
-        if not spans:
-            break
+    while spans := utf8_spans(text, likely):  # each round makes the text shorter, so it ends
         for a, b, new, name in reversed(spans):
             text = text[:a] + new + text[b:]
             done.append(f"utf-8 as {name}")

@@ -40,6 +40,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents")).filter("garbled").select("doc_id").distinct()
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of `p10_found` that the byte-structure automaton finds."""
+    return encoding.repaired(table(spark, d, "documents")).filter(F.col("causes").contains("utf-8 as ")).select("doc_id", "causes")
+
+
+def p10_without_structure(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of `p10_found` with garbling that has no byte structure: pages mistaken for one another, and lost bytes."""
+    other = F.filter(F.split("causes", ", "), lambda c: (c != "") & ~c.startswith("utf-8 as "))
+    return encoding.repaired(table(spark, d, "documents")).filter(F.size(other) > 0).select("doc_id", F.array_join(other, ", ").alias("causes"))
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents")).filter("garbled").select("doc_id", "causes", "restored")
 
@@ -62,5 +73,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_errors, p4_rates, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_errors, p4_rates, p8_pack, p8_containers, p9_mix, p9_shares, p10_found, p10_restored, p10_spans, p10_without_structure)}
 SQL: dict[str, str] = {}

@@ -37,6 +37,35 @@ def test_twice_wrong_comes_back(likely, text):
     assert E.repair(wrong, likely)[1] == text
 
 
+OTHER = [
+    "日本語の文章をここに書きます。東京は大きいです。", "שלום עולם, זה מבחן של טקסט", "مرحبا بالعالم هذا نص للاختبار", "สวัสดีชาวโลก นี่คือการทดสอบ", "안녕하세요 세계, 이것은 시험입니다", "你好，世界。这是一个测试。", "नमस्ते दुनिया यह परीक्षण है",
+    "Ελληνικό κείμενο για δοκιμή", "Հայերեն տեքստ", "ქართული ტექსტი", "Việt Nam là một đất nước đẹp", "Привіт, світе! Це їжак", "Ștefan și țară",
+]
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "cp1250", "cp437", "cp850", "koi8-r", "mac_roman", "iso8859-15"])
+@pytest.mark.parametrize("text", OTHER)
+def test_scripts_the_corpus_lacks_come_back(likely, page, text):
+    assert E.repair(text, likely)[:2] == (False, text)
+    back = E.page(page)[1]
+    wrong = "".join(back[b] if b > 127 else chr(b) for b in text.encode())
+    assert E.repair(wrong, likely)[:2] == (True, text)
+
+
+@pytest.mark.parametrize("text", [CLEAN[0], OTHER[0], OTHER[7]])
+@pytest.mark.parametrize("times", [3, 5, 7])
+def test_often_wrong_comes_back(likely, text, times):
+    back, wrong = E.page("latin-1")[1], text
+    for _ in range(times):
+        wrong = "".join(back[b] if b > 127 else chr(b) for b in wrong.encode())
+    assert E.repair(wrong, likely)[1] == text
+
+
+@pytest.mark.parametrize("text", ["только один поток, запись ведёт", "Nejdřív načteme, dříve", "├──────┼───────┤", "ТОЛЬКО тОЛЬКО"])
+def test_right_words_that_are_well_formed_by_chance_stay(likely, text):
+    assert not E.repair(text, likely)[0]
+
+
 @pytest.mark.parametrize(("truly", "read", "n"), [("cp1250", "cp1252", 0), ("cp1251", "cp1252", 4), ("koi8-r", "cp1251", 4), ("cp852", "cp1250", 1)])
 def test_swapped_pages(likely, truly, read, n):
     text = CLEAN[n]
