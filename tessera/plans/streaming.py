@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as op
 from tessera.plans import base as b
-from tessera.session import shared_dir, table
+from tessera.session import table
 from tessera.streaming import jobs
 
 query = b.Registry()
@@ -30,8 +28,8 @@ def t1_resumable_source(s: SparkSession, d: str) -> DataFrame:
 def t2_watermark(s: SparkSession, d: str) -> DataFrame:
     """Versions never step back: a batch's newest version of an id replaces an older one only."""
     rows = jobs.file_stream(s, f"{d}/issues.parquet").select(F.lower(F.trim("id")).alias("k"), "updated")
-    merge = lambda old, new: old.unionByName(new).groupBy("k").agg(F.max("updated").alias("updated"))
-    return jobs.upserted(rows, f"{shared_dir(s)}/mirror-{uuid.uuid4().hex}", merge)
+    merge = lambda old, new: (new if old is None else old.unionByName(new)).groupBy("k").agg(F.max("updated").alias("updated"))
+    return jobs.upserted(rows, ["k"], merge)
 
 
 @query("SELECT k FROM iss WHERE updated >= (SELECT max(updated) - 864000000 FROM iss) UNION SELECT k FROM iss WHERE project = 'HRB' AND NOT EXISTS (SELECT 1 FROM fc WHERE fc.issue = iss.id)")
@@ -45,19 +43,19 @@ def t3_reconciled(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL", bare=True)
 def t4_tumbling(s: SparkSession, d: str) -> DataFrame:
-    out = jobs.drained(jobs.tumbling(_events(s, d), "ts", "1 hour", "365 days", ["event_type"]), "complete")
+    out = jobs.tumbling(_events(s, d), "ts", "1 hour", "365 days", ["event_type"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i FOR i IN range(0, 4)]) AS start FROM events) GROUP BY 1", bare=True)
 def t5_sliding(s: SparkSession, d: str) -> DataFrame:
-    out = jobs.drained(jobs.sliding(_events(s, d), "ts", "1 hour", "15 minutes", "365 days"), "complete")
+    out = jobs.sliding(_events(s, d), "ts", "1 hour", "15 minutes", "365 days")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n FROM g GROUP BY user_id, k", bare=True)
 def t6_sessions(s: SparkSession, d: str) -> DataFrame:
-    out = jobs.drained(jobs.sessions(_events(s, d), "ts", "1 day", "365 days", "user_id"), "complete")
+    out = jobs.sessions(_events(s, d), "ts", "1 day", "user_id")
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
@@ -86,16 +84,10 @@ def t8_growing_messages(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT day, 'over' AS what FROM (SELECT hour // 24 AS day, sum(cost) AS c FROM uh GROUP BY 1) WHERE c > 0.3")
 def t9_alerts(s: SparkSession, d: str) -> DataFrame:
-    """Each day is announced once, however often its rows come: known days are left out of a batch's announcements."""
+    """Each day is announced once, in the batch in which its sum crosses the limit."""
     rows = jobs.file_stream(s, f"{d}/usage_hours.parquet")
-
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        hours = new.groupBy("run_id", "hour").agg(F.max("cost").alias("cost"))
-        days = hours.groupBy(F.floor(F.col("hour") / 24).alias("day")).agg(F.sum("cost").alias("c")).filter("c > 0.3").select("day", F.lit("over").alias("what"))
-        known = old if "what" in old.columns else old.select(F.floor(F.col("hour") / 24).alias("day"), F.lit("over").alias("what")).limit(0)
-        return known.unionByName(op.absent(days, known, ["day"]))
-
-    return jobs.upserted(rows, f"{shared_dir(s)}/alerts-{uuid.uuid4().hex}", merge)
+    days = jobs.exceeded(rows, F.floor(F.col("hour") / 24), ["run_id", "hour"], "cost", 0.3)
+    return days.select("day", F.lit("over").alias("what"))
 
 
 @query("WITH o AS (SELECT session, type FROM st WHERE seq % 3 <> 0 GROUP BY ALL), n AS (SELECT session, type FROM st WHERE seq % 4 <> 0 GROUP BY ALL) SELECT coalesce(o.session, n.session) AS session, coalesce(o.type, n.type) AS type, CASE WHEN o.session IS NULL THEN 'added' ELSE 'removed' END AS mark FROM o FULL JOIN n ON o.session = n.session AND o.type IS NOT DISTINCT FROM n.type WHERE o.session IS NULL OR n.session IS NULL")
@@ -105,18 +97,43 @@ def t10_set_difference(s: SparkSession, d: str) -> DataFrame:
     return op.compared(old, new, ["session", "type"], [])
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 9500 ORDER BY event_id LIMIT 200", bare=True)
+#: Where a reader left off, and how many events it takes at a time.
+CURSOR, PAGE = 500, 200
+
+
+def replay(events: DataFrame, after: int, page: int) -> DataFrame:
+    """The next `page` events after a cursor, by number: what a reader that fell behind asks for."""
+    return events.filter(F.col("event_id") > after).orderBy("event_id").limit(page)
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE event_id > {CURSOR} ORDER BY event_id LIMIT {PAGE}", bare=True)
 def t11_replay(s: SparkSession, d: str) -> DataFrame:
-    return b.events(s, d).filter("event_id > 9500").select("event_id", "event_type").orderBy("event_id").limit(200)
+    return replay(b.events(s, d), CURSOR, PAGE).select("event_id", "event_type")
+
+
+#: Files stamped from this instant on have moved since the overlay was built; more than so many mean a full pass.
+REFRESHED_AT, FEW = 1_767_225_600_000, 200
+
+
+def refreshed(files: DataFrame, built: DataFrame, few: int = FEW) -> DataFrame:
+    """(id, state, incremental) of the files (id, size, mtime) against the stamps of the last build: moved ones are read again,
+    if they are `few` at most, else all of them; files that are gone are `gone`."""
+    old = built.select("id", F.struct("size", "mtime").alias("was"))
+    both = files.select("id", F.struct("size", "mtime").alias("now")).join(old, "id", "full_outer")
+    moved = F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("was"))
+    count = both.agg((F.count(F.when(moved | F.col("now").isNull(), 1)) <= few).alias("incremental"))
+    state = F.when(F.col("now").isNull(), "gone").when(moved | ~F.col("incremental"), "reparsed").otherwise("kept")
+    return both.join(F.broadcast(count), F.lit(True)).select("id", state.alias("state"), "incremental")
+
+
+_STAMPS = f"b AS (SELECT id, size, mtime FROM f WHERE mtime < {REFRESHED_AT}), x AS (SELECT id, f.mtime IS NULL AS gone, b.id IS NULL OR (f.size, f.mtime) IS DISTINCT FROM (b.size, b.mtime) AS moved FROM (SELECT * FROM f WHERE deleted = 0) f FULL JOIN b USING (id)), c AS (SELECT count(*) FILTER (moved OR gone) <= {FEW} AS incremental FROM x)"
 
 
-@query("WITH m AS (SELECT id, path, size FROM f WHERE id % 50 = 0) SELECT f.id, CASE WHEN m.id IS NOT NULL THEN 'reparsed' ELSE 'kept' END AS state, (SELECT count(*) FROM m) <= 200 AS incremental FROM f LEFT JOIN m USING (id)")
+@query(f"WITH {_STAMPS} SELECT id, CASE WHEN gone THEN 'gone' WHEN moved OR NOT incremental THEN 'reparsed' ELSE 'kept' END AS state, incremental FROM x, c")
 def t13_refresh(s: SparkSession, d: str) -> DataFrame:
-    """Which files are read again: those that moved, if they are 200 at most, else all."""
-    f = b.files(s, d).select("id")
-    moved = f.filter("id % 50 = 0").withColumn("m", F.lit(True))
-    few = (moved.agg((F.count("*") <= 200).alias("incremental")))
-    return f.join(moved, "id", "left").join(F.broadcast(few), F.lit(True)).select("id", F.when(F.col("m"), "reparsed").otherwise("kept").alias("state"), "incremental")
+    """Which files are read again: the stamps before the last build against those of the files that are there."""
+    f = b.files(s, d).select("id", "size", "mtime", "deleted")
+    return refreshed(f.filter("deleted = 0"), f.filter(F.col("mtime") < REFRESHED_AT))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT id) AS ids, max(updated) AS newest FROM issues")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,16 +33,36 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder.
 
-    Only a session that names none (a local test) gets one of its own.
+    Only a local session that names none (a test) gets one of its own; on a cluster it must be named.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, folder[7:], ignore_errors=True)
+        sc.setCheckpointDir(folder)
         named = sc.getCheckpointDir()
     return named
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system and the path in it, for listings and deletions."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    fs, p = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder, so that later rounds neither repeat it nor depend on one executor."""
     shared_dir(df.sparkSession)
@@ -48,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """As `cut`, but as a columnar table, for tables that are read more than once with other columns."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
