@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.delivery import DeletionVectors, delivery_vectors
 from tessera.session import table
 
 PRELUDE = """WITH RECURSIVE f AS (SELECT DISTINCT ON (id) * FROM files), de AS (SELECT DISTINCT * FROM decls),
@@ -37,33 +38,48 @@ class Registry:
         return add
 
 
+_ONCE: dict[tuple, DeletionVectors] = {}
+
+
+def once(s: SparkSession, d: str, name: str) -> DeletionVectors:
+    """The deletion vectors of rows delivered again, by `id`, made once per application: later queries read payload without a shuffle."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _ONCE:
+        order = F.col("mtime") if name == "files" else F.lit(0).cast("bigint")
+        _ONCE[key] = delivery_vectors(s, f"{d}/{name}.parquet", F.col("id").cast("string"), order, F.lit(0).cast("bigint"))
+    return _ONCE[key]
+
+
 def files(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "files").dropDuplicates(["id"])
+    """Each file once, the latest where rows of an id differ. Contents are read where they lie, and filters on them reach the scan."""
+    return once(s, d, "files").kept()
 
 
 def decls(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "decls").distinct()
+    """Each declaration once. Only the columns that a query uses are shuffled, as in the readers below."""
+    return table(s, d, "decls").dropDuplicates(["id"])
 
 
 def issues(s: SparkSession, d: str) -> DataFrame:
     """The version with the greatest `updated` of each id; `k` and `pk` are the id and the parent as they are compared."""
-    rows = table(s, d, "issues").distinct().withColumn("k", F.lower(F.trim("id")))
+    rows = table(s, d, "issues").withColumn("k", F.lower(F.trim("id")))
     last = rows.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc("updated")))).filter("rn = 1").drop("rn")
     return last.withColumn("pk", F.nullif(F.lower(F.trim("parent")), F.lit("")))
 
 
 def comments(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "comments").distinct()
+    """Each comment once; texts are read where they lie."""
+    return once(s, d, "comments").kept()
 
 
 def changes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "field_changes").distinct().withColumn("field", F.lower("field")).withColumnRenamed("at", "at_ms")
+    return table(s, d, "field_changes").dropDuplicates(["id"]).withColumn("field", F.lower("field")).withColumnRenamed("at", "at_ms")
 
 
 def runs(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "runs").distinct()
+    """Of each run the row stored last: the greatest end, then the most turns."""
     w = W.partitionBy("id").orderBy(F.desc_nulls_last("end_ms"), F.desc("turns"))
-    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return table(s, d, "runs").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
 def hours(s: SparkSession, d: str) -> DataFrame:

@@ -75,13 +75,13 @@ def supertype_edges(s: SparkSession, d: str) -> DataFrame:
     return named.unionByName(around).distinct()
 
 
-@query("WITH " + _SUPER + ", cl AS (SELECT a AS start, b AS id, 1::BIGINT AS depth FROM sup UNION SELECT cl.start, sup.b, depth + 1 FROM cl JOIN sup ON sup.a = cl.id WHERE depth < 12) SELECT start, id, min(depth) AS depth FROM cl WHERE id <> start GROUP BY ALL")
+@query("WITH " + _SUPER + ", cl(start, id, depth) USING KEY (start, id) AS (SELECT a, b, 1::BIGINT FROM sup UNION SELECT DISTINCT cl.start, sup.b, cl.depth + 1 FROM cl JOIN sup ON sup.a = cl.id LEFT JOIN recurring.cl AS seen ON seen.start = cl.start AND seen.id = sup.b WHERE seen.id IS NULL) SELECT start, id, depth FROM cl WHERE id <> start")
 def g4_supertypes(s: SparkSession, d: str) -> DataFrame:
     e = supertype_edges(s, d)
     return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("WITH " + _SUPER + ", cl AS (SELECT b AS start, a AS id, 1::BIGINT AS depth FROM sup UNION SELECT cl.start, sup.a, depth + 1 FROM cl JOIN sup ON sup.b = cl.id WHERE depth < 12) SELECT start, id, min(depth) AS depth FROM cl WHERE id <> start GROUP BY ALL")
+@query("WITH " + _SUPER + ", cl(start, id, depth) USING KEY (start, id) AS (SELECT b, a, 1::BIGINT FROM sup UNION SELECT DISTINCT cl.start, sup.a, cl.depth + 1 FROM cl JOIN sup ON sup.b = cl.id LEFT JOIN recurring.cl AS seen ON seen.start = cl.start AND seen.id = sup.a WHERE seen.id IS NULL) SELECT start, id, depth FROM cl WHERE id <> start")
 def g5_subtypes(s: SparkSession, d: str) -> DataFrame:
     e = supertype_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
     return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))

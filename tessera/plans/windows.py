@@ -166,7 +166,7 @@ def path_key(path: Column) -> Column:
 _KEY = "translate(lower(path), '" + ORDER.replace("'", "''") + "', '" + "".join(chr(0x100 + i) for i in range(len(ORDER))) + "')"
 
 
-@query(f"SELECT path, row_number() OVER (ORDER BY {_KEY}, path) AS place FROM (SELECT DISTINCT path FROM f) ORDER BY place LIMIT 200")
+@query(f"SELECT path, row_number() OVER (ORDER BY {_KEY}, path) AS place FROM (SELECT DISTINCT path FROM f)")
 def o1_path_order(s: SparkSession, d: str) -> DataFrame:
     return placed(b.files(s, d).select("path").distinct(), path_key(F.col("path"))).select("path", "place")
 
@@ -181,7 +181,7 @@ def placed(df: DataFrame, order: Column) -> DataFrame:
     return rows.join(F.broadcast(ahead), "_part").withColumn("place", place.cast("bigint")).drop("_id", "_part", "_ahead")
 
 
-@query("SELECT path, start_line, de.id FROM de JOIN f ON f.id = file_id ORDER BY path, start_line, de.id LIMIT 300")
+@query("SELECT path, start_line, de.id FROM de JOIN f ON f.id = file_id")
 def o2_by_path_and_line(s: SparkSession, d: str) -> DataFrame:
     f = b.files(s, d).select(F.col("id").alias("file_id"), "path")
     return b.decls(s, d).join(f, "file_id").select("path", "start_line", "id").orderBy("path", "start_line", "id")

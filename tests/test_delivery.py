@@ -39,6 +39,15 @@ def test_random_rows(spark, tmp_path, monkeypatch, groups):
     assert sorted(x[0] for x in kept.collect()) == sorted(n for n in range(3000) if n not in gone)
 
 
+def test_partitions_and_odd_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "GROUP_BYTES", 100)
+    path = str(tmp_path / "a b%c")
+    spark.createDataFrame([(n, f"k{n % 40}", n % 3, "p%d" % (n % 4)) for n in range(200)], "seq bigint, id string, out bigint, part string").write.partitionBy("part").parquet(path)
+    v = delivery.delivery_vectors(spark, path, F.col("id"), F.col("out"), F.col("seq"))
+    rows = [(r["seq"], r["id"], r["out"]) for r in v.kept().collect()]
+    assert len(v.groups) > 1 and len(rows) == 40 == len({r[1] for r in rows}) and v.kept(["part"]).distinct().count() == 4
+
+
 def test_empty_and_whole_repeats(spark, tmp_path):
     v = run(spark, str(tmp_path / "e"), [])
     assert v.deleted(["seq"]).count() == 0 and v.kept().count() == 0
