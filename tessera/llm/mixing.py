@@ -60,7 +60,8 @@ def route(patterns: dict[frozenset, int], quotas: dict[str, int], repeats: dict[
     """Tokens from each pattern of sources to each source's quota, repeating as little as possible: (total, flows).
 
     A pattern's tokens come in layers: the first use is free, the second costs 1, the third 2, so the cost is convex in the
-    repetitions and texts of sources with much to spare are not repeated for others.
+    repetitions and texts of sources with much to spare are not repeated for others. A text is used at most as often as a source
+    allows for that source, and, over all its sources together, at most as often as the most generous of them allows.
     """
     net, ways = Network(), {}
     for p, tokens in patterns.items():
@@ -101,8 +102,9 @@ def largest_mix(patterns: dict[frozenset, int], shares: dict[str, float], repeat
 def mixed(texts: DataFrame, targets: DataFrame, seed: int = 1, limit: int | None = None) -> DataFrame:
     """(mix_id, source, doc_id, copies, tokens): the documents of each mix with the times each is used for a source.
 
-    `texts` holds (doc_id, key, source, tokens); equal keys are one text, which may belong to several sources and is used, for a
-    source, at most its `max_repeats` times. A text stands in the result under its least doc_id of that source. Texts without
+    `texts` holds (doc_id, key, source, tokens); equal keys are one text, which may belong to several sources. It is used for a
+    source at most that source's `max_repeats` times, and in the whole mix at most the greatest of its sources' `max_repeats` times:
+    a text of two sources that allow one use each is used once. A text stands in the result under its least doc_id of that source. Texts without
     tokens or source are not used. `targets` holds (mix_id, source, target_share, max_repeats), shares relative within a mix; null
     counts as 0. A source gets its share but for half a text at either end.
 

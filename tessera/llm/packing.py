@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import written
 
-BUCKETS = 64
+ROWS_PER_BUCKET = 20_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -71,7 +71,7 @@ def packed(sizes: DataFrame, capacities: DataFrame, row_id: str) -> DataFrame:
     as often as they occur. Containers are numbered from 0 within a plan.
 
     The driver sees the histogram of lengths only, at most `capacity` counts; full pieces are planned by arithmetic. Items take
-    the planned slots by their rank within their length; the ranks go by hashed buckets, so no length is one task's work.
+    the planned slots by their rank within their length; the ranks go by hashed buckets, as many as the items need, so no length is one task's work.
     """
     spark = sizes.sparkSession
     plans = [(r["plan_id"], r["capacity"]) for r in capacities.select("plan_id", "capacity").distinct().collect() if r["capacity"] and r["capacity"] > 0]
@@ -80,7 +80,8 @@ def packed(sizes: DataFrame, capacities: DataFrame, row_id: str) -> DataFrame:
     each = items.select("item", "tokens", F.explode(caps).alias("p")).select("item", "tokens", "p.*")
     full = F.floor(F.col("tokens") / F.col("capacity")).cast("bigint")
     rest = each.withColumn("full", full).withColumn("rest", F.col("tokens") - F.col("full") * F.col("capacity"))
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)).cast("int"))
+    buckets = 1 << (items.count() // ROWS_PER_BUCKET).bit_length()  # so many that no length, be it that of all items, is one task's work
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int"))
     counts = written(rest.groupBy("plan_id", "rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full")))
     histogram: dict[int, dict[int, int]] = {p: {} for p, _ in plans}
     for r in counts.filter("rest > 0").groupBy("plan_id", "rest").agg(F.sum("n").alias("n")).collect():
@@ -111,10 +112,11 @@ def packed(sizes: DataFrame, capacities: DataFrame, row_id: str) -> DataFrame:
     # Within (plan, length) the buckets follow one another; within a bucket the items are numbered.
     order = W.partitionBy("plan_id", "rest").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("plan_id", "rest", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    ranked = rest.withColumn("r", F.row_number().over(W.partitionBy("plan_id", "rest", "bucket").orderBy("item")) - 1)
+    ranked = rest.filter("rest > 0").withColumn("r", F.row_number().over(W.partitionBy("plan_id", "rest", "bucket").orderBy("item")) - 1)
     ranked = ranked.join(bases, ["plan_id", "rest", "bucket"])
     opened = {p: t[4] for p, t in tables.items()}
-    last = ranked.filter((F.col("rest") > 0) | (F.col("tokens") == 0)).select("plan_id", slot("plan_id", "rest", (F.col("base") + F.col("r")).cast("bigint")).alias("container"), "item", F.col("full").alias("piece"), F.col("rest").alias("tokens"))
+    empty = rest.filter("tokens = 0").select("plan_id", F.lit(0).cast("bigint").alias("container"), "item", F.col("full").alias("piece"), F.col("rest").alias("tokens"))
+    last = ranked.select("plan_id", slot("plan_id", "rest", (F.col("base") + F.col("r")).cast("bigint")).alias("container"), "item", F.col("full").alias("piece"), F.col("rest").alias("tokens"))
     # Full pieces come behind the planned containers, numbered in the same two steps.
     big = rest.filter("full > 0")
     sums = counts.filter("full > 0").groupBy("plan_id", "bucket").agg(F.sum("full").alias("full"))
@@ -124,7 +126,7 @@ def packed(sizes: DataFrame, capacities: DataFrame, row_id: str) -> DataFrame:
     shift = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in opened.items() for x in pair]), F.col("plan_id").cast("bigint")), F.lit(0)) if opened else F.lit(0)
     pieces = big.withColumn("in", inside).join(starts, ["plan_id", "bucket"]).select("plan_id", "capacity", "item", (shift + F.col("base") + F.col("in")).alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
     pieces = pieces.select("plan_id", (F.col("start") + F.col("piece")).cast("bigint").alias("container"), "item", "piece", F.col("capacity").alias("tokens"))
-    return last.unionByName(pieces).withColumnRenamed("item", row_id)
+    return last.unionByName(empty).unionByName(pieces).withColumnRenamed("item", row_id)
 
 
 def fill(placed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -50,3 +50,11 @@ def test_empty(spark):
     t = spark.createDataFrame([(1, "a", 1.0, 1)], TARGETS)
     assert mixing.mixed(spark.createDataFrame([], TEXTS), t).count() == 0 and mixing.mixed(spark.createDataFrame([(1, "k", "a", 3, "")], TEXTS), t.limit(0)).count() == 0
     assert mixing.shares(mixing.mixed(spark.createDataFrame([], TEXTS), t), t).first()["tokens"] == 0
+
+
+def test_a_shared_text_is_used_as_often_as_its_most_generous_source_allows():
+    both = frozenset("ab")
+    assert mixing.route({both: 100}, {"a": 100, "b": 100}, {"a": 1, "b": 1})[0] == 100
+    assert mixing.route({both: 100}, {"a": 100, "b": 300}, {"a": 1, "b": 3})[0] == 300
+    total, flows = mixing.route({both: 100}, {"a": 200, "b": 100}, {"a": 1, "b": 3})
+    assert total == 200 and flows[both, "a"] == 100
