@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-BUCKETS = 64
+CHILDREN = 16_384  # of one parent in a bucket, on the mean
+BLOCK = 256  # nodes of a chain in a row
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -94,12 +95,15 @@ def _chains(edges: DataFrame, size: DataFrame) -> DataFrame:
 def _prefixed_lights(edges: DataFrame, size: DataFrame, member: DataFrame) -> DataFrame:
     """(t, head, up, before): chain heads below a node, with the sizes of the subtrees visited before them under that node.
 
-    The prefix sums of a node's children go by buckets first, so a node with very many children is not one task's work.
+    The prefix sums of a node's children go by buckets first, as many as its children need, so a node with very many children is
+    not one task's work.
     """
     sized = edges.select("t", "id", "up").join(size, ["t", "id"], "left").withColumn("size", F.coalesce("gain", F.lit(0)) + 1)
     sized = sized.join(member.filter("pos > 0").select("t", "id", F.lit(True).alias("heavy")), ["t", "id"], "left")
     sized = sized.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    sized = cut(sized.withColumn("b", F.when(F.col("heavy"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).cast("int")))
+    most = edges.groupBy("t", "up").count().agg(F.max("count")).first()[0] or 0
+    buckets = 1 << max(0, most // CHILDREN).bit_length()
+    sized = cut(sized.withColumn("b", F.when(F.col("heavy"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets))).cast("int")))
     sums = sized.groupBy("t", "up", "b").agg(F.sum("size").alias("s"))
     sums = sums.select("t", "up", "b", F.coalesce(F.sum("s").over(W.partitionBy("t", "up").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum("size").over(W.partitionBy("t", "up", "b").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -168,26 +172,34 @@ class Forest:
         )
 
     def paths(self) -> DataFrame:
-        """(t, id, path) of nodes with a parent: the chains' segments, joined chain by chain from the roots down.
+        """(t, id, path) of nodes with a parent: the chains' segments, joined from the roots down.
 
-        The rounds number the chains on a way, at most log2(n); a path's length is the result's own.
+        Chains are cut into blocks of 256 nodes, so that none is one row's work. The rounds number the chains on a way, at most
+        log2(n), and the blocks of a long one; a path's length is the result's own.
         """
-        seg = self.member.groupBy("t", "head").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-        seg = seg.select("t", "head", F.concat(F.array("head"), F.transform("s", lambda x: x["id"])).alias("seg"))
-        member = self.member.select("t", F.col("id").alias("up"), F.col("head").alias("above"), F.col("pos").alias("at"))
         heads = self.edges.join(self.member.select("t", "id"), ["t", "id"], "left_anti").select("t", F.col("id").alias("head"), "up")
-        links = heads.join(member, ["t", "up"], "left").select("t", "head", F.coalesce("above", "up").alias("above"), F.coalesce("at", F.lit(0)).cast("int").alias("at"))
-        links = cut(links.join(seg, ["t", "head"], "left").select("t", "head", "above", "at", F.coalesce("seg", F.array("head")).alias("seg")))
-        level = cut(seg.join(links.select("t", "head"), ["t", "head"], "left_anti").select("t", "head", F.slice("seg", 1, 0).alias("lead"), "seg"))
+        first = self.member.select("t", "head").distinct().unionByName(heads.select("t", "head")).distinct()
+        nodes = self.member.select("t", "id", "head", "pos").unionByName(first.select("t", F.col("head").alias("id"), "head", F.lit(0).cast("bigint").alias("pos")))
+        block = lambda pos: F.floor(F.col(pos) / BLOCK).cast("bigint")
+        seg = nodes.groupBy("t", "head", block("pos").alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
+        seg = cut(seg.select("t", "head", "block", F.transform("s", lambda x: x["id"]).alias("seg")))
+        member = self.member.select("t", F.col("id").alias("up"), F.col("head").alias("above"), F.col("pos").alias("at"))
+        down = heads.join(member, ["t", "up"], "left").select("t", "head", F.lit(0).cast("bigint").alias("block"), F.coalesce("above", "up").alias("above"), F.coalesce("at", F.lit(0)).cast("bigint").alias("at"))
+        down = down.select("t", "head", "block", "above", block("at").alias("above_block"), (F.col("at") % BLOCK).cast("int").alias("at"))
+        along = seg.filter("block > 0").select("t", "head", "block", F.col("head").alias("above"), (F.col("block") - 1).alias("above_block"), F.lit(BLOCK - 1).alias("at"))
+        links = cut(seg.join(down.unionByName(along), ["t", "head", "block"]))
+        top = seg.filter("block = 0").join(heads.select("t", "head"), ["t", "head"], "left_anti")
+        level = cut(top.select("t", "head", "block", F.slice("seg", 1, 0).alias("lead"), "seg"))
         full = []
         while not level.isEmpty():
             full.append(level)
-            above = level.select("t", F.col("head").alias("above"), "lead", F.col("seg").alias("way"))
+            above = level.select("t", F.col("head").alias("above"), F.col("block").alias("above_block"), "lead", F.col("seg").alias("way"))
             lead = F.concat("lead", F.slice("way", F.lit(1), F.col("at") + 1))
-            level = cut(links.join(above, ["t", "above"]).select("t", "head", lead.alias("lead"), "seg"))
+            level = cut(links.join(above, ["t", "above", "above_block"]).select("t", "head", "block", lead.alias("lead"), "seg"))
         if not full:
             return self.edges.select("t", "id", F.array("id").alias("path"))
-        return _union(full).select("t", "lead", "seg", F.posexplode("seg").alias("i", "id")).select("t", "id", F.concat("lead", F.slice("seg", F.lit(1), F.col("i") + 1)).alias("path"))
+        rows = _union(full).select("t", "block", "lead", "seg", F.posexplode("seg").alias("i", "id"))
+        return rows.filter(F.size("lead") + F.col("i") > 0).select("t", "id", F.concat("lead", F.slice("seg", F.lit(1), F.col("i") + 1)).alias("path"))
 
 
 def issue_nodes(issues: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.operators import hierarchy
 from tessera.operators.hierarchy import Forest, decl_nodes, descendant_pairs, issue_nodes
 
 SCHEMA = "t string, id string, ord bigint, up string"
@@ -58,6 +59,16 @@ def test_empty_single_and_star(spark):
     assert sorted(r["pre"] for r in rows) == list(range(501)) and max(r["descendants"] for r in rows) == 500
 
 
+def test_chains_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BLOCK", 4)
+    monkeypatch.setattr(hierarchy, "CHILDREN", 2)
+    up = {i: i - 1 for i in range(1, 30)} | {100 + i: 5 + i for i in range(12)} | {200: 111, 201: 200}
+    rows = Forest(spark.createDataFrame([("x", f"{n:03}", 0, f"{u:03}") for n, u in up.items()] + [("x", "000", 0, None)], SCHEMA)).hierarchy().collect()
+    want = lambda n: [f"{n:03}"] if n not in up else [*want(up[n]), f"{n:03}"]
+    assert {r["node"]: r["path"] for r in rows} == {f"{n:03}": want(n) for n in [0, *up]}
+    assert sorted(r["pre"] for r in rows) == list(range(len(rows)))
+
+
 def test_issue_and_decl_nodes(spark):
     issues = spark.createDataFrame([("A-1", " a-2 ", 5), ("A-1", None, 4), ("a-2", "", 1), ("B", "Q-1", 1), (None, "A-1", 1)], "id string, parent string, updated bigint")
     assert {(r["node"], r["root"], r["depth"]) for r in Forest(issue_nodes(issues)).linked().collect()} == {("A-1", "a-2", 1), ("B", "B", 0)}
