@@ -1,4 +1,9 @@
-"""Personal information in free text: a semi-Markov conditional random field over candidate segments."""
+"""Personal information in free text: a semi-Markov conditional random field over bounded windows of tokens.
+
+Candidate segments are windows of whole tokens, of bounded length for each kind, that could be of the kind by their tokens' types
+alone; no list of words proposes or forbids any. The windows' features are their shapes, the words in and beside them, and whether
+the names are known; what they mean is learnt (`pii_train`).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import importlib.resources
 import json
 import math
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,53 +22,24 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: Most rows of the list of known names that are sent to all executors.
-MAX_NAMES = 200_000
-
-# Words that tell what follows, kinds of streets, words that don't begin a name.
-PHONE_CUES = r"tel|telefon|telephone|phone|fax|call|call back|callback|mobile|mobil|cell|handy|desk|number|ring|whatsapp|volejte|anrufen|telefonnummer"
-ID_CUES = r"ssn|social security|passport|passport no|id card|id card no|identity card|id no|ausweis|personalausweis|reisepass|doklad|dokladu|rodné číslo|pas|pasu|op|pesel|dowód|birth number"
-NAME_CUES = frozenset("by from with to and for of ask von an mit od pro volal autor owner contact kontakt regards thanks author met noted called spoke reported signed-off-by cc".split())
-STREET_TYPE = regex.compile(r"(?i)\b(?:street|st|road|rd|lane|ln|avenue|ave|drive|court|square|boulevard|rue|quai|place|chemin|impasse|ul|ulica|ulice|al|nám|náměstí|třída|str|am|an|auf|u|na|nad|pod)\b|(?:straße|strasse|str|weg|gasse|platz|allee|ufer|damm)\b")
-FUNCTION_WORDS = frozenset("the a an this that these when while if since after before see for with no not each our my your it we you they der die das ein eine für bitte und wenn zuerst seit když po ve na funkce třída prosím úkol the and le la les un une quand".split())
-OFFICE_WORDS = frozenset("street road lane avenue main mail view queue store ledger index window session run request pull build phone passport address form page card apt".split())
-
-_WD = r"(?:\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)?|\p{Lu}{2,}(?:-\p{Lu}{2,})?)"
-_L = r"(?<![\p{L}\p{N}_@./\\#-])"
-_R = r"(?![\p{L}\p{N}_@(/\\])"
-_SP = r"[  ]"
-_NAMES = tuple((shape, regex.compile(_L + body + _R)) for shape, body in (
-    ("given family", rf"(?P<g>{_WD}){_SP}(?P<f>{_WD})"),
-    ("given i. family", rf"(?P<g>{_WD}){_SP}(?:\p{{Lu}}\.{_SP}?){{1,2}}(?P<f>{_WD})"),
-    ("i. family", rf"(?P<g>\p{{Lu}}\.(?:{_SP}?\p{{Lu}}\.)?){_SP}?(?P<f>{_WD})"),
-    ("family, given", rf"(?P<f>{_WD}),{_SP}(?P<g>{_WD})"),
-    ("family, i.", rf"(?P<f>{_WD}),{_SP}(?P<g>\p{{Lu}}\.)"),
-    ("given van family", rf"(?P<g>{_WD}){_SP}(?:van|von|de|da|di|du|der|la|le|del)(?:{_SP}(?:der|den|la))?{_SP}(?P<f>{_WD})"),
-))
-_AT = r"(?:[ ]?[\[({<](?:at|AT|zavináč)[\])}>][ ]?|[ ](?:at|AT)[ ])"
-_DOT = r"(?:\.|[ ]?[\[({<](?:dot|DOT|tečka)[\])}>][ ]?|[ ](?:dot|DOT)[ ])"
+#: Most names that are sent to all executors; more are joined to the words of the texts instead.
+BROADCAST_NAMES = 200_000
+#: Most tokens of a window, by kind.
+WINDOW = {"name": 12, "address": 22, "id_number": 9}
+
+_AT = r"(?:[ ]?[\[({<]\p{L}+[\])}>][ ]?|[ ](?i:at)[ ])"
+_DOT = r"(?:\.|[ ]?[\[({<](?:dot|DOT|tečka|punkt|point|punto)[\])}>][ ]?|[ ](?:dot|DOT)[ ])"
 _EMAILS = (
-    ("plain", regex.compile(r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_](?:[\p{L}\p{N}_.+%'-]*[\p{L}\p{N}_+])?@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+(?![\p{L}\p{N}_])")),
+    ("plain", regex.compile(r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}_](?:[\p{L}\p{M}\p{N}_.+%'-]*[\p{L}\p{N}_+])?@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+(?![\p{L}\p{N}_])")),
     ("spelt", regex.compile(rf"(?<![\p{{L}}\p{{N}}_.+%-])[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_.+%-]*{_AT}[\p{{L}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{N}}-]+)+(?![\p{{L}}\p{{N}}_])")),
 )
-_DIGITS = regex.compile(r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}][.,/:-])(?:\+|00)?[(]?\d+(?:(?:[ . /-]|[)][ ]?|[ ]?[(])\d+){0,7}(?![\p{L}_])")
+_DIGITS = regex.compile(r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}][.,/:-])(?:\+|00)?[(]?\d+(?:(?:[ . /-]|[)][ ]?|[ ]?[(])\d+)*+(?![\p{L}_])")
 _GROUP = regex.compile(r"\d+")
-_IDS = tuple((shape, regex.compile(r"(?<![\p{L}\p{N}_+(-])(?<!\d[ .,/:-])" + body + r"(?![\p{L}\p{N}_])(?![-/.,]\d)")) for shape, body in (
-    ("3-2-4", r"\d{3}-\d{2}-\d{4}"), ("6/4", r"\d{6}/\d{3,4}"), ("9", r"\d{9}"), ("3 3 3", r"\d{3} \d{3} \d{3}"), ("letters 7", r"\p{Lu}{1,3} ?\d{6,9}"), ("3-3-3", r"\d{3}-\d{3}-\d{3}"), ("10+", r"\d{10,13}"),
-))
-_TOWN = "<town>"  # of one word or two, each as a candidate of its own
-_ZIP = r"(?:(?:[A-Z]{1,2}-)?(?:\d{5}|\d{3} \d{2}|\d{2}-\d{3}|\d{4}))"
-_STREET = rf"(?:(?:ul|al|nám|tř)\.{_SP})?{_WD}\.?(?:{_SP}{_WD}\.?){{0,3}}"
-_JOIN = r"(?:,[ ]?\n?|\n|[ ])"
-_ADDRESSES = tuple((form, regex.compile(_L + body.replace(_TOWN, town) + r"(?![\p{L}\p{N}_])")) for town in (_WD, _WD + _SP + _WD) for form, body in (
-    ("number street town", rf"\d{{1,4}}[a-z]?{_SP}{_STREET}(?P<apt>,?[ ](?:Apt|Suite|Unit|Flat)\.?[ ]?\d+\w?)?(?:,[ ]?\n?|\n){_TOWN}(?P<zip>{_JOIN}{_ZIP})?"),
-    ("number street zip", rf"\d{{1,4}}[a-z]?(?:{_SP}(?:bis|ter))?,?{_SP}(?:\p{{Ll}}+{_SP}){{1,3}}{_WD}(?:{_SP}{_WD})?(?:,[ ]?\n?|\n)(?P<zip>{_ZIP}){_SP}{_TOWN}"),
-    ("street number zip", rf"{_STREET}{_SP}\d{{1,4}}[a-z]?(?P<slash>/\d{{1,4}}[a-z]?)?(?:,[ ]?\n?|\n)(?P<zip>{_ZIP}){_SP}{_TOWN}"),
-    ("street number town", rf"{_STREET}{_SP}\d{{1,4}}[a-z]?(?P<slash>/\d{{1,4}}[a-z]?)?(?:,[ ]?\n?|\n){_TOWN}"),
-))
-_PHONE_CUE = regex.compile(rf"(?i)(?:^|[^\p{{L}}])(?:{PHONE_CUES})[.:=]*[ ]*$")
-_ID_CUE = regex.compile(rf"(?i)(?:^|[^\p{{L}}])(?:{ID_CUES})\.?[ ]*(?:no\.?|number|č\.?|nr\.?|#)?[.:=#\"]*[ ]*$")
-_UNIT = regex.compile(r"[ ]?(?:ms|s|px|tokens?|rows?|files?|lines?|%|min|h|MB|GB|times|Zeilen|řádků)\b")
+# The formats of postal codes (of five digits, with a gap or hyphen, British, Dutch, of four digits).
+_ZIP = regex.compile(r"(?<![\p{L}\p{N}_])(?:(?:[A-Z]{1,2}-)?(?:\d{5}(?:-\d{4})?|\d{3} \d{2}|\d{2}-\d{3}|\d{4}(?: [A-Z]{2})?)|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})(?![\p{L}\p{N}_/])")
+_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[-’'](?=\p{L})\p{L}[\p{L}\p{M}]*)*|\p{N}+|\n|[^\s]")
+_CASELESS = regex.compile(r"[\p{Lo}\p{M}]+")
+_SHORT = 5  # letters of a word that a full stop may shorten
 
 
 def fold(word: str) -> str:
@@ -87,46 +64,142 @@ class Segment:
     features: list[str]
 
 
-def _before(text: str, at: int) -> str:
-    """The word before a place, lower, and what ends it."""
-    m = regex.search(r"([\p{L}\p{N}-]+)[^\p{L}\p{N}]{0,3}$", text[max(0, at - 30) : at])
-    return m[1].lower() if m else ""
-
-
-def _names(text: str, known: Names) -> Iterator[Segment]:
-    for shape, pattern in _NAMES:
-        for m in pattern.finditer(text, overlapped=True):
-            g, f = m["g"], m["f"]
-            initial = g.endswith(".")
-            has_g, has_f = initial or fold(g) in known.given, fold(f) in known.family
-            gaz = ("initial" if initial else "given" if has_g else "no given") + (" family" if has_f else "")
-            if not initial and not has_g and fold(g) in known.family:
-                gaz += " turned"
-            if shape.startswith("family") and has_g and not initial and fold(f) in known.given:
-                gaz += " double"
-            feats = [f"name {shape}", f"name {shape} {gaz}", f"name {gaz}"]
-            words = [w.lower() for w in (g, f)]
-            if any(w in FUNCTION_WORDS for w in words):
-                feats.append("name function word")
-            if any(w in OFFICE_WORDS for w in words):
-                feats.append("name office word")
-            if _before(text, m.start()) in NAME_CUES:
-                feats.append("name cue")
-            if g.isupper() and f.isupper() and not initial:
-                feats.append("name capitals")
-            if not initial and g.isupper() != f.isupper():
-                feats.append("name uneven")
-            if regex.match(r"-\d|:\d", text[m.end() : m.end() + 2]):
-                feats.append("name number follows")
-            if fold(f) in known.given and not has_f:
-                feats.append("name family is given")
-            yield Segment(*m.span(), "name", feats)
+def _type(t: str) -> str:
+    """A token's type: C capitalised, I a capital alone, U capitals, K letters without case, l small, M mixed, N digits, or the character."""
+    c = t[0]
+    if not c.isalpha():
+        return "N" if c.isnumeric() else t
+    if _CASELESS.fullmatch(t):
+        return "K"
+    if len(t) == 1:
+        return "I" if c.isupper() else "l"
+    rest = t[1:]
+    if c.isupper() and rest.islower():
+        return "C"
+    if t.isupper():
+        return "U"
+    if t.islower():
+        return "l"
+    parts = regex.split(r"[-’']", t)
+    return "C" if all(p[:1].isupper() and (p[1:].islower() or not p[1:]) for p in parts) else "M"
+
+
+class Tokens:
+    """A text's tokens: places, types, and whether white space stands before each."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = list(_TOKEN.finditer(text))
+        self.at = [m.start() for m in found]
+        self.to = [m.end() for m in found]
+        self.words = [m[0] for m in found]
+        self.types = [_type(w) for w in self.words]
+        self.apart = [i == 0 or self.at[i] > self.to[i - 1] for i in range(len(found))]
+        self.folded = [fold(w) if k in ("C", "I", "U", "K", "l", "M") else "" for w, k in zip(self.words, self.types)]
+
+    def before(self, i: int, n: int = 1, reach: int = 6) -> list[str]:
+        """The nearest words before token i, folded, the nearest first."""
+        out = []
+        for k in range(i - 1, max(-1, i - 1 - reach), -1):
+            if self.folded[k]:
+                out.append(self.folded[k])
+                if len(out) == n:
+                    break
+        return out
+
+    def sentence_start(self, i: int) -> bool:
+        return i == 0 or self.words[i - 1] in ".!?\n" and len(self.words[i - 1]) == 1
+
+
+def _script(word: str) -> str:
+    return "Latin" if regex.match(r"\p{Latin}", word) else "other"
+
+
+_NAME_LEFT, _NAME_RIGHT = regex.compile(r"[\p{L}\p{N}_@./\\#-]"), regex.compile(r"[\p{L}\p{N}_@(/\\]")
+
+
+def _names(t: Tokens, known: Names) -> Iterator[Segment]:
+    """Windows of two to four words, at most one comma, with initials and small words between; or a run of letters without case."""
+    text, n = t.text, len(t.words)
+    for i in range(n):
+        if t.types[i] not in "CIUK" or (t.at[i] and _NAME_LEFT.match(text, t.at[i] - 1)):
+            continue
+        form, names, j = "", [], i
+        while j < n and j - i < WINDOW["name"]:
+            kind, word = t.types[j], t.words[j]
+            if j > i and not (t.apart[j] and text[t.to[j - 1] : t.at[j]] in (" ", "\u00a0")) and word not in ".," and not (form.endswith("I.") and kind in "CIU"):
+                break
+            if word == ".":
+                if form[-1:] != "I" or t.apart[j]:
+                    break
+                form += "."
+            elif word == ",":
+                if "," in form or t.apart[j] or form[-1:] not in "CU":
+                    break
+                form += ","
+            elif kind in "CUK" or kind == "I":
+                form += " " * (form[-1:] not in ("", ".")) + kind
+                if kind != "I":
+                    names.append(j)
+            elif kind == "l" and len(word) <= 4 and "," not in form and form[-1:] in "CUl":
+                form += " l"
+            else:
+                break
+            j += 1
+            if len(names) > 4:
+                break
+            whole = form[-1:] in "CUK" or form.endswith("I.") and "," in form
+            if not whole or (len(names) + form.count("I") < 2 and form != "K") or (j < n and t.at[j] == t.to[j - 1] and _NAME_RIGHT.match(text, t.at[j])):
+                continue
+            yield _name(t, known, i, j, form, names)
+
+
+def _name(t: Tokens, known: Names, i: int, j: int, form: str, names: list[int]) -> Segment:
+    turned = "," in form
+    g, f = (names[-1] if not form.endswith("I.") else -1, names[0]) if turned else (names[0] if form[0] != "I" else -1, names[-1])
+    word = lambda k: t.folded[k]
+    has_g, has_f = g >= 0 and word(g) in known.given, word(f) in known.family
+    gaz = ("initial" if g < 0 else "given" if has_g else "no given") + (" family" if has_f else "")
+    if g >= 0 and not has_g and word(g) in known.family:
+        gaz += " turned"
+    if turned and has_g and word(f) in known.given:
+        gaz += " double"
+    shape = form.replace("U", "C")
+    feats = [f"name {shape}", f"name {shape} {gaz}", f"name {gaz}", f"name script {_script(t.words[f])} {shape}"]
+    feats += [f"name in={word(k)}" for k in names] + [f"name small={t.folded[k]}" for k in range(i, j) if t.types[k] == "l"]
+    before = t.before(i, 1, 3)
+    feats.append(f"name before={before[0] if before else ''}")
+    prev = t.words[i - 1] if i else ""
+    if prev and not prev[0].isalnum():
+        feats.append(f"name behind {prev}")
+    if t.sentence_start(i):
+        feats += ["name begins a sentence", f"name begins a sentence {shape} {gaz}"]
+    if before and not t.sentence_start(i) and t.types[i - 1] == "l":
+        feats.append(f"name inside {gaz}")
+    if i and t.types[i - 1] in "CU" and t.apart[i]:
+        feats.append("name capital before" + (" known" if t.folded[i - 1] in known.given else ""))
+    if j < len(t.words) and t.types[j] in "CU" and t.apart[j]:
+        feats.append("name capital after")
+    if j < len(t.words) and not t.words[j][0].isalnum():
+        feats.append(f"name ahead of {t.words[j]}")
+    if j + 1 < len(t.words) and t.words[j] in "-:" and t.types[j + 1] == "N" and not t.apart[j]:
+        feats.append("name number follows")
+    cases = {t.types[k] for k in names} & {"C", "U"}
+    if len(cases) == 2:
+        feats.append("name uneven")
+    elif cases == {"U"}:
+        feats.append("name capitals" + (" initial" if g < 0 else ""))
+    if word(f) in known.given and not has_f:
+        feats.append("name family is given")
+    if form == "K":
+        feats.append(f"name K length {min(len(t.words[i]), 6)}")
+    return Segment(t.at[i], t.to[j - 1], "name", feats)
 
 
 def _emails(text: str) -> Iterator[Segment]:
-    if "@" not in text and not regex.search(r"(?i)\bat\b|zavináč", text):
-        return
     for shape, pattern in _EMAILS:
+        if shape == "plain" and "@" not in text:
+            continue
         for m in pattern.finditer(text):
             host = regex.split(_DOT, m[0])[-1]
             feats = [f"email {shape}", "email tld " + ("letters" if regex.fullmatch(r"\p{L}{2,}", host) else "other")]
@@ -134,12 +207,14 @@ def _emails(text: str) -> Iterator[Segment]:
                 feats.append("email remote")
             if text[max(0, m.start() - 3) : m.start()].endswith("://"):
                 feats.append("email url")
-            if shape == "spelt" and not regex.search(r"[\[({<](?i:at|zavináč)", m[0]):
-                feats.append("email bare at" + (" and dot" if regex.search(r"(?i) dot | tečka ", m[0]) else ""))
+            if shape == "spelt":
+                at = regex.search(r"[\[({<](\p{L}+)[\])}>]", m[0])
+                feats.append(f"email at={at[1].lower()}" if at else "email bare at" + (" and dot" if regex.search(r"(?i) dot ", m[0]) else ""))
             yield Segment(*m.span(), "email", feats)
 
 
-def _phones(text: str) -> Iterator[Segment]:
+def _phones(t: Tokens) -> Iterator[Segment]:
+    text = t.text
     for run in _DIGITS.finditer(text):
         groups = [g.span() for g in _GROUP.finditer(text, run.start(), run.end())]
         if sum(b - a for a, b in groups) < 7:
@@ -148,6 +223,9 @@ def _phones(text: str) -> Iterator[Segment]:
             a = groups[i][0]
             while a > run.start() and text[a - 1] in "+(":
                 a -= 1
+            first = bisect_left(t.at, a)
+            cues = t.before(first, 2, 5)
+            beside = first > 1 and t.types[first - 1] == "N" and t.types[first - 2] in "UI" and not t.apart[first - 1]
             n = 0
             for j in range(i, len(groups)):
                 n += groups[j][1] - groups[j][0]
@@ -167,12 +245,18 @@ def _phones(text: str) -> Iterator[Segment]:
                     feats.append("phone separators")
                 if "." in seps and len(seps) == 1:
                     feats.append("phone dots" + (" all two" if set(lengths) <= {2} else " 3 3 4" if lengths == [3, 3, 4] else ""))
-                if _PHONE_CUE.search(text[max(0, a - 25) : a]):
-                    feats.append("phone cue")
+                    if len(lengths) == 4 and all(int(text[x:y]) < 256 for x, y in groups[i : j + 1]):
+                        feats.append("phone four bytes")
+                feats += [f"phone before={w}" for w in cues]
                 if i or j < len(groups) - 1:
                     feats.append("phone part of run")
-                if _UNIT.match(text, b):
-                    feats.append("phone unit")
+                after = bisect_left(t.at, b)
+                if after < len(t.words) and t.types[after] == "l":
+                    feats.append(f"phone after={t.folded[after]}")
+                if beside:
+                    feats.append("phone behind letters and digits")
+                if set(lengths) == {4} or len(lengths) > 2 and set(lengths[:-1]) == {4}:
+                    feats.append("phone fours")
                 if body.count("(") != body.count(")"):
                     feats.append("phone brackets")
                 if n == 10 and len(lengths) == 1 and body[0] in "12" or n == 13 and len(lengths) == 1:
@@ -180,43 +264,168 @@ def _phones(text: str) -> Iterator[Segment]:
                 yield Segment(a, b, "phone", feats)
 
 
-def _ids(text: str) -> Iterator[Segment]:
-    for shape, pattern in _IDS:
-        for m in pattern.finditer(text):
-            cue = bool(_ID_CUE.search(text[max(0, m.start() - 30) : m.start()]))
-            feats = [f"id {shape}", f"id {shape} {'cue' if cue else 'no cue'}"]
-            if _UNIT.match(text, m.end()):
-                feats.append("id unit")
-            yield Segment(*m.span(), "id_number", feats)
-
-
-def _addresses(text: str) -> Iterator[Segment]:
-    for form, pattern in _ADDRESSES:
-        for m in pattern.finditer(text, overlapped=True):
-            found = m.groupdict()
-            head = m[0].split(",")[0].split("\n")[0]
-            typed = bool(STREET_TYPE.search(regex.sub(r",.*", "", m[0].replace("bis,", "bis"), flags=regex.S)))
-            feats = [f"address {form}", f"address {form} {'typed' if typed else 'untyped'}"]
-            feats.append("address zip" if found.get("zip") else "address no zip")
-            if found.get("slash"):
-                feats.append("address slash")
-            if found.get("apt"):
-                feats.append("address apartment")
-            words = regex.findall(r"\p{L}+", head)
-            if len(words) > 3:
-                feats.append("address many words")
-            if any(w.lower() in FUNCTION_WORDS - {"na", "la", "le", "an"} for w in words):
-                feats.append("address function word")
-            tail = regex.search(rf"{_SP}{_WD}{_SP}?(?:{_ZIP})?$", m[0])
-            if tail and regex.search(rf"{_WD}{_SP}{_WD}(?:{_JOIN}{_ZIP})?$", m[0]):
-                feats.append("address two word town")
-            yield Segment(*m.span(), "address", feats)
+_ID_JOINS = {"-", "/", "."}
+
+
+def _ids(t: Tokens) -> Iterator[Segment]:
+    """Windows of digit groups joined by a blank, hyphen, slash or stop, with up to three capitals before, of 6 to 14 digits in all."""
+    text, n = t.text, len(t.words)
+    for i in range(n):
+        lead = t.types[i] in "UI" and len(t.words[i]) <= 3
+        if not lead and t.types[i] != "N":
+            continue
+        if t.at[i] and regex.match(r"[\p{L}\p{N}_+(@-]", text[t.at[i] - 1]) or i > 1 and t.types[i - 2] == "N" and text[t.at[i] - 1 : t.at[i]] in (".", ",", "/", ":"):
+            continue
+        shape, digits, j = "", 0, i
+        while j < n and j - i < WINDOW["id_number"]:
+            kind, word = t.types[j], t.words[j]
+            gap = "" if j == i else text[t.to[j - 1] : t.at[j]]
+            if gap not in ("", " "):
+                break
+            if kind == "N" and word.isdigit():
+                if digits and shape[-1:].isdigit():
+                    if gap != " ":
+                        break
+                    shape += " "
+                elif gap and digits:
+                    break
+                shape += ("" if digits else gap) + f"d{len(word)}"
+                digits += len(word)
+            elif j == i and lead:
+                shape = f"U{len(word)}"
+            elif word in _ID_JOINS and not gap and digits:
+                shape += word
+            else:
+                break
+            j += 1
+            if digits > 14:
+                break
+            if digits < 6 or kind != "N":
+                continue
+            if j < n and t.at[j] == t.to[j - 1] and (t.types[j] not in ",.;:!?)]}>\"'”’»–\n" or t.words[j] in ".,:" and j + 1 < n and t.types[j + 1] == "N" and not t.apart[j + 1]):
+                continue
+            yield _id(t, i, j, shape)
+
+
+def _id(t: Tokens, i: int, j: int, shape: str) -> Segment:
+    feats = [f"id {shape}"]
+    cues = t.before(i, 2, 5)
+    feats += [f"id before={w}" for w in cues] + [f"id {shape} before={w}" for w in cues[:1]]
+    if j < len(t.words) and t.types[j] == "l" and t.apart[j]:
+        feats.append(f"id after={t.folded[j]}")
+    if shape.count(".") == 3 and "d" not in shape.replace("d1", "").replace("d2", "").replace("d3", ""):
+        feats.append("id four bytes")
+    if i > 0 and t.types[i - 1] == "N" and t.apart[i]:
+        feats.append("id digits before")
+    if j < len(t.words) and t.types[j] == "N":
+        feats.append("id digits after")
+    if i > 0 and t.types[i - 1] in "UI" and t.types[i] == "N":
+        feats.append("id capitals before")
+    return Segment(t.at[i], t.to[j - 1], "id_number", feats)
+
+
+def _units(t: Tokens) -> list[tuple[int, int, str]]:
+    """Tokens as the parts of an address: (first token, after the last, kind): Z postal code, H house number, W word with a capital, w other word."""
+    codes = {bisect_left(t.at, m.start()): m.end() for m in _ZIP.finditer(t.text)}
+    out, i, n = [], 0, len(t.words)
+    while i < n:
+        kind, word, j = t.types[i], t.words[i], i + 1
+        if i in codes and not (kind == "N" and len(word) == 4 and codes[i] == t.to[i] and j < n and t.words[j] == "/"):
+            while j < n and t.at[j] < codes[i]:
+                j += 1
+            out.append((i, j, "Z4" if kind == "N" and t.to[j - 1] - t.at[i] == 4 else "Z"))
+        elif kind == "N" and len(word) <= 4:
+            if j < n and not t.apart[j] and t.types[j] in "Il":
+                j += len(t.words[j]) == 1
+            if j + 1 < n and t.words[j] in "/-" and not t.apart[j] and t.types[j + 1] == "N" and not t.apart[j + 1] and len(t.words[j + 1]) <= 4:
+                j += 2
+                if j < n and not t.apart[j] and t.types[j] in "Il" and len(t.words[j]) == 1:
+                    j += 1
+                out.append((i, j, "H/H"))
+            else:
+                out.append((i, j, "H"))
+        elif kind in "CUIMlK":
+            if j < n and t.words[j] == "." and not t.apart[j] and (len(word) <= _SHORT or j + 1 < n and t.types[j + 1] == "N" and t.apart[j + 1]):
+                j += 1
+            out.append((i, j, "w" if kind == "l" else "W"))
+        else:
+            out.append((i, j, word if word in ",\n" else "x"))
+        i = j
+    return out
+
+
+def _addresses(t: Tokens) -> Iterator[Segment]:
+    """Windows that begin with a number or a word and hold a house number, a comma or line end, and a word with a capital."""
+    units = _units(t)
+    places = [k for k, u in enumerate(units) if u[2][0] == "H" or u[2] == "Z4"]
+    for s in range(len(units)):
+        if units[s][2] not in ("H", "H/H", "W", "w"):
+            continue
+        at = bisect_left(places, s)
+        if at == len(places) or places[at] - s > 8:
+            continue
+        i = units[s][0]
+        if t.at[i] and regex.match(r"[\p{L}\p{N}_@./\\#-]", t.text[t.at[i] - 1]):
+            continue
+        form, heads, cuts = [], [], 0
+        for k in range(s, min(len(units), s + WINDOW["address"])):
+            a, b, kind = units[k]
+            if kind == "x" or kind in ",\n" and (k > s and units[k - 1][2] in ",\n" and kind == ","):
+                break
+            if kind in ",\n":
+                cuts += 1
+                if cuts > 4:
+                    break
+                if kind == "\n" and form[-1:] == [","]:
+                    continue
+            elif kind in "Ww" and not cuts:
+                heads.append(a)
+            if len(heads) > 6:
+                break
+            if not (kind in "Ww" and form[-1:] == [kind]):
+                form.append("/" if kind == "\n" else kind)
+            if kind in ("W", "Z", "Z4") and cuts and any(x[0] == "H" or x == "Z4" for x in form) and "W" in form:
+                if b < len(t.words) and t.at[b] == t.to[b - 1] and regex.match(r"[\p{L}\p{N}_@(/\\]", t.text[t.at[b]]):
+                    continue
+                yield _address(t, units, s, k, form, heads)
+
+
+def _address(t: Tokens, units: list, s: int, k: int, form: list[str], heads: list[int]) -> Segment:
+    i, j = units[s][0], units[k][1]
+    if t.words[j - 1] == "." and units[k][2] == "W":
+        j -= 1
+    shape = " ".join(form)
+    feats = [f"address {shape}", f"address begins {' '.join(form[:3])}", f"address ends {' '.join(form[-3:])}", f"address head words {len(heads)} {form[0]}"]
+    feats += [x for h in heads for x in (f"address word={t.folded[h]}", f"address suffix={t.folded[h][-4:]}", f"address suffix={t.folded[h][-3:]}")]
+    feats += ["address abbreviated" for h in heads if h + 1 < len(t.words) and t.words[h + 1] == "."]
+    feats.append(f"address small words {sum(t.types[h] == 'l' for h in heads)} {form[0]}")
+    town = 0
+    for x in range(k, s, -1):
+        if units[x][2] == "W":
+            town += 1
+        elif town:
+            break
+    feats += [f"address first={t.folded[i]}", f"address town words {min(town, 3)} {form[-1]}", f"address length {min(len(form), 9)}"]
+    before = t.before(i, 1, 3)
+    feats.append(f"address before={before[0] if before else ''}")
+    if i and t.types[i - 1] in "CU" and t.apart[i]:
+        feats.append("address capital before")
+    if i and t.types[i - 1] == "N":
+        feats.append("address number before")
+    if t.sentence_start(i):
+        feats.append("address begins a sentence")
+    nxt = [u[2] for u in units[k + 1 : k + 4]]
+    feats.append(f"address ahead of {' '.join(nxt[:2])}")
+    if nxt and nxt[0] in ("Z", "Z4", "W", "H") and t.apart[units[k + 1][0]]:
+        feats.append(f"address goes on {nxt[0]}")
+    return Segment(t.at[i], t.to[j - 1], "address", feats)
 
 
 def segments(text: str, known: Names) -> list[Segment]:
-    """All candidate segments with the features of the whole span; everything else is one character of no entity each."""
+    """All candidate segments with the features of the whole span; everything else is one token of no entity each."""
+    t = Tokens(text)
     seen, out = set(), []
-    for source in (_emails(text), _phones(text), _ids(text), _addresses(text), _names(text, known)):
+    for source in (_emails(text), _phones(t), _ids(t), _addresses(t), _names(t, known)):
         for s in source:
             if (s.start, s.end, s.kind) not in seen:
                 seen.add((s.start, s.end, s.kind))
@@ -236,7 +445,7 @@ def _lattice(found: list[Segment]) -> tuple[dict[int, int], list[list[int]]]:
 def decode(found: list[Segment], weights: dict[str, float]) -> list[Segment]:
     """The best sequence of segments: dynamic programming over their boundaries chooses places and kinds jointly.
 
-    Entities are bounded by their patterns, so each place has few segments that end there, and the work is linear in the text.
+    Windows are bounded by their kinds, so each place has few segments that end there, and the work is linear in the text.
     """
     places, ends = _lattice(found)
     best, back = [0.0] * len(places), [-1] * len(places)
@@ -316,32 +525,57 @@ def redact(text: str, found: list[Segment]) -> str:
     return "".join(out) + text[at:]
 
 
-def known_names(people: DataFrame) -> Names:
-    """The folded names of a staff list, checked to be small enough for every executor."""
-    rows = people.select("given", "family").distinct().limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
+def known_names(people: DataFrame) -> Names | None:
+    """The folded names of a staff list, or None if there are more than every executor should hold."""
+    rows = people.select("given", "family").distinct().limit(BROADCAST_NAMES + 1).collect()
+    if len(rows) > BROADCAST_NAMES:
+        return None
     return Names(frozenset(fold(r[0]) for r in rows if r[0]), frozenset(fold(r[1]) for r in rows if r[1]))
 
 
+def _listed(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """`texts` with `given` and `family`, the listed names among each text's words, by joining words and list."""
+
+    @F.pandas_udf("array<string>")
+    def words(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: sorted({w for w, k in zip(*(lambda t: (t.folded, t.types))(Tokens(x))) if w and k in ("C", "U", "K")}) if x else [])
+
+    @F.pandas_udf("string")
+    def folded(name: pd.Series) -> pd.Series:
+        return name.map(lambda x: fold(x) if x else x)
+
+    names = people.select(F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(k).alias("name")) for k in ("given", "family")])).alias("x"))
+    names = names.select("x.which", folded("x.name").alias("word")).filter("word IS NOT NULL AND word <> ''").distinct()
+    one = texts.select("text").filter("text IS NOT NULL").distinct().withColumn("h", F.sha2("text", 256))
+    hit = one.select("h", F.explode(words("text")).alias("word")).join(names, "word")
+    pick = lambda k: F.collect_set(F.when(F.col("which") == k, F.col("word"))).alias(k)
+    return texts.withColumn("h", F.sha2("text", 256)).join(hit.groupBy("h").agg(pick("given"), pick("family")), "h", "left").drop("h")
+
+
 def scanned(texts: DataFrame, people: DataFrame) -> DataFrame:
     """(tbl, row_id, redacted, kinds) of each row of `texts` (tbl, row_id, text): `kinds` are the items' kinds from the left.
 
-    Null texts give null and no kinds; empty ones stay empty. Long texts are read whole. Rows are only mapped, never shuffled.
+    Null texts give null and no kinds; empty ones stay empty. Long texts are read whole. Rows are only mapped, never shuffled, as long
+    as the list of names fits every executor; a longer list is joined to the texts' words, which shuffles the texts once.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((known_names(people), trained()))
+    known = known_names(people)
+    shared = texts.sparkSession.sparkContext.broadcast((known, trained()))
+    none = F.array().cast("array<string>")
+    texts = texts.select("tbl", F.col("row_id").cast("string").alias("row_id"), "text")
+    texts = texts.select("*", none.alias("given"), none.alias("family")) if known else _listed(texts, people)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, weights = shared.value
         for b in batches:
             redacted, kinds = [], []
-            for t in b["text"]:
-                best = decode(segments(t, known), weights) if t else []
+            for t, given, family in zip(b["text"], b["given"], b["family"]):
+                mine = known or Names(frozenset(() if given is None else given), frozenset(() if family is None else family))
+                best = decode(segments(t, mine), weights) if t else []
                 redacted.append(redact(t, best) if t else t)
                 kinds.append([s.kind for s in best])
             yield pd.DataFrame({"tbl": b["tbl"], "row_id": b["row_id"], "redacted": redacted, "kinds": kinds})
 
-    return texts.select("tbl", F.col("row_id").cast("string").alias("row_id"), "text").mapInPandas(run, "tbl string, row_id string, redacted string, kinds array<string>")
+    return texts.mapInPandas(run, "tbl string, row_id string, redacted string, kinds array<string>")
 
 
 def items(scans: DataFrame) -> DataFrame:

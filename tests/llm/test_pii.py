@@ -4,6 +4,8 @@ import itertools
 import json
 import math
 
+import pytest
+
 from tessera.llm import pii, pii_train
 
 
@@ -12,6 +14,41 @@ def test_held_out_accuracy():
     assert precision > 0.97 and recall > 0.93
 
 
+def test_frames_that_were_not_trained_on():
+    rows = pii_train.examples(600, 98, pii_train.HELD, pii_train.HELD_PLAIN)
+    precision, recall = pii_train.accuracy(pii.trained(), rows)
+    assert precision > 0.97 and recall > 0.97
+    precision, recall = pii_train.accuracy(pii.trained(), rows, exact=True)
+    assert precision > 0.95 and recall > 0.95
+
+
+NAMES = pii.Names(frozenset({"petra"}), frozenset({"novotna"}))
+
+
+@pytest.mark.parametrize("address", ["221B Baker St, London NW1 6XE", "12 Baker Street, London, NW1 6XE", "145 Oak Avenue, Apt 12, Springdale", "8 bis, rue du Moulin, 75011 Rosenau", "Lindenallee 17a, 10115 Ebersfeld", "U Lesa 4/27, 718 60 Kostrov", "ul. Polna 21/46, 55-265 Novabor", "98 Harbour Road\nMillbeck 43210"])
+@pytest.mark.parametrize("frame", ["Ship to {}.", "The parcel goes to {}, thanks.", "Bydliště: {}", "address={}; ok"])
+def test_addresses_whole(address, frame):
+    text = frame.format(address)
+    assert pii.redact(text, pii.decode(pii.segments(text, NAMES), pii.trained())) == frame.format("[ADDRESS]")
+
+
+@pytest.mark.parametrize("text", ["от {}", "Автор: {}, тел. +7 912 345-67-89", "Υπεύθυνος: {}", "հեղինակ՝ {}", "by {}", "联系人：{}", "담당자: {}", "מאת {}", "من {}"])
+def test_names_in_scripts(text):
+    name = {"о": "Иван Петров", "А": "Иван Петров", "Υ": "Νίκος Καράκης", "հ": "Արմեն Պետրոսյան", "b": "Petra Novotná", "联": "王建国", "담": "김민준", "מ": "יוסף כהן", "م": "أحمد الحداد"}[text[0]]
+    found = pii.decode(pii.segments(text.format(name), NAMES), pii.trained())
+    assert name in {text.format(name)[s.start : s.end] for s in found if s.kind == "name"}
+
+
+@pytest.mark.parametrize("text", ["ip 192.168.10.24 is down", "Server 10.0.12.7 answers", "IBAN DE89 3704 0044 0532 0130 00 is no phone.", "Die Übersicht der Läufe fehlt.", "The Main Window opens.", "Build 2024.113.20 took 3 412 884 tokens.", "Задача закрыта. Таблица пуста.", "索引为空。", "هذا الجدول فارغ"])
+def test_nothing_personal(text):
+    assert pii.decode(pii.segments(text, NAMES), pii.trained()) == []
+
+
+def test_long_runs_of_digit_groups():
+    text = "call 01 23 45 67 89 " + "12 " * 40 + "tel. +33 6 12 34 56 78"
+    assert any(text[s.start : s.end] == "+33 6 12 34 56 78" for s in pii.decode(pii.segments(text, NAMES), pii.trained()))
+
+
 def test_weights_come_from_the_training():
     assert json.loads(json.dumps(pii_train.train())) == pii.trained()
 
@@ -65,5 +102,12 @@ def test_operator(spark):
     assert "[EMAIL]" in text["6"]
 
 
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    rows = [("c", str(i), t, None) for i, t in enumerate(["Call Soren Quarro today.", "Soren Quarro", None, "", "Elin Brandt and SØREN QUARRO met, Elin Brandt left."])]
+    want = sorted(map(tuple, _run(spark, rows).select("row_id", "redacted").collect()), key=str)
+    monkeypatch.setattr(pii, "BROADCAST_NAMES", 1)
+    assert sorted(map(tuple, _run(spark, rows).select("row_id", "redacted").collect()), key=str) == want
+
+
 def test_empty(spark):
     assert pii.items(_run(spark, [])).count() == 0
