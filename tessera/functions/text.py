@@ -100,3 +100,39 @@ def source_set(path: Column) -> Column:
     parts = F.split(path, "/")
     at = F.array_position(parts, "src")
     return F.when(at > 0, F.get(parts, at.cast("int")))
+
+
+def common_lines(a: list[str], z: list[str]) -> int:
+    """The length of a longest common subsequence: what both begin and end with is cut off, the rest goes by bits of one long number
+    per line, so the work is the product of the lengths over the bits of a machine word."""
+    i, n = 0, min(len(a), len(z))
+    while i < n and a[i] == z[i]:
+        i += 1
+    k = 0
+    while k < n - i and a[-1 - k] == z[-1 - k]:
+        k += 1
+    a, z = a[i : len(a) - k], z[i : len(z) - k]
+    places: dict[str, int] = {}
+    for bit, line in enumerate(a):
+        places[line] = places.get(line, 0) | 1 << bit
+    full = (1 << len(a)) - 1
+    open_ = full
+    for line in z:
+        hit = open_ & places.get(line, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return i + k + len(a) - open_.bit_count()
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """struct(added, removed): the lines that two texts don't share, in order; null is an empty text of one empty line."""
+
+    @F.pandas_udf("struct<added:int,removed:int>")
+    def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        out = []
+        for o, n in zip(old.fillna(""), new.fillna("")):
+            a, z = o.split("\n"), n.split("\n")
+            same = common_lines(a, z)
+            out.append((len(z) - same, len(a) - same))
+        return pd.DataFrame(out, columns=["added", "removed"])
+
+    return diff(old, new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.session import cut
@@ -30,7 +31,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None
     inside = edges.filter("a <> b").join(nodes.withColumnRenamed("id", "a"), "a", "left_semi").join(nodes.withColumnRenamed("id", "b"), "b", "left_semi")
     inside = inside.groupBy("a", "b").agg(F.sum("w").alias("w"))
     total = inside.groupBy("a").agg(F.sum("w").alias("t")).filter("t > 0")
-    share = cut(inside.join(total, "a").select("a", "b", (F.col("w") / F.col("t")).alias("s")))
+    # Edges lie by their source for all rounds, so that a round shuffles contributions and, after a cut, ranks.
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = cut(inside.join(total, "a").select("a", "b", (F.col("w") / F.col("t")).alias("s"))).repartition(width, "a").persist()
     base = cut(base.join(total.select(F.col("a").alias("id"), F.lit(True).alias("out")), "id", "left").select("id", "jump", F.coalesce("out", F.lit(False)).alias("out")))
     state = base.withColumn("rank", F.col("jump")).withColumn("moved", F.lit(None).cast("double"))
     for i in range(1, rounds + 1):
@@ -38,11 +41,12 @@ def page_rank(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None
         given = state.join(share, state["id"] == share["a"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("s")).alias("g"))
         rank = damping * F.coalesce("g", F.lit(0.0)) + (damping * F.col("lost") + (1 - damping)) * F.col("jump")
         new = state.join(given, state["id"] == given["b"], "left").join(F.broadcast(lost), F.lit(True))  # one row
-        state = new.select("id", "jump", "out", rank.alias("new"), F.abs(rank - F.col("rank")).alias("moved")).withColumnRenamed("new", "rank")
-        if i % every == 0 or i == rounds:
-            state = cut(state)
-            if state.agg(F.sum("moved")).first()[0] < epsilon:
+        # Each round is cut: the lost rank and the contributions both read the state, so uncut rounds would double the work each time.
+        state = cut(new.select("id", "jump", "out", rank.alias("new"), F.abs(rank - F.col("rank")).alias("moved")).withColumnRenamed("new", "rank"))
+        if i % every == 0:
+            if epsilon and state.agg(F.sum("moved")).first()[0] < epsilon:
                 break
+    share.unpersist()
     return state.select("id", "rank")
 
 
@@ -64,23 +68,27 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = state.select("id", "label")
 
 
-def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, frontier: int | None = None) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, frontier: int | None = None, budget: int | None = None) -> DataFrame:
     """(start, id, depth): what is reached from each start over (a, b), breadth first, each node once at its least depth.
 
-    `frontier` is a feature of budgeted searches: only that many nodes of least id are gone on from in each round.
+    `frontier` and `budget` are features of budgeted searches: only that many nodes of least id are gone on from in each round of a
+    start, and over that many edges, the least first. A column `step` of the edges, if there is one, names the first round in which
+    an edge may be taken.
     """
-    edges = cut(edges.select("a", "b").distinct())
-    level = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
+    stepped = "step" in edges.columns
+    edges = cut(edges.select("a", "b", *(["step"] if stepped else [])).distinct())
+    level = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
     seen = cut(level)
     level, i = seen, 0
     while depth is None or i < depth:
         i += 1
         if frontier is not None:
-            from pyspark.sql import Window as W
-
             level = level.withColumn("r", F.row_number().over(W.partitionBy("start").orderBy("id"))).filter(F.col("r") <= frontier).drop("r")
-        new = level.select("start", F.col("id").alias("a")).join(edges, "a").select("start", F.col("b").alias("id")).distinct()
-        level = cut(new.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(i)))
+        way = edges.filter(F.col("step") <= i) if stepped else edges
+        new = level.select("start", F.col("id").alias("a")).join(way, "a")
+        if budget is not None:
+            new = new.withColumn("r", F.row_number().over(W.partitionBy("start").orderBy("a", "b"))).filter(F.col("r") <= budget)
+        level = cut(new.select("start", F.col("b").alias("id")).distinct().join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(i)))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -99,3 +107,21 @@ def settled(tasks: DataFrame, needs: DataFrame) -> DataFrame:
         was, n = n, left.count()
         if n == was:
             return left
+
+
+def first_of_groups(tasks: DataFrame, needs: DataFrame, take: int) -> DataFrame:
+    """(id, place): the first `take` of each group of tasks (id, component, rank, num) in dependency order, then by rank, number and id.
+
+    A place goes to the first task whose needs within the group have theirs, or, on a circle, to the first of all. One round a place;
+    no group is collected.
+    """
+    left, placed = tasks, None
+    mine = cut(needs.join(tasks.select("id", "component"), "id").join(tasks.select(F.col("id").alias("need"), F.col("component").alias("c2")), "need").filter("component = c2").select("id", "need").distinct())
+    for place in range(1, take + 1):
+        open_ = mine if placed is None else mine.join(placed.select(F.col("id").alias("need")), "need", "left_anti")
+        rows = left.join(open_.select("id", F.lit(1).alias("waits")).distinct(), "id", "left")
+        best = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "num", "id")).alias("x"))
+        now = cut(best.select(F.col("x.id").alias("id"), F.lit(place).alias("place")))
+        placed = now if placed is None else placed.unionByName(now)
+        left = left.join(now, "id", "left_anti")
+    return placed

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def overlay(base: DataFrame, over: DataFrame, key: str, deleted: Column) -> DataFrame:
     """The rows of `over` that aren't tombstones, and those of `base` whose key `over` doesn't name, tombstones included.
@@ -100,3 +102,42 @@ def islands(df: DataFrame, groups: Sequence[str], order: str, value: Column) ->
     w = W.partitionBy(*groups).orderBy(order)
     new = (~value.eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
     return df.withColumn("island", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def matched_versions(old: DataFrame, new: DataFrame, group: Sequence[str], same: str, alike: str, at: str) -> DataFrame:
+    """(old_id, new_id, mark) of two versions (id, group..., same, alike, at) matched one to one within their groups.
+
+    First rows with equal `same` (mark =), then with equal `alike` (~), each in order of id; of the rest always the two nearest by `at`
+    (^), ties to the one that comes first; what is left was added (+) or removed (-). Null group values are values of their own.
+    Nearest pairs are found among neighbours along `at`, round by round, so no pairs of a group are listed.
+    """
+    fix = lambda df: df.select("id", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")).alias(g) for g in group], same, alike, at)
+    old, new, found = fix(old), fix(new), []
+    for key, mark in ((same, "="), (alike, "~")):
+        keys = [*group, key]
+        w = W.partitionBy(*keys).orderBy("id")
+        number = lambda df, name: df.filter(F.col(key).isNotNull()).withColumn("r", F.row_number().over(w)).select(F.col("id").alias(name), *keys, "r")  # noqa: B023, E731
+        m = cut(number(old, "old_id").join(number(new, "new_id"), [*keys, "r"]).select("old_id", "new_id", F.lit(mark).alias("mark")))
+        found.append(m)
+        old = old.join(m.select(F.col("old_id").alias("id")), "id", "left_anti")
+        new = new.join(m.select(F.col("new_id").alias("id")), "id", "left_anti")
+    rest = old.select("id", *group, F.col(at).alias("p"), F.lit(0).alias("side")).unionByName(new.select("id", *group, F.col(at).alias("p"), F.lit(1).alias("side")))
+    rest = cut(rest)
+    while True:
+        one = rest.filter("p IS NOT NULL").groupBy(*group, "p", "side").agg(F.min("id").alias("id"))
+        w = W.partitionBy(*group).orderBy("p", "side")
+        gap = F.when(F.lead("side").over(w) != F.col("side"), F.lead("p").over(w) - F.col("p"))
+        order = one.withColumns({"gap": gap, "next": F.lead("id").over(w)})
+        before, after = F.lag("gap").over(w), F.lead("gap").over(w)
+        best = order.filter("TRUE").withColumns({"b": before, "a": after}).filter("gap IS NOT NULL AND (b IS NULL OR gap < b) AND (a IS NULL OR gap <= a)")
+        m = cut(best.select(F.when(F.col("side") == 0, F.col("id")).otherwise(F.col("next")).alias("old_id"), F.when(F.col("side") == 0, F.col("next")).otherwise(F.col("id")).alias("new_id"), F.lit("^").alias("mark")))
+        if m.isEmpty():
+            break
+        found.append(m)
+        gone = m.select(F.col("old_id").alias("id"), F.lit(0).alias("side")).unionByName(m.select(F.col("new_id").alias("id"), F.lit(1).alias("side")))
+        rest = cut(rest.join(gone, ["id", "side"], "left_anti"))
+    alone = rest.select(F.when(F.col("side") == 0, F.col("id")).alias("old_id"), F.when(F.col("side") == 1, F.col("id")).alias("new_id"), F.when(F.col("side") == 0, "-").otherwise("+").alias("mark"))
+    out = alone
+    for m in found:
+        out = out.unionByName(m)
+    return out

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as op
+from tessera.operators import resolve
+from tessera.functions.text import line_diff
 from tessera.operators.filters import base_type
 from tessera.operators.tables import narrowest
 from tessera.plans import base as b
-from tessera.plans.joins import _EDGES, _LINKS, document_files, document_tasks, reference_edges
+from tessera.plans.joins import _EDGES, _LINKS, _MATCHED, _VERSIONS, document_files, document_tasks, reference_edges, two_versions, version_matches
+from tessera.plans.scans import document_lines
 from tessera.session import table
 
 query = b.Registry()
@@ -35,21 +37,23 @@ def g1_descendants(s: SparkSession, d: str) -> DataFrame:
 
 SQL["g1_descendants"] = b.PRELUDE + ", r AS (SELECT k AS start, k AS id, 0::BIGINT AS depth FROM iss WHERE pk IS NULL UNION SELECT r.start, i.k, r.depth + 1 FROM r JOIN iss i ON i.pk = r.id) SELECT start, id, depth FROM r WHERE depth > 0"
 
-_N = 25
+_N, _EVERY = 40, 4
 
 
 def _ranks(edges: str, nodes: str, focus: str | None) -> str:
-    """PageRank of `rounds` rounds in SQL, one common table after the other, as recursion cannot aggregate."""
+    """PageRank in SQL, 40 rounds or fewer when they settle, one common table after the other, as recursion cannot aggregate."""
     jump = f"(1.0 / (SELECT count(*) FROM {nodes}))" if focus is None else f"(CASE WHEN id IN (SELECT id FROM {focus}) THEN 1.0 / (SELECT count(*) FROM {focus}) ELSE 0 END)"
     out = f", nd AS MATERIALIZED (SELECT id, {jump} AS jump, id IN (SELECT a FROM {edges}) AS out FROM {nodes}), sh AS MATERIALIZED (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS s FROM {edges}), p0 AS MATERIALIZED (SELECT id, jump AS rank FROM nd)"
     for i in range(1, _N + 1):
         out += f", p{i} AS MATERIALIZED (SELECT nd.id, 0.85 * coalesce(g, 0) + (0.85 * (SELECT coalesce(sum(rank), 0) FROM p{i - 1} JOIN nd USING (id) WHERE NOT out) + 0.15) * jump AS rank FROM nd LEFT JOIN (SELECT b, sum(rank * s) AS g FROM p{i - 1} JOIN sh ON sh.a = p{i - 1}.id GROUP BY 1) x ON x.b = nd.id)"
-    return out + f" SELECT id, round(rank, 6) AS rank FROM p{_N}"
+    checks = list(range(_EVERY, _N + 1, _EVERY))
+    out += ", mv AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, (SELECT sum(abs(x.rank - y.rank)) FROM p{k} x JOIN p{k - 1} y USING (id)) AS moved" for k in checks) + f"), stp AS (SELECT coalesce(min(k) FILTER (moved < 1e-7), {_N}) AS k FROM mv)"
+    return out + " SELECT id, round(rank, 6) AS rank FROM (" + " UNION ALL ".join(f"SELECT id, rank, {k} AS k FROM p{k}" for k in checks) + ") JOIN stp USING (k)"
 
 
 @query(f"WITH {_EDGES}, nn AS (SELECT id FROM f)" + _ranks("ed", "nn", None))
 def g2_page_rank(s: SparkSession, d: str) -> DataFrame:
-    r = op.page_rank(b.files(s, d).select("id"), reference_edges(s, d), rounds=_N, epsilon=0, every=5)
+    r = op.page_rank(b.files(s, d).select("id"), reference_edges(s, d), rounds=_N, every=_EVERY)
     return r.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -59,7 +63,7 @@ def g3_focused_rank(s: SparkSession, d: str) -> DataFrame:
     e = reference_edges(s, d)
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("w") * 0.5).alias("w")))
     f = b.files(s, d)
-    r = op.page_rank(f.select("id"), both, f.filter("module = 'core' AND id % 5 = 0").select("id"), rounds=_N, epsilon=0, every=5)
+    r = op.page_rank(f.select("id"), both, f.filter("module = 'core' AND id % 5 = 0").select("id"), rounds=_N, every=_EVERY)
     return r.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -87,39 +91,79 @@ def g5_subtypes(s: SparkSession, d: str) -> DataFrame:
     return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
-@query("SELECT m.id, o.id AS same_as FROM de m JOIN de o ON m.name = o.name AND m.kind = o.kind AND m.param_count = o.param_count AND m.id < o.id AND m.container LIKE o.container || '.%' WHERE m.kind IN ('fun', 'method')")
+def type_members(s: SparkSession, d: str) -> DataFrame:
+    """(member, type, name, kind, arity): functions by the name of the type they stand in."""
+    de = b.decls(s, d).filter("kind IN ('fun', 'method') AND container <> ''")
+    return de.select(F.col("id").alias("member"), F.regexp_extract("container", "[^.]*$", 0).alias("type"), "name", "kind", F.col("param_count").alias("arity"))
+
+
+_MEMBER = "mb AS (SELECT id AS member, regexp_extract(container, '[^.]*$') AS type, name, kind, param_count AS arity FROM de WHERE kind IN ('fun', 'method') AND container <> '')"
+_ABOVE = "av(type, above, level) USING KEY (type, above) AS (SELECT a, a, 0::BIGINT FROM (SELECT DISTINCT name AS a FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')) UNION SELECT DISTINCT av.type, sup.b, av.level + 1 FROM av JOIN sup ON sup.a = av.above LEFT JOIN recurring.av AS seen ON seen.type = av.type AND seen.above = sup.b WHERE seen.type IS NULL)"
+
+
+def types_above(s: SparkSession, d: str) -> DataFrame:
+    types = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).select(F.col("name").alias("id")).distinct()
+    return resolve.levels(supertype_edges(s, d), types)
+
+
+@query(f"WITH {_SUPER}, {_ABOVE}, {_MEMBER} SELECT DISTINCT m.member, o.member AS overridden, level FROM mb m JOIN av ON av.type = m.type AND level > 0 JOIN mb o ON o.type = av.above AND o.name = m.name AND o.kind = m.kind AND o.arity = m.arity WHERE m.member <> o.member")
 def g6_overrides(s: SparkSession, d: str) -> DataFrame:
-    """Members of nested containers with the same name, kind and number of parameters; the join is on these and on the containers above."""
-    de = b.decls(s, d).filter("kind IN ('fun', 'method') AND container IS NOT NULL").select("id", "name", "kind", "param_count", "container")
-    parts = F.split("container", r"\.")
-    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).otherwise(F.array().cast("array<string>"))
-    m = de.select("id", "name", "kind", "param_count", F.explode(above).alias("container"))
-    return m.join(de.withColumnRenamed("id", "same_as"), ["name", "kind", "param_count", "container"]).filter("id < same_as").select("id", "same_as")
+    """Members that repeat one of the same name, kind and number of parameters in a type above theirs."""
+    return resolve.overrides(type_members(s, d), types_above(s, d))
 
 
-@query(f"WITH {_EDGES}, e2 AS (SELECT a, b FROM ed QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) <= 12), s AS (SELECT id FROM f WHERE id % 20 = 0), l1 AS (SELECT s.id AS root, e2.a AS id FROM s JOIN e2 ON e2.b = s.id), l2 AS (SELECT root, e2.a AS id FROM l1 JOIN e2 ON e2.b = l1.id), l3 AS (SELECT root, e2.a AS id FROM l2 JOIN e2 ON e2.b = l2.id) SELECT root, id, min(depth)::BIGINT AS depth FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE id <> root GROUP BY ALL")
-def g7_call_tree(s: SparkSession, d: str) -> DataFrame:
-    """Callers of every twentieth file up to three steps up, twelve strongest to a file; breadth first, so a file has its least depth."""
-    e = reference_edges(s, d).withColumn("w", F.col("w"))
-    top = e.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))).filter("r <= 12").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    r = op.reach(b.files(s, d).filter("id % 20 = 0").select("id"), top, 3).filter("depth > 0")
-    return r.select(F.col("start").alias("root"), "id", F.col("depth").cast("bigint").alias("depth"))
+_TREE = "s AS (SELECT id FROM f WHERE id % 50 = 0), e2 AS (SELECT a, b FROM ed QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) <= 12), e3 AS (SELECT a, b FROM ed JOIN ex USING (a, b) QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) <= 12), l1 AS (SELECT DISTINCT s.id AS root, e2.a AS id FROM s JOIN e2 ON e2.b = s.id WHERE e2.a <> s.id), l2 AS (SELECT DISTINCT root, e3.a AS id FROM l1 JOIN e3 ON e3.b = l1.id), l3 AS (SELECT DISTINCT root, e3.a AS id FROM l2 JOIN e3 ON e3.b = l2.id)"
 
 
-@query("WITH x AS (SELECT p.k AS start, c.k AS id, 1 AS depth FROM iss p JOIN iss c ON c.pk = p.k), y AS (SELECT x.start, c.k AS id, 2 AS depth FROM x JOIN iss c ON c.pk = x.id), z AS (SELECT y.start, c.k AS id, 3 AS depth FROM y JOIN iss c ON c.pk = y.id) SELECT start, id, min(depth)::BIGINT AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) WHERE id <> start GROUP BY ALL")
-def g8_task_graph(s: SparkSession, d: str) -> DataFrame:
-    """Chains of one link kind in its own direction, three deep, each task once at its least depth."""
-    e = parent_edges(s, d)
-    r = op.reach(e.select(F.col("a").alias("id")).distinct(), e, 3).filter("depth > 0")
-    return r.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+def exact_edges(s: SparkSession, d: str) -> DataFrame:
+    """(a, b): file a names a type of file b, and its scopes leave no doubt which."""
+    home = b.decls(s, d).select(F.col("id").alias("target"), F.col("file_id").alias("b"))
+    return references(s, d).filter("label = 'EXACT'").join(home, "target").select(F.col("file_id").alias("a"), "b").filter("a <> b").distinct()
 
 
-@query()
+def g7_call_tree(s: SparkSession, d: str) -> DataFrame:
+    """Callers of the files whose id is divisible by 50, up to three steps up, twelve strongest to a file, beyond the first step by
+    exact references only; breadth first, so a file has its least depth."""
+    e = reference_edges(s, d)
+    strongest = lambda x: x.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("w"), "a"))).filter("r <= 12").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    first, later = strongest(e), strongest(e.join(exact_edges(s, d), ["a", "b"], "left_semi"))
+    starts = b.files(s, d).filter("id % 50 = 0").select("id")
+    near = op.reach(starts, first, 1)
+    # From the first step on only exact links lead further.
+    step = near.filter("depth = 1").select("start", "id")
+    far = op.reach(step.select("id").distinct(), later, 2).select(F.col("start").alias("via"), "id", (F.col("depth") + 1).alias("depth"))
+    rows = near.unionByName(step.select("start", F.col("id").alias("via")).join(far, "via").select("start", "id", "depth")).filter("id <> start")
+    return rows.groupBy(F.col("start").alias("root"), "id").agg(F.min("depth").cast("bigint").alias("depth"))
+
+
+@query("WITH x AS (SELECT p.k AS start, c.k AS id, 1 AS depth FROM iss p JOIN iss c ON c.pk = p.k), y AS (SELECT x.start, c.k AS id, 2 AS depth FROM x JOIN iss c ON c.pk = x.id), z AS (SELECT y.start, c.k AS id, 3 AS depth FROM y JOIN iss c ON c.pk = y.id) SELECT start, id, 'children' AS link, min(depth)::BIGINT AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) WHERE id <> start GROUP BY ALL UNION ALL SELECT id, start, 'parents', min(depth)::BIGINT FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) WHERE id <> start GROUP BY ALL UNION ALL SELECT DISTINCT i.k, lower(m), 'mentions', 1 FROM (SELECT k, unnest(regexp_extract_all(summary || ' ' || coalesce(json->>'description', ''), '[A-Z]{2,4}-[0-9]+')) AS m FROM iss) i JOIN iss t ON t.k = lower(m) WHERE t.k <> i.k")
+def g8_task_graph(s: SparkSession, d: str) -> DataFrame:
+    """Typed links of tasks: children and parents as chains, each in its own direction, three deep, each task once at its least depth;
+    mentions one step."""
+    i, e = b.issues(s, d), parent_edges(s, d)
+    down = op.reach(e.select(F.col("a").alias("id")).distinct(), e, 3).filter("depth > 0 AND id <> start")
+    rows = down.select("start", "id", F.lit("children").alias("link"), F.col("depth").cast("bigint").alias("depth"))
+    rows = rows.unionByName(down.select(F.col("id").alias("start"), F.col("start").alias("id"), F.lit("parents").alias("link"), F.col("depth").cast("bigint").alias("depth")))
+    text = F.concat_ws(" ", "summary", F.coalesce(F.get_json_object("json", "$.description"), F.lit("")))
+    said = i.select(F.col("k").alias("start"), F.explode(F.transform(F.regexp_extract_all(text, F.lit("[A-Z]{2,4}-[0-9]+"), 0), F.lower)).alias("id")).distinct()
+    known = said.join(i.select(F.col("k").alias("id")), "id", "left_semi").filter("id <> start")
+    return rows.unionByName(known.select("start", "id", F.lit("mentions").alias("link"), F.lit(1).cast("bigint").alias("depth")))
+
+
+FRONTIER, REFERENCES = 40, 2000
+_REACH = "er AS (SELECT DISTINCT b AS a2, a AS b2 FROM ed), lev0 AS (SELECT id AS start, id, 0 AS depth FROM f WHERE source_set = 'main'), seen0 AS (SELECT * FROM lev0)" + "".join(
+    f", fr{k} AS (SELECT start, id FROM lev{k - 1} QUALIFY row_number() OVER (PARTITION BY start ORDER BY id) <= {FRONTIER}), ee{k} AS (SELECT start, b2 AS id FROM fr{k} JOIN er ON a2 = fr{k}.id QUALIFY row_number() OVER (PARTITION BY start ORDER BY a2, b2) <= {REFERENCES}), lev{k} AS MATERIALIZED (SELECT DISTINCT start, id, {k} AS depth FROM ee{k} ANTI JOIN seen{k - 1} USING (start, id)), seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT * FROM lev{k})"
+    for k in (1, 2, 3)
+)
+_REACHED = "rt AS (SELECT start, id, depth::BIGINT AS depth FROM seen3 WHERE depth > 0 AND id IN (SELECT id FROM f WHERE source_set = 'test'))"
+
+
+@query(f"WITH {_EDGES}, {_REACH}, {_REACHED} SELECT * FROM rt")
 def g9_test_reach(s: SparkSession, d: str) -> DataFrame:
-    """Test files within three steps of users of a file, with a budget of 40 files to go on from."""
+    """Test files within three steps of users of each main file, going on from 40 files over 2 000 references in each step."""
     f = b.files(s, d)
     e = reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    r = op.reach(f.filter("source_set = 'main' AND id % 10 = 0").select("id"), e, 3, frontier=40).filter("depth > 0")
+    r = op.reach(f.filter("source_set = 'main'").select("id"), e, 3, FRONTIER, REFERENCES).filter("depth > 0")
     return r.join(f.filter("source_set = 'test'").select("id"), "id", "left_semi").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -145,18 +189,29 @@ def g10_conflict_groups(s: SparkSession, d: str) -> DataFrame:
     return op.components(t.select(F.col("task").alias("id")), conflict_edges(t))
 
 
-@query()
-def g10_dispatch(s: SparkSession, d: str) -> DataFrame:
-    """Batches of three tasks of each group of conflicting tasks, in order; the rest of a group waits for its first batch.
+SLOTS, BATCH = 4, 3
+_COMPONENTS = f"{_TOUCHES}, dr AS (SELECT DISTINCT lower(task) AS task, split_part(path, '/', 1) AS dir FROM tx), rc AS (SELECT task AS start, task AS id FROM dr UNION SELECT rc.start, y.task FROM rc JOIN dr x ON x.task = rc.id JOIN dr y ON y.dir = x.dir), cp AS (SELECT start AS id, min(id) AS component FROM rc GROUP BY 1)"
+_PLAN = f"""{_COMPONENTS}, tk AS (SELECT cp.id, component, coalesce(priority_rank, 1 << 30) AS rank, coalesce(num, 0) AS num FROM cp LEFT JOIN iss ON iss.k = cp.id), nd AS (SELECT t.id, i.pk AS need FROM tk t JOIN iss i ON i.k = t.id JOIN tk u ON u.id = i.pk AND u.component = t.component)""" + "".join(
+    f", pl{k} AS (SELECT id, {k} AS place FROM tk WHERE " + " AND ".join(["true"] + [f"id NOT IN (SELECT id FROM pl{x})" for x in range(1, k)]) + " QUALIFY row_number() OVER (PARTITION BY component ORDER BY CASE WHEN id IN (SELECT id FROM nd WHERE " + " AND ".join(["true"] + [f"need NOT IN (SELECT id FROM pl{x})" for x in range(1, k)]) + ") THEN 1 ELSE 0 END, rank, num, id) = 1)"
+    for k in range(1, BATCH + 1)
+)
 
-    The order within a group is by rank windows; a batch's number says when it may go.
-    """
-    t = touches(s, d)
+
+@query(f"WITH {_PLAN}, gr AS (SELECT component, row_number() OVER (ORDER BY min(rank), min(num), component)::INT AS slot FROM tk GROUP BY 1), al AS (" + " UNION ALL ".join(f"SELECT * FROM pl{k}" for k in range(1, BATCH + 1)) + f") SELECT component, tk.id, CASE WHEN slot > {SLOTS} THEN 'no free window' WHEN place IS NULL THEN 'after the batch' ELSE 'window' END AS state, place, CASE WHEN slot <= {SLOTS} THEN slot END AS slot FROM tk LEFT JOIN al USING (id) JOIN gr USING (component)")
+def g10_dispatch(s: SparkSession, d: str) -> DataFrame:
+    """Groups of conflicting or dependent tasks as windows, the most urgent first, for four slots: of each group a batch of three in
+    dependency order, the rest after it."""
+    t = touches(s, d).select(F.lower("task").alias("task"), "path").distinct()
     groups = op.components(t.select(F.col("task").alias("id")), conflict_edges(t))
-    i = b.issues(s, d).select(F.col("id"), "priority_rank")
-    rank = W.partitionBy("component").orderBy(F.asc_nulls_last("priority_rank"), F.regexp_extract("id", "[0-9]+$", 0).cast("bigint"), "id")
-    placed = groups.join(i, "id", "left").withColumn("place", F.row_number().over(rank))
-    return placed.select("component", "id", F.floor((F.col("place") - 1) / 3).alias("batch"), "place")
+    i = b.issues(s, d).select(F.col("k").alias("id"), F.col("priority_rank").alias("rank"), "num", "pk")
+    tasks = groups.join(i, "id", "left").select("id", "component", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.coalesce("num", F.lit(0)).alias("num"))
+    placed = op.first_of_groups(tasks, i.filter("pk IS NOT NULL").select("id", F.col("pk").alias("need")), BATCH)
+    order = tasks.groupBy("component").agg(F.min("rank").alias("r"), F.min("num").alias("n"))
+    best = order.orderBy("r", "n", "component").limit(SLOTS)  # only these get a number by order among themselves
+    window = best.withColumn("slot", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("r", "n", "component"))).select("component", "slot")
+    rows = tasks.select("component", "id").join(placed, "id", "left").join(F.broadcast(window), "component", "left")
+    state = F.when(F.col("slot").isNull(), "no free window").when(F.col("place").isNull(), "after the batch").otherwise("window")
+    return rows.select("component", "id", state.alias("state"), "place", "slot")
 
 
 @query("WITH ns AS (SELECT k AS id, pk AS need FROM iss WHERE pk IS NOT NULL), t0 AS (SELECT k AS id FROM iss), " + ", ".join(f"t{i} AS (SELECT id FROM t{i - 1} WHERE id NOT IN (SELECT id FROM ns WHERE need NOT IN (SELECT id FROM t{i - 1})))" for i in range(1, 16)) + " SELECT id FROM t15")
@@ -166,79 +221,109 @@ def g11_unmet_fixpoint(s: SparkSession, d: str) -> DataFrame:
     return op.settled(i.select(F.col("k").alias("id")), i.filter("pk IS NOT NULL").select(F.col("k").alias("id"), F.col("pk").alias("need")))
 
 
-_RES = f"""im AS (SELECT id AS file_id, regexp_extract(text, '^import +(static +)?([A-Za-z0-9_.]+?)(\\.\\*)?( +as +([A-Za-z0-9_]+))? *;?$', 2) AS fqn, regexp_extract(text, '( +as +([A-Za-z0-9_]+))', 2) AS alias FROM ln WHERE starts_with(text, 'import ')),
+_IMPORT = r"^import +(static +)?([A-Za-z0-9_.]+?)(\.\*)?( +as +([A-Za-z0-9_]+))? *;?$"
+_RES = f"""il AS (SELECT id AS file_id, regexp_extract(text, '{_IMPORT}', 2) AS fqn, regexp_extract(text, '{_IMPORT}', 3) AS star, regexp_extract(text, '{_IMPORT}', 5) AS alias FROM ln WHERE starts_with(text, 'import ')),
+im AS (SELECT DISTINCT file_id, fqn, coalesce(nullif(alias, ''), regexp_extract(fqn, '[^.]*$')) AS name FROM il WHERE star = '' AND fqn <> ''), sr AS (SELECT DISTINCT file_id, fqn AS package FROM il WHERE star <> ''),
 rf AS (SELECT DISTINCT id AS file_id, unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9]+')) AS name FROM ln WHERE NOT starts_with(text, 'import ')),
 ty AS (SELECT DISTINCT de.id, name, fqn, package, file_id FROM de JOIN (SELECT id AS fid, package FROM f) ON fid = file_id WHERE kind IN {TYPES}),
 cand AS (SELECT rf.file_id, rf.name, ty.id AS target, 0 AS level FROM rf JOIN ty ON ty.name = rf.name AND ty.file_id = rf.file_id
- UNION ALL SELECT rf.file_id, rf.name, ty.id, 1 FROM rf JOIN im ON im.file_id = rf.file_id AND coalesce(nullif(im.alias, ''), regexp_extract(im.fqn, '[^.]*$')) = rf.name JOIN ty ON ty.fqn = im.fqn
+ UNION ALL SELECT rf.file_id, rf.name, ty.id, 1 FROM rf JOIN im USING (file_id, name) JOIN ty ON ty.fqn = im.fqn
  UNION ALL SELECT rf.file_id, rf.name, ty.id, 2 FROM rf JOIN f ON f.id = rf.file_id JOIN ty ON ty.package = f.package AND ty.name = rf.name
- UNION ALL SELECT rf.file_id, rf.name, ty.id, 3 FROM rf JOIN ty ON ty.name = rf.name)"""
+ UNION ALL SELECT rf.file_id, rf.name, ty.id, 3 FROM rf JOIN sr USING (file_id) JOIN ty ON ty.package = sr.package AND ty.name = rf.name),
+ne AS (SELECT DISTINCT file_id, name, target, level FROM cand QUALIFY level = min(level) OVER (PARTITION BY file_id, name)),
+lb AS (SELECT rf.file_id, rf.name, coalesce(k.near, a.target) AS target, CASE WHEN k.k = 1 THEN 'EXACT' WHEN k.k > 1 THEN 'CANDIDATE' ELSE 'OTHER' END AS label FROM rf LEFT JOIN (SELECT file_id, name, min(target) AS near, count(*) AS k FROM ne GROUP BY ALL) k USING (file_id, name) LEFT JOIN (SELECT name, min(id) AS target FROM ty GROUP BY 1) a ON a.name = rf.name WHERE coalesce(k.near, a.target) IS NOT NULL)"""
+SQL["g7_call_tree"] = b.PRELUDE + f", {_EDGES}, {_RES}, ex AS (SELECT DISTINCT lb.file_id AS a, de.file_id AS b FROM lb JOIN de ON de.id = lb.target WHERE label = 'EXACT' AND lb.file_id <> de.file_id), {_TREE} SELECT root, id, min(depth)::BIGINT AS depth FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) WHERE id <> root GROUP BY ALL"
+QUERIES["g7_call_tree"] = g7_call_tree
 
 
-def resolved(s: SparkSession, d: str) -> DataFrame:
-    """(file_id, name, target, level): the declarations a type name may mean, by scope: the file, an import, the package, any."""
-    ln = b.lines(s, d)
-    is_import = F.col("text").startswith("import ")
-    imports = ln.filter(is_import).select(
-        F.col("id").alias("file_id"), F.regexp_extract("text", r"^import +(static +)?([A-Za-z0-9_.]+?)(\.\*)?( +as +([A-Za-z0-9_]+))? *;?$", 2).alias("fqn"), F.regexp_extract("text", r"( +as +([A-Za-z0-9_]+))", 2).alias("alias")
-    ).withColumn("name", F.coalesce(F.nullif("alias", F.lit("")), F.regexp_extract("fqn", "[^.]*$", 0)))
-    refs = ln.filter(~is_import).select(F.col("id").alias("file_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), 0)).alias("name")).distinct()
+def import_lines(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, fqn, star, name): what a file imports, and by which name."""
+    part = lambda n: F.regexp_extract("text", _IMPORT, n)
+    rows = b.lines(s, d).filter(F.col("text").startswith("import ")).select(F.col("id").alias("file_id"), part(2).alias("fqn"), (part(3) != "").alias("star"), part(5).alias("alias"))
+    return rows.filter("fqn <> ''").select("file_id", "fqn", "star", F.coalesce(F.nullif("alias", F.lit("")), F.regexp_extract("fqn", "[^.]*$", 0)).alias("name"))
+
+
+def type_names(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, name): the words of a file that may be names of types, but for its imports."""
+    ln = b.lines(s, d).filter(~F.col("text").startswith("import "))
+    return ln.select(F.col("id").alias("file_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), 0)).alias("name")).distinct()
+
+
+def declared_types(s: SparkSession, d: str) -> DataFrame:
+    """(target, name, fqn, package, home)"""
     f = b.files(s, d).select(F.col("id").alias("file_id"), "package")
-    types = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).join(f, "file_id").select(F.col("id").alias("target"), "name", "fqn", "package", F.col("file_id").alias("home")).distinct()
-    own = refs.join(types, (refs["name"] == types["name"]) & (refs["file_id"] == types["home"])).select(refs["file_id"], refs["name"], "target", F.lit(0).alias("level"))
-    named = refs.join(imports.select("file_id", "name", "fqn"), ["file_id", "name"]).join(types.select("fqn", "target"), "fqn").select("file_id", "name", "target", F.lit(1).alias("level"))
-    near = refs.join(f, "file_id").join(types.select("package", "name", "target"), ["package", "name"]).select("file_id", "name", "target", F.lit(2).alias("level"))
-    far = refs.join(types.select("name", "target"), "name").select("file_id", "name", "target", F.lit(3).alias("level"))
-    return own.unionByName(named).unionByName(near).unionByName(far)
+    types = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).join(f, "file_id")
+    return types.select(F.col("id").alias("target"), "name", "fqn", "package", F.col("file_id").alias("home")).distinct()
+
+
+def resolved(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, name, target, level): the declarations that a type name may mean by its nearest scope."""
+    imports = import_lines(s, d)
+    stars = imports.filter("star").select("file_id", F.col("fqn").alias("package"))
+    packages = b.files(s, d).select(F.col("id").alias("file_id"), "package")
+    return resolve.scoped(type_names(s, d), declared_types(s, d), imports.filter("NOT star"), stars, packages)
 
 
-def nearest_level(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each reference the candidates of its first scope that has any."""
-    first = candidates.groupBy(*keys).agg(F.min("level").alias("level"))
-    return candidates.join(first, [*keys, "level"]).distinct()
+def references(s: SparkSession, d: str) -> DataFrame:
+    return resolve.labelled(type_names(s, d), resolved(s, d), declared_types(s, d))
 
 
-@query(f"WITH {_RES}, b AS (SELECT DISTINCT file_id, name, target, level FROM cand QUALIFY level = min(level) OVER (PARTITION BY file_id, name)) SELECT file_id, name, min(target) AS target, CASE WHEN count(*) = 1 AND min(level) <= 2 THEN 'EXACT' WHEN min(level) <= 2 THEN 'CANDIDATE' ELSE 'OTHER' END AS label FROM b GROUP BY ALL")
+@query(f"WITH {_RES} SELECT file_id, name, target, label FROM lb")
 def r1_resolution(s: SparkSession, d: str) -> DataFrame:
-    best = nearest_level(resolved(s, d), ["file_id", "name"])
-    label = F.when((F.count("*") == 1) & (F.min("level") <= 2), "EXACT").when(F.min("level") <= 2, "CANDIDATE").otherwise("OTHER")
-    return best.groupBy("file_id", "name").agg(F.min("target").alias("target"), label.alias("label"))
+    return references(s, d)
 
 
-@query(f"WITH {_RES} SELECT DISTINCT file_id, name, target, level FROM cand WHERE level IN (1, 2) QUALIFY level = min(level) OVER (PARTITION BY file_id, name)")
+@query(f"WITH {_RES} SELECT file_id, name, target, level FROM ne WHERE level > 0")
 def r2_visibility(s: SparkSession, d: str) -> DataFrame:
-    return nearest_level(resolved(s, d).filter("level IN (1, 2)"), ["file_id", "name"]).select("file_id", "name", "target", "level")
+    """What a file sees beyond its own declarations: by explicit import, else in its package, else by an import of a whole package."""
+    return resolved(s, d).filter("level > 0")
 
 
-_MEMBERS = "mb AS (SELECT id, file_id, container, name FROM de WHERE kind IN ('fun', 'method') AND container IS NOT NULL), up AS (SELECT id, file_id, name, container, array_to_string(p[1:n], '.') AS owner, len(p) - n AS level FROM (SELECT *, string_split(container, '.') AS p FROM mb), unnest(range(1, len(p) + 1)) AS t(n))"
+_CALLS = "ca AS (SELECT id AS file_id, line, c, regexp_extract(c, '[A-Za-z0-9_]+') AS name FROM (SELECT id, line, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.])[a-z][A-Za-z0-9_]*\\([^()]*\\)')) AS c FROM ln WHERE NOT regexp_matches(text, '(^|[^A-Za-z0-9_])fun ')))"
+_IN_TYPE = "ct AS (SELECT ca.*, regexp_extract(de.container, '[^.]*$') AS type FROM ca JOIN de ON de.file_id = ca.file_id AND ca.line BETWEEN start_line AND end_line WHERE kind IN ('fun', 'method') AND container <> '' QUALIFY row_number() OVER (PARTITION BY ca.file_id, ca.line, c ORDER BY end_line - start_line, start_line DESC, type) = 1)"
 
 
-@query(f"WITH {_MEMBERS} SELECT a.id, min(b.id) AS found, level FROM up a JOIN mb b ON b.file_id = a.file_id AND b.container = a.owner AND b.name = a.name GROUP BY a.id, level QUALIFY level = min(level) OVER (PARTITION BY a.id)")
+def call_lines(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, line, c, name, args): calls without a receiver and without calls in their arguments."""
+    ln = b.lines(s, d).filter(~F.col("text").rlike("(^|[^A-Za-z0-9_])fun "))
+    c = ln.select(F.col("id").alias("file_id"), "line", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_.])[a-z][A-Za-z0-9_]*\([^()]*\)"), 0)).alias("c"))
+    inner = F.regexp_extract("c", r"\(([^()]*)\)", 1)
+    return c.withColumns({"name": F.regexp_extract("c", "[A-Za-z0-9_]+", 0), "args": F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ",")))})
+
+
+def calls_in_types(s: SparkSession, d: str) -> DataFrame:
+    """`call_lines` with the type of the innermost function around, one row for each call written on a line."""
+    funs = b.decls(s, d).filter("kind IN ('fun', 'method') AND container <> ''").withColumn("type", F.regexp_extract("container", "[^.]*$", 0))
+    return narrowest(call_lines(s, d).distinct(), funs, "file_id", "line", "start_line", "end_line", ["type"], ["file_id", "line", "c", "name", "args"]).filter("type IS NOT NULL")
+
+
+@query(f"WITH {_SUPER}, {_ABOVE}, {_MEMBER}, {_CALLS}, {_IN_TYPE}, h AS (SELECT DISTINCT file_id, line, ct.name, member, level FROM ct JOIN av ON av.type = ct.type JOIN mb ON mb.type = av.above AND mb.name = ct.name) SELECT *, level = min(level) OVER (PARTITION BY file_id, line, name) AS nearest FROM h")
 def r3_member_lookup(s: SparkSession, d: str) -> DataFrame:
-    """The nearest enclosing type that has a member of the name."""
-    m = b.decls(s, d).filter("kind IN ('fun', 'method') AND container IS NOT NULL").select("id", "file_id", "container", "name")
-    p = F.split("container", r"\.")
-    owners = F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.struct(F.array_join(F.slice(p, F.lit(1), n), ".").alias("container"), (F.size(p) - n).alias("level")))
-    up = m.select("id", "file_id", "name", F.explode(owners).alias("o")).select("id", "file_id", "name", "o.container", "o.level")
-    hit = up.join(m.withColumnRenamed("id", "found"), ["file_id", "container", "name"])
-    return hit.groupBy("id").agg(F.min(F.struct("level", "found")).alias("x")).select("id", "x.found", F.col("x.level").cast("bigint").alias("level"))
+    """What a call inside a type means: a member of the type, or of a type above it; the nearest level wins, the others are kept."""
+    use = F.struct("file_id", "line", "name")
+    uses = calls_in_types(s, d).select(use.alias("use"), "type", "name").distinct()
+    return resolve.member_lookup(uses, type_members(s, d), types_above(s, d)).select("use.*", "member", "level", "nearest")
 
 
-@query("WITH p AS (SELECT id, name, param_count AS total, len(list_filter(from_json(params, '[\"JSON\"]'), lambda x: coalesce(x->>'default', 'false') NOT IN ('true', '1'))) AS required, coalesce(params LIKE '%vararg\": true%', false) AS many FROM de WHERE kind IN ('fun', 'method')), c AS (SELECT * FROM (VALUES (0), (1), (2)) v(args)) SELECT id, args FROM p CROSS JOIN c WHERE required <= args AND (args <= total OR many)")
+_REQUIRED = "len(list_filter(from_json(coalesce(params, '[]'), '[\"JSON\"]'), lambda x: coalesce(x->>'default', 'false') NOT IN ('true', '1') AND coalesce(x->>'vararg', 'false') NOT IN ('true', '1')))"
+_MANY = "coalesce(len(list_filter(from_json(coalesce(params, '[]'), '[\"JSON\"]'), lambda x: coalesce(x->>'vararg', 'false') IN ('true', '1'))) > 0, false)"
+_ARGS = "CASE WHEN trim(regexp_extract(c, '\\(([^()]*)\\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(c, '\\(([^()]*)\\)', 1), ',')) END"
+
+
+@query(f"WITH {_CALLS}, x AS (SELECT DISTINCT file_id, line, c, name, {_ARGS} AS args FROM ca), p AS (SELECT id, file_id, name, param_count AS total, {_REQUIRED} AS required, {_MANY} AS many FROM de WHERE kind IN ('fun', 'method')) SELECT x.file_id, line, trim(c) AS call, p.id, required <= args AND (many OR args <= total) AS fits FROM x JOIN p ON p.file_id = x.file_id AND p.name = x.name")
 def r4_argument_count(s: SparkSession, d: str) -> DataFrame:
-    """Declarations that take 0, 1 or 2 arguments, by required and all parameters."""
-    ps = F.from_json("params", "array<map<string,string>>")
-    need = F.size(F.filter(ps, lambda x: ~F.coalesce(x["default"], F.lit("false")).isin("true", "1")))
-    many = F.coalesce(F.col("params").contains('vararg": true'), F.lit(False))
-    rows = b.decls(s, d).filter("kind IN ('fun', 'method')").select("id", F.col("param_count").alias("total"), need.alias("required"), many.alias("many"))
-    return rows.select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("args")).filter("required <= args AND (args <= total OR many)").select("id", "args")
+    """Calls of the functions of a file, and whether the number of arguments fits: defaults may be left out, a vararg takes any number."""
+    p = b.decls(s, d).filter("kind IN ('fun', 'method')").select("id", "file_id", "name", F.col("param_count").alias("total"), "params")
+    x = call_lines(s, d).distinct().join(p, ["file_id", "name"])
+    return x.select("file_id", "line", F.trim("c").alias("call"), "id", resolve.accepts(F.col("params"), F.col("total"), F.col("args")).alias("fits"))
 
 
-@query(f"WITH {_RES}, o AS (SELECT file_id, name FROM cand GROUP BY ALL HAVING min(level) = 3), one AS (SELECT name, min(id) AS target FROM ty GROUP BY 1 HAVING count(*) = 1) SELECT file_id, name, target FROM o JOIN one USING (name) WHERE length(name) > 8")
+@query(f"WITH {_RES}, o AS (SELECT file_id, name FROM lb WHERE label = 'OTHER'), xt AS (SELECT DISTINCT name FROM im WHERE fqn NOT IN (SELECT fqn FROM ty)), one AS (SELECT name, min(id) AS target FROM ty GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT file_id, name, target FROM o JOIN one USING (name) ANTI JOIN xt USING (name)")
 def r5_promotion(s: SparkSession, d: str) -> DataFrame:
-    """A name outside every scope means the only declaration of that name, if the name is distinctive."""
-    far = resolved(s, d).groupBy("file_id", "name").agg(F.min("level").alias("level"), F.min("target").alias("target"), F.count_distinct("target").alias("n"))
-    return far.filter("level = 3 AND n = 1 AND length(name) > 8").select("file_id", "name", "target")
+    """A name outside every scope means the only declaration of that name, unless some file takes the name from elsewhere."""
+    types = declared_types(s, d)
+    outside = import_lines(s, d).filter("NOT star").join(types.select("fqn"), "fqn", "left_anti").select("name")
+    return resolve.promoted(references(s, d).filter("label = 'OTHER'"), types, outside)
 
 
 @query("WITH " + _SUPER + ", t0 AS (SELECT DISTINCT name AS id, name AS at_ FROM de WHERE kind IN ('class', 'object')), " + ", ".join(f"t{i} AS (SELECT t.id, coalesce(m.b, t.at_) AS at_ FROM t{i - 1} t LEFT JOIN (SELECT a, min(b) AS b FROM sup GROUP BY 1) m ON m.a = t.at_)" for i in range(1, 7)) + " SELECT id, at_ AS spec FROM t6")
@@ -251,21 +336,24 @@ def r6_type_specs(s: SparkSession, d: str) -> DataFrame:
     return t
 
 
-@query("SELECT id, line, regexp_extract(text, '([A-Za-z.<>]*)\\.?\\(([A-Za-z, ]*)\\) -> ([A-Za-z]+)', 3) AS result FROM ln WHERE regexp_matches(text, '\\(([A-Za-z, ]*)\\) -> ([A-Za-z]+)')")
+_LAMBDA = r"^(?:suspend )?(?:([A-Za-z0-9_.<>?]+)\.)?\(([^()]*)\) -> (.+)$"
+
+
+@query(f"WITH {_RES}, pr AS (SELECT id, file_id, p->>'name' AS param, p->>'type' AS type FROM (SELECT id, file_id, unnest(from_json(params, '[\"JSON\"]')) AS p FROM de WHERE params LIKE '%->%')), x AS (SELECT id, file_id, param, regexp_extract(type, '{_LAMBDA}', 1) AS receiver, regexp_extract(type, '{_LAMBDA}', 3) AS result FROM pr WHERE regexp_matches(type, '{_LAMBDA}')) SELECT x.id, param, receiver, result, min(ty.id) AS target FROM x LEFT JOIN ty ON ty.name = regexp_replace(receiver, '<.*>|\\?', '', 'g') AND receiver <> '' GROUP BY ALL")
 def r7_lambda_types(s: SparkSession, d: str) -> DataFrame:
-    p = r"\(([A-Za-z, ]*)\) -> ([A-Za-z]+)"
-    return b.lines(s, d).filter(F.col("text").rlike(p)).select("id", "line", F.regexp_extract("text", r"([A-Za-z.<>]*)\.?\(([A-Za-z, ]*)\) -> ([A-Za-z]+)", 3).alias("result"))
+    """Parameters that take a function: its receiver, with the declaration of that name, and its result."""
+    de = b.decls(s, d).filter(F.col("params").contains("->")).select("id", F.explode(F.from_json("params", "array<map<string,string>>")).alias("p"))
+    t = F.col("p")["type"]
+    x = de.filter(t.rlike(_LAMBDA)).select("id", F.col("p")["name"].alias("param"), F.regexp_extract(t, _LAMBDA, 1).alias("receiver"), F.regexp_extract(t, _LAMBDA, 3).alias("result"))
+    types = resolve.anywhere(declared_types(s, d)).select("name", "target")
+    named = x.withColumn("name", F.when(F.col("receiver") != "", F.regexp_replace("receiver", r"<.*>|\?", "")))
+    return named.join(types, "name", "left").select("id", "param", "receiver", "result", "target")
 
 
-@query(f"WITH {_RES}, b AS (SELECT DISTINCT file_id, name, target, level FROM cand QUALIFY level = min(level) OVER (PARTITION BY file_id, name)) SELECT target AS id, count(DISTINCT file_id) AS callers FROM b WHERE target % 7 = 0 AND target NOT IN (SELECT id FROM de WHERE file_id = b.file_id) GROUP BY 1")
-def r8_callers_of_changed(s: SparkSession, d: str) -> DataFrame:
-    """How many other files name a declaration, for all that are named, whichever of them a change may touch."""
-    best = nearest_level(resolved(s, d), ["file_id", "name"])
-    home = b.decls(s, d).select(F.col("id").alias("target"), F.col("file_id").alias("home"))
-    return best.join(home, "target").filter("file_id <> home").groupBy(F.col("target").alias("id")).agg(F.count_distinct("file_id").alias("callers"))
+_LINE_OF = "at_ AS (SELECT id AS file_id, line FROM ln UNION SELECT file_id, start_line::BIGINT FROM de), aq AS (SELECT f.id AS file_id, f.path || ':' || line AS asked, line FROM at_ JOIN f ON f.id = at_.file_id), nl AS (SELECT file_id, start_line, end_line, fqn FROM de WHERE local = 0)"
 
 
-@query("WITH a AS (SELECT f.id AS file_id, f.path, 12 AS line FROM f WHERE f.id % 3 = 0) SELECT a.path || ':12' AS asked, fqn FROM a JOIN de ON de.file_id = a.file_id AND 12 BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY end_line - start_line, start_line DESC, fqn) = 1")
+@query(f"WITH {_LINE_OF}, ins AS (SELECT asked, fqn FROM aq JOIN de USING (file_id) WHERE line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY asked ORDER BY end_line - start_line, start_line DESC, fqn) = 1), oth AS (SELECT aq.* FROM aq ANTI JOIN ins USING (asked)), af AS (SELECT asked, fqn FROM oth JOIN nl USING (file_id) WHERE start_line > line QUALIFY row_number() OVER (PARTITION BY asked ORDER BY start_line, start_line - end_line, fqn) = 1), bf AS (SELECT asked, fqn FROM oth JOIN nl USING (file_id) WHERE end_line < line QUALIFY row_number() OVER (PARTITION BY asked ORDER BY end_line DESC, start_line - end_line, fqn) = 1) SELECT * FROM ins UNION ALL SELECT * FROM af UNION ALL SELECT bf.* FROM bf ANTI JOIN af USING (asked)")
 def r9_symbol_at(s: SparkSession, d: str) -> DataFrame:
     """`path:line` to the innermost declaration there, for every line of every file and every line on which a declaration begins.
 
@@ -283,6 +371,28 @@ def r9_symbol_at(s: SparkSession, d: str) -> DataFrame:
     return found.select("asked", "fqn").filter("fqn IS NOT NULL").unionByName(near.filter("fqn IS NOT NULL"))
 
 
+_TYPES_OF = "CASE WHEN coalesce(params, '') = '' OR param_count = 0 THEN '' ELSE array_to_string(list_transform(from_json(params, '[\"JSON\"]'), lambda x: x->>'type'), ', ') END"
+_KEYS = f"ky AS (SELECT id, regexp_extract(container, '[^.]*$') || '.' || name || '(' || {_TYPES_OF} || ')' AS key, 0 AS pref FROM de WHERE kind IN ('fun', 'method') AND container <> '' UNION ALL SELECT id, regexp_extract(container, '[^.]*$') || '.' || name, 1 FROM de WHERE container <> '' UNION ALL SELECT id, regexp_extract(container, '([^.]+)[.]Companion$', 1) || '.' || name, 2 FROM de WHERE container LIKE '%.Companion')"
+
+
+@query(f"WITH {_KEYS}, aq AS (SELECT DISTINCT key AS asked FROM ky WHERE pref < 2) SELECT asked, min(id) AS id, count(DISTINCT id) AS n FROM (SELECT asked, id, pref FROM aq JOIN ky ON key = asked QUALIFY pref = min(pref) OVER (PARTITION BY asked)) GROUP BY 1")
+def r9_symbols(s: SparkSession, d: str) -> DataFrame:
+    """`Type.member(Param)` and `Type.member` to the least declaration so called and their number; a member of a type's companion
+    answers where the type has none itself. Asked for all members."""
+    de = b.decls(s, d).filter("container <> ''")
+    types = F.when((F.coalesce("params", F.lit("")) == "") | (F.col("param_count") == 0), "").otherwise(F.array_join(F.transform(F.from_json("params", "array<map<string,string>>"), lambda x: x["type"]), ", "))
+    owner, member = F.regexp_extract("container", "[^.]*$", 0), F.col("name")
+    around = F.regexp_extract("container", r"([^.]+)\.Companion$", 1)
+    key = lambda k, pref: F.struct(k.alias("key"), F.lit(pref).alias("level"))
+    keys = F.array(
+        key(F.when(F.col("kind").isin("fun", "method"), F.concat(owner, F.lit("."), member, F.lit("("), types, F.lit(")"))), 0),
+        key(F.concat(owner, F.lit("."), member), 1), key(F.when(F.col("container").endswith(".Companion"), F.concat(around, F.lit("."), member)), 2),
+    )
+    rows = de.select("id", F.explode(keys).alias("x")).select("id", F.col("x.key").alias("asked"), "x.level").filter("asked IS NOT NULL")
+    best = resolve.nearest(rows, ["asked"]).join(rows.filter("level < 2").select("asked").distinct(), "asked", "left_semi")
+    return best.groupBy("asked").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n"))
+
+
 @query("WITH " + _SUPER + ", k AS (SELECT name, count(*) AS members FROM (SELECT regexp_extract(container, '[^.]*$') AS name FROM de WHERE container IS NOT NULL) GROUP BY 1) SELECT t.name, coalesce(members, 0) AS members, (SELECT count(*) FROM sup WHERE a = t.name) AS up, (SELECT count(*) FROM sup WHERE b = t.name) AS down FROM (SELECT DISTINCT name FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')) t LEFT JOIN k USING (name)")
 def r10_context(s: SparkSession, d: str) -> DataFrame:
     """A type in its context: members, direct super- and subtypes."""
@@ -313,19 +423,46 @@ def r12_mentions(s: SparkSession, d: str) -> DataFrame:
     return b.documents(s, d).select("doc_id", F.explode(F.concat(*[tag(k, p) for k, p in kinds])).alias("x")).select("doc_id", "x.*")
 
 
-@query("WITH c AS (SELECT id, parent_id, CASE WHEN id % 13 = 0 THEN '+' WHEN id % 17 = 0 THEN '~' END AS mark FROM de) SELECT c.id, c.mark FROM c LEFT JOIN c p ON p.id = c.parent_id WHERE c.mark IS NOT NULL AND (p.mark IS NULL OR p.mark <> '+')")
+def change_marks(s: SparkSession, d: str) -> DataFrame:
+    """(id, parent_id, mark) of the declarations that differ between two versions."""
+    old, new = two_versions(s, d)
+    parents = new.select("id", "parent_id").unionByName(old.join(new.select("id"), "id", "left_anti").select("id", "parent_id"))
+    return version_matches(s, d).filter("mark <> '='").select(F.coalesce("new_id", "old_id").alias("id"), "mark").distinct().join(parents, "id")
+
+
+_MARKS = f"{_MATCHED}, mk AS (SELECT DISTINCT coalesce(new_id, old_id) AS id, mark FROM mt WHERE mark <> '='), pa AS (SELECT id, parent_id FROM nv UNION ALL SELECT id, parent_id FROM ov WHERE id NOT IN (SELECT id FROM nv)), cm AS (SELECT mk.id, parent_id, mark FROM mk JOIN pa USING (id))"
+
+
+@query(f"WITH {_MARKS} SELECT cm.id, cm.mark FROM cm LEFT JOIN (SELECT id, mark FROM cm WHERE mark IN ('+', '-')) p ON p.id = cm.parent_id AND p.mark = cm.mark WHERE p.id IS NULL")
 def r13_change_set(s: SparkSession, d: str) -> DataFrame:
-    """Changed declarations; what lies inside an added one is part of it."""
-    c = b.decls(s, d).select("id", "parent_id", F.when(F.col("id") % 13 == 0, "+").when(F.col("id") % 17 == 0, "~").alias("mark"))
-    p = c.select(F.col("id").alias("parent_id"), F.col("mark").alias("outer"))
-    return c.filter("mark IS NOT NULL").join(p, "parent_id", "left").filter("outer IS NULL OR outer <> '+'").select("id", "mark")
+    """Changed declarations, from the matching of two versions; what lies directly inside an added or removed one is part of it."""
+    c = change_marks(s, d)
+    p = c.filter("mark IN ('+', '-')").select(F.col("id").alias("parent_id"), "mark").distinct()
+    return c.join(p, ["parent_id", "mark"], "left_anti").select("id", "mark")
 
 
-@query()
+@query(f"WITH {_RES}, {_CALLS}, {_MARKS}, ch AS (SELECT DISTINCT cm.id, mark, name, kind, file_id AS home FROM cm JOIN de USING (id) WHERE mark IN ('^', '~', '-')), cl AS (SELECT ch.id, ca.file_id FROM ch JOIN ca ON ca.name = ch.name AND ch.kind IN ('fun', 'method') WHERE ca.file_id <> home UNION SELECT ch.id, lb.file_id FROM ch JOIN lb ON lb.target = ch.id AND label = 'EXACT' WHERE lb.file_id <> home), lf AS (SELECT name, kind, min(id) AS instead FROM de WHERE local = 0 AND id NOT IN (SELECT id FROM cm WHERE mark = '-') GROUP BY ALL) SELECT ch.id, mark, coalesce(n, 0) AS callers, CASE WHEN mark = '-' THEN instead END AS instead FROM ch LEFT JOIN (SELECT id, count(DISTINCT file_id) AS n FROM cl GROUP BY 1) USING (id) LEFT JOIN lf USING (name, kind)")
+def r8_callers_of_changed(s: SparkSession, d: str) -> DataFrame:
+    """Of each declaration that a change set changes or removes, how many files name its type or call it; for removed ones also where
+    calls go now: the least declaration that is left with its name."""
+    de = b.decls(s, d).filter("local = 0")
+    c = change_marks(s, d).filter("mark IN ('^', '~', '-')")
+    called = call_lines(s, d).select("file_id", "name").distinct()
+    typed = references(s, d).filter("label = 'EXACT'").select("file_id", F.col("target").alias("id"))
+    home = de.select("id", "name", F.col("file_id").alias("home"), "kind")
+    changed = c.select("id", "mark").join(home, "id")
+    by_call = changed.filter("kind IN ('fun', 'method')").join(called, "name").select("id", "file_id", "home")
+    by_type = changed.join(typed, "id").select("id", "file_id", "home")
+    callers = by_call.unionByName(by_type).filter("file_id <> home").groupBy("id").agg(F.count_distinct("file_id").alias("callers"))
+    left = home.join(c.filter("mark = '-'").select("id"), "id", "left_anti").groupBy("name", "kind").agg(F.min("id").alias("instead"))
+    out = changed.join(callers, "id", "left").join(left, ["name", "kind"], "left")
+    return out.select("id", "mark", F.coalesce("callers", F.lit(0)).alias("callers"), F.when(F.col("mark") == "-", F.col("instead")).alias("instead"))
+
+
+@query(f"WITH {_EDGES}, {_REACH}, {_REACHED} SELECT f.id, module, CASE WHEN path LIKE '%.gradle.kts' OR path LIKE '%.kts' THEN 'everything' WHEN t.n IS NULL THEN 'module' ELSE 'reached' END AS scope, coalesce(t.n, 0) AS tests FROM f LEFT JOIN (SELECT start, count(*) AS n FROM rt GROUP BY 1) t ON t.start = f.id WHERE source_set = 'main'")
 def r14_test_selection(s: SparkSession, d: str) -> DataFrame:
-    """Tests to run for changed files: those that reach them; a changed build file or a file no test reaches widens to the module."""
-    f = b.files(s, d)
-    changed = f.filter("id % 10 = 0").select(F.col("id").alias("start"), "path", "module")
+    """Tests to run when a main file changes: those that reach it; a build file widens to everything, a file no test reaches to its module."""
+    changed = b.files(s, d).filter("source_set = 'main'").select(F.col("id").alias("start"), "path", "module")
     reached = g9_test_reach(s, d).groupBy("start").agg(F.count("*").alias("tests"))
     wide = F.when(F.col("path").endswith(".kts"), "everything").when(F.col("tests").isNull(), "module").otherwise("reached")
     return changed.join(reached, "start", "left").select(F.col("start").alias("id"), "module", wide.alias("scope"), F.coalesce("tests", F.lit(0)).alias("tests"))
@@ -334,60 +471,54 @@ def r14_test_selection(s: SparkSession, d: str) -> DataFrame:
 @query()
 def r15_line_diff(s: SparkSession, d: str) -> DataFrame:
     """Lines added and removed between two versions of a comment, by a longest common subsequence."""
-
-    def longest(a: list[str], z: list[str]) -> int:
-        while a and z and a[0] == z[0]:
-            a, z = a[1:], z[1:]
-            done.append(1)
-        row = [0] * (len(z) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(z, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
-
-    done: list[int] = []
-
-    @F.pandas_udf("struct<added:int,removed:int>")
-    def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        out = []
-        for o, n in zip(old.fillna(""), new.fillna("")):
-            done.clear()
-            a, z = o.split("\n"), n.split("\n")
-            same = longest(a, z) + len(done)
-            out.append((len(z) - same, len(a) - same))
-        return pd.DataFrame(out, columns=["added", "removed"])
-
     new = F.regexp_replace("text", r"\. ", ".\n")
-    return b.comments(s, d).select("id", diff(F.col("text"), new).alias("x")).select("id", "x.*")
+    return b.comments(s, d).select("id", line_diff(F.col("text"), new).alias("x")).select("id", "x.*")
 
 
-@query("WITH a AS (SELECT file_id, sha256(string_agg(hash, chr(1) ORDER BY hash)) AS now, sha256(string_agg(CASE WHEN id % 50 = 0 THEN 'old' ELSE hash END, chr(1) ORDER BY CASE WHEN id % 50 = 0 THEN 'old' ELSE hash END)) AS was FROM de GROUP BY 1) SELECT file_id, CASE WHEN file_id % 9 = 0 THEN 'unknown' WHEN now = was THEN 'standing' ELSE 'stale' END AS state FROM a")
+@query(f"WITH {_VERSIONS}, a AS (SELECT file_id, sha256(string_agg(hash, chr(1) ORDER BY hash)) AS was FROM ov GROUP BY 1), n AS (SELECT file_id, sha256(string_agg(hash, chr(1) ORDER BY hash)) AS now FROM nv GROUP BY 1) SELECT file_id, CASE WHEN was IS NULL OR now IS NULL THEN 'unknown' WHEN now = was THEN 'standing' ELSE 'stale' END AS state FROM a FULL JOIN n USING (file_id)")
 def r16_staleness(s: SparkSession, d: str) -> DataFrame:
-    """A fingerprint of a file's declarations against the one stored; without one it is unknown."""
-    print_ = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\x01"), 256)
-    old = F.when(F.col("id") % 50 == 0, "old").otherwise(F.col("hash"))
-    g = b.decls(s, d).groupBy("file_id").agg(print_(F.col("hash")).alias("now"), print_(old).alias("was"))
-    return g.select("file_id", F.when(F.col("file_id") % 9 == 0, "unknown").when(F.col("now") == F.col("was"), "standing").otherwise("stale").alias("state"))
+    """The fingerprint of a file's declarations as an anchor stored it, in the older version, against that of the newer; where either is missing it is unknown."""
+    old, new = two_versions(s, d)
+    return staleness(old, new, "file_id", "hash")
+
+
+def staleness(stored: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, state) by fingerprints of the sorted values of a key, null ones left out: standing, stale, or unknown on one side."""
+    mark = lambda df, name: df.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "\x01"), 256).alias(name))
+    both = mark(stored, "was").join(mark(now, "now"), key, "full_outer")
+    return both.select(key, F.when(F.col("was").isNull() | F.col("now").isNull(), "unknown").when(F.col("now") == F.col("was"), "standing").otherwise("stale").alias("state"))
 
 
-@query("WITH h AS (SELECT id AS file_id, line, regexp_extract(text, 'error\\(\"([a-z]+)', 1) AS message FROM ln WHERE contains(text, 'error(\"')), x AS (SELECT h.*, de.fqn, row_number() OVER (PARTITION BY h.file_id, h.line ORDER BY end_line - start_line NULLS LAST, start_line DESC, fqn) AS rn FROM h LEFT JOIN de ON de.file_id = h.file_id AND h.line BETWEEN start_line AND end_line) SELECT message, count(*) AS n, count(DISTINCT fqn) AS declarations, count(DISTINCT fqn) >= 3 AS cascade FROM x WHERE rn = 1 GROUP BY 1")
+_SAID = "(?:^|[^A-Za-z])([A-Za-z]+[.](?:kt|java)):([0-9]+)"
+_OUTPUT = f"ol AS (SELECT doc_id, i::BIGINT AS out_line, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND source = 'cli_output'), unnest(range(1, len(ls) + 1)) AS t(i)), oe AS (SELECT doc_id, out_line, regexp_extract(text, '{_SAID}', 1) AS file, regexp_extract(text, '{_SAID}', 2)::BIGINT AS line, trim(regexp_replace(regexp_replace(text, '^\\[[0-9:]+\\] [A-Z]+ ', ''), '[0-9]+', '#', 'g')) AS message FROM ol WHERE regexp_matches(text, '{_SAID}')), nf AS (SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '[0-9]+', '') AS file, min(id) AS file_id FROM f GROUP BY 1)"
+
+
+@query(f"WITH {_OUTPUT}, x AS (SELECT oe.doc_id, out_line, message, nf.file_id, oe.line, fqn FROM oe LEFT JOIN nf USING (file) LEFT JOIN de ON de.file_id = nf.file_id AND oe.line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY doc_id, out_line ORDER BY end_line - start_line NULLS LAST, start_line DESC, fqn) = 1) SELECT message, count(*) AS n, count(DISTINCT fqn) AS declarations, count(DISTINCT fqn) >= 3 AS cascade FROM x GROUP BY 1")
 def r17_triage(s: SparkSession, d: str) -> DataFrame:
-    """Messages grouped by what they say, with the declarations they lie in; three make a cascade."""
-    h = b.lines(s, d).filter(F.col("text").contains('error("')).select(F.col("id").alias("file_id"), "line", F.regexp_extract("text", 'error\\("([a-z]+)', 1).alias("message"))
-    x = narrowest(h, b.decls(s, d), "file_id", "line", "start_line", "end_line", ["fqn"], ["file_id", "line", "message"])
+    """Lines of tool output that name a place in a file, grouped by what they say without numbers, with the declarations they lie in; three make a cascade."""
+    docs = b.documents(s, d).filter("source = 'cli_output'").select("doc_id")
+    lines = document_lines(s, d).join(docs, "doc_id", "left_semi").filter(F.col("text").rlike(_SAID))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\[[0-9:]+\] [A-Z]+ ", ""), "[0-9]+", "#"))
+    said = lines.select("doc_id", F.col("line").alias("out_line"), F.regexp_extract("text", _SAID, 1).alias("file"), F.regexp_extract("text", _SAID, 2).cast("bigint").alias("line"), bare.alias("message"))
+    named = b.files(s, d).groupBy(F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), "[0-9]+", "").alias("file")).agg(F.min("id").alias("file_id"))
+    at = said.join(named, "file", "left")
+    x = narrowest(at, b.decls(s, d), "file_id", "line", "start_line", "end_line", ["fqn"], ["doc_id", "out_line", "message"])
     return x.groupBy("message").agg(F.count("*").alias("n"), F.count_distinct("fqn").alias("declarations"), (F.count_distinct("fqn") >= 3).alias("cascade"))
 
 
-@query(f"WITH {_RES}, k AS (SELECT DISTINCT file_id, name FROM cand WHERE level <= 2), an AS (SELECT DISTINCT name FROM ty) SELECT rf.file_id, rf.name, CASE WHEN an.name IS NULL THEN 'unknown' ELSE 'not imported' END AS problem FROM rf LEFT JOIN k ON k.file_id = rf.file_id AND k.name = rf.name LEFT JOIN an ON an.name = rf.name WHERE k.name IS NULL AND rf.file_id % 5 = 0")
+@query(f"WITH {_RES}, {_CALLS}, an AS (SELECT DISTINCT name FROM ty), cx AS (SELECT DISTINCT file_id, line, c, name, {_ARGS} AS args FROM ca), fp AS (SELECT file_id, name, param_count AS total, {_REQUIRED} AS required, {_MANY} AS many FROM de WHERE kind IN ('fun', 'method')), fit AS (SELECT cx.file_id, cx.name, line, c, bool_or(required <= args AND (many OR args <= total)) AS fits FROM cx JOIN fp USING (file_id, name) GROUP BY ALL), bli AS (SELECT DISTINCT file_id FROM sr WHERE package NOT IN (SELECT package FROM ty WHERE package IS NOT NULL)) SELECT rf.file_id, rf.name, CASE WHEN an.name IS NULL THEN 'unknown' ELSE 'not imported' END AS problem FROM rf ANTI JOIN ne USING (file_id, name) ANTI JOIN im USING (file_id, name) ANTI JOIN bli USING (file_id) LEFT JOIN an ON an.name = rf.name UNION ALL SELECT DISTINCT file_id, name, 'wrong argument count' FROM fit WHERE NOT fits")
 def r18_name_check(s: SparkSession, d: str) -> DataFrame:
-    """Names of all files that no scope knows: unknown altogether, or declared elsewhere but not imported."""
-    ln = b.lines(s, d).filter(~F.col("text").startswith("import "))
-    refs = ln.select(F.col("id").alias("file_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z0-9]+"), 0)).alias("name")).distinct()
-    known = resolved(s, d).filter("level <= 2").select("file_id", "name").distinct()
-    any_ = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).select("name", F.lit(True).alias("there")).distinct()
-    left = refs.join(known, ["file_id", "name"], "left_anti").join(any_, "name", "left")
-    return left.select("file_id", "name", F.when(F.col("there").isNull(), "unknown").otherwise("not imported").alias("problem"))
+    """Names of types that no scope of a file knows, unknown altogether or declared elsewhere but not imported, and calls of the
+    file's own functions of which none takes so many arguments. A file that imports an unknown package whole is not judged by names."""
+    types = declared_types(s, d)
+    imports = import_lines(s, d)
+    blind = imports.filter("star").select("file_id", F.col("fqn").alias("package")).join(types.select("package"), "package", "left_anti").select("file_id").distinct()
+    known = resolved(s, d).select("file_id", "name").unionByName(imports.filter("NOT star").select("file_id", "name")).distinct()
+    left = type_names(s, d).join(known, ["file_id", "name"], "left_anti").join(blind, "file_id", "left_anti").join(types.select("name", F.lit(True).alias("there")).distinct(), "name", "left")
+    names = left.select("file_id", "name", F.when(F.col("there").isNull(), "unknown").otherwise("not imported").alias("problem"))
+    calls = r4_argument_count(s, d).groupBy("file_id", "line", "call").agg(F.bool_or("fits").alias("fits")).filter("NOT fits")
+    wrong = calls.select("file_id", F.regexp_extract("call", "[A-Za-z0-9_]+", 0).alias("name"), F.lit("wrong argument count").alias("problem")).distinct()
+    return names.unionByName(wrong)
 
 
 @query("SELECT id, CASE WHEN role = 'review' THEN 'protected' WHEN ter IN (SELECT id FROM iss WHERE resolved IS NOT NULL) THEN 'released' WHEN end_ms IS NULL THEN 'running' ELSE 'idle' END AS verdict FROM ru")

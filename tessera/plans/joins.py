@@ -106,8 +106,8 @@ def j13_boundary_mention(s: SparkSession, d: str) -> DataFrame:
 
 
 _EDGES = """r AS (SELECT id AS file_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Za-z0-9]*)\\b', 1)) AS name FROM ln), n AS (SELECT file_id, name, count(*) AS c FROM r GROUP BY ALL),
-ty AS (SELECT DISTINCT name, file_id AS target FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')), fan AS (SELECT name, count(*) AS k FROM ty GROUP BY 1),
-ed AS (SELECT n.file_id AS a, ty.target AS b, sum(sqrt(c) / k) AS w FROM n JOIN ty USING (name) JOIN fan USING (name) WHERE n.file_id <> ty.target GROUP BY ALL)"""
+ety AS (SELECT DISTINCT name, file_id AS target FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')), fan AS (SELECT name, count(*) AS k FROM ety GROUP BY 1),
+ed AS (SELECT n.file_id AS a, ety.target AS b, sum(sqrt(c) / k) AS w FROM n JOIN ety USING (name) JOIN fan USING (name) WHERE n.file_id <> ety.target GROUP BY ALL)"""
 
 
 def reference_edges(s: SparkSession, d: str) -> DataFrame:
@@ -140,11 +140,11 @@ def j15_bridge(s: SparkSession, d: str) -> DataFrame:
     return document_tasks(s, d).join(document_files(s, d), "doc_id").groupBy("task", "path").agg(F.count("*").alias("n"))
 
 
-@query("WITH q AS (SELECT id, 'main/.../' || regexp_extract(path, '[^/]*$') AS elided FROM f WHERE id % 20 = 0) SELECT q.id, f.path FROM q JOIN f ON regexp_extract(f.path, '[^/]*$') = regexp_extract(elided, '[^/]*$') AND regexp_matches(f.path, '(^|/)main/(.*/)?[^/]*$')")
+@query("WITH q AS (SELECT id, 'main/.../' || regexp_extract(path, '[^/]*$') AS elided FROM f WHERE id % 50 = 0) SELECT q.id, f.path FROM q JOIN f ON regexp_extract(f.path, '[^/]*$') = regexp_extract(elided, '[^/]*$') AND regexp_matches(f.path, '(^|/)main/(.*/)?[^/]*$')")
 def j16_elided_path(s: SparkSession, d: str) -> DataFrame:
-    """Paths written with `...`: joined on the file name, then the other parts must come in order."""
+    """Paths written with `...`, of the files whose id is divisible by 50: joined on the file name, then the other parts must come in order."""
     f = b.files(s, d).select("id", "path", F.regexp_extract("path", "[^/]*$", 0).alias("name"))
-    asked = f.filter("id % 20 = 0").select(F.col("id").alias("q"), F.concat(F.lit("main/.../"), "name").alias("elided"), "name")
+    asked = f.filter("id % 50 = 0").select(F.col("id").alias("q"), F.concat(F.lit("main/.../"), "name").alias("elided"), "name")
     in_order = F.expr("path RLIKE concat('(^|/)', replace(substring(elided, 1, length(elided) - length(name)), '.../', '(.*/)?'), '[^/]*$')")
     return asked.join(f.select("path", "name"), "name").filter(in_order).select(F.col("q").alias("id"), "path")
 
@@ -168,36 +168,41 @@ def j19_versions(s: SparkSession, d: str) -> DataFrame:
     return op.compared(old, b.issues(s, d), ["id"], ["state", "priority", "assignee"])
 
 
-@query("""WITH o AS (SELECT id, kind, coalesce(container, '') AS c, name, sig, hash FROM de WHERE local = 0 AND id % 13 <> 0),
-n AS (SELECT id, kind, coalesce(container, '') AS c, name, CASE WHEN id % 7 = 0 THEN sig || '!' ELSE sig END AS sig, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 'h' || hash ELSE hash END AS hash FROM de WHERE local = 0 AND id % 17 <> 0),
-o1 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name, hash ORDER BY id) AS r FROM o), n1 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name, hash ORDER BY id) AS r FROM n),
-m1 AS (SELECT o1.id AS oid, n1.id AS nid FROM o1 JOIN n1 USING (kind, c, name, hash, r)),
-o2 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name, sig ORDER BY id) AS r FROM o WHERE id NOT IN (SELECT oid FROM m1)), n2 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name, sig ORDER BY id) AS r FROM n WHERE id NOT IN (SELECT nid FROM m1)),
-m2 AS (SELECT o2.id AS oid, n2.id AS nid FROM o2 JOIN n2 USING (kind, c, name, sig, r)),
-o3 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name ORDER BY id) AS r FROM o2 WHERE id NOT IN (SELECT oid FROM m2)), n3 AS (SELECT *, row_number() OVER (PARTITION BY kind, c, name ORDER BY id) AS r FROM n2 WHERE id NOT IN (SELECT nid FROM m2))
-SELECT oid AS old_id, nid AS new_id, '~' AS mark FROM m2 UNION ALL SELECT o3.id, n3.id, CASE WHEN o3.id IS NULL THEN '+' WHEN n3.id IS NULL THEN '-' ELSE '^' END FROM o3 FULL JOIN n3 USING (kind, c, name, r)""")
-def j20_version_matching(s: SparkSession, d: str) -> DataFrame:
-    """One-to-one matching in three passes: equal text, equal signature, then by order within kind, container and name."""
-    de = b.decls(s, d).filter("local = 0").select("id", "kind", F.coalesce("container", F.lit("")).alias("c"), "name", "sig", "hash")
-    old = de.filter("id % 13 <> 0")
+_VERSIONS = """ov AS (SELECT id, file_id, parent_id, kind, coalesce(container, '') AS c, name, sig, hash, start_line AS at_ FROM de WHERE local = 0 AND id % 13 <> 0),
+nv AS (SELECT id, file_id, parent_id, kind, coalesce(container, '') AS c, name, CASE WHEN id % 7 = 0 THEN sig || '!' ELSE sig END AS sig, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 'h' || hash ELSE hash END AS hash, start_line + id % 3 AS at_ FROM de WHERE local = 0 AND id % 17 <> 0)"""
+_ROUNDS = 6
+_MATCHED = f"""{_VERSIONS}, m0 AS MATERIALIZED (SELECT o.id AS oid, n.id AS nid FROM (SELECT *, row_number() OVER (PARTITION BY kind, c, name, hash ORDER BY id) AS r FROM ov) o JOIN (SELECT *, row_number() OVER (PARTITION BY kind, c, name, hash ORDER BY id) AS r FROM nv) n USING (kind, c, name, hash, r)),
+m1 AS MATERIALIZED (SELECT o.id AS oid, n.id AS nid FROM (SELECT *, row_number() OVER (PARTITION BY kind, c, name, sig ORDER BY id) AS r FROM ov ANTI JOIN m0 ON ov.id = m0.oid) o JOIN (SELECT *, row_number() OVER (PARTITION BY kind, c, name, sig ORDER BY id) AS r FROM nv ANTI JOIN m0 ON nv.id = m0.nid) n USING (kind, c, name, sig, r)),
+ro1 AS (SELECT kind, c, name, at_, id FROM ov ANTI JOIN m0 ON ov.id = m0.oid ANTI JOIN m1 ON ov.id = m1.oid), rn1 AS (SELECT kind, c, name, at_, id FROM nv ANTI JOIN m0 ON nv.id = m0.nid ANTI JOIN m1 ON nv.id = m1.nid)""" + "".join(
+    f""", q{k} AS MATERIALIZED (SELECT oid, nid FROM (SELECT o.id AS oid, n.id AS nid, row_number() OVER (PARTITION BY o.id ORDER BY abs(o.at_ - n.at_), least(o.at_, n.at_)) AS x, row_number() OVER (PARTITION BY n.id ORDER BY abs(o.at_ - n.at_), least(o.at_, n.at_)) AS y FROM (SELECT kind, c, name, at_, min(id) AS id FROM ro{k} GROUP BY ALL) o JOIN (SELECT kind, c, name, at_, min(id) AS id FROM rn{k} GROUP BY ALL) n USING (kind, c, name)) WHERE x = 1 AND y = 1),
+ro{k + 1} AS MATERIALIZED (SELECT * FROM ro{k} ANTI JOIN q{k} ON ro{k}.id = q{k}.oid), rn{k + 1} AS MATERIALIZED (SELECT * FROM rn{k} ANTI JOIN q{k} ON rn{k}.id = q{k}.nid)"""
+    for k in range(1, _ROUNDS)
+) + f", mt AS (SELECT oid AS old_id, nid AS new_id, '=' AS mark FROM m0 UNION ALL SELECT oid, nid, '~' FROM m1 UNION ALL " + " UNION ALL ".join(f"SELECT oid, nid, '^' FROM q{k}" for k in range(1, _ROUNDS)) + f" UNION ALL SELECT id, NULL, '-' FROM ro{_ROUNDS} UNION ALL SELECT NULL, id, '+' FROM rn{_ROUNDS})"
+
+
+def two_versions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An older and a newer snapshot of the declarations (id, file_id, parent_id, kind, c, name, sig, hash, at).
+
+    The tables hold one snapshot, so both are edits of it: some declarations are only in one of them, of some the text, of some the
+    signature differs, and some have moved by a line or two.
+    """
+    de = b.decls(s, d).filter("local = 0").select("id", "file_id", "parent_id", "kind", F.coalesce("container", F.lit("")).alias("c"), "name", "sig", "hash", F.col("start_line").alias("at"))
     new = de.filter("id % 17 <> 0").withColumns({
         "sig": F.when(F.col("id") % 7 == 0, F.concat("sig", F.lit("!"))).otherwise(F.col("sig")),
         "hash": F.when((F.col("id") % 5 == 0) | (F.col("id") % 7 == 0), F.concat(F.lit("h"), "hash")).otherwise(F.col("hash")),
+        "at": F.col("at") + F.col("id") % 3,
     })
-    found = []
-    for keys, mark in ((["kind", "c", "name", "hash"], "="), (["kind", "c", "name", "sig"], "~")):
-        w = W.partitionBy(*keys).orderBy("id")
-        o = old.withColumn("r", F.row_number().over(w)).withColumnRenamed("id", "old_id").select("old_id", *keys, "r")
-        n = new.withColumn("r", F.row_number().over(w)).withColumnRenamed("id", "new_id").select("new_id", *keys, "r")
-        m = o.join(n, [*keys, "r"]).select("old_id", "new_id", F.lit(mark).alias("mark"))
-        found.append(m)
-        old = old.join(m.select(F.col("old_id").alias("id")), "id", "left_anti")
-        new = new.join(m.select(F.col("new_id").alias("id")), "id", "left_anti")
-    w = W.partitionBy("kind", "c", "name").orderBy("id")
-    o = old.withColumn("r", F.row_number().over(w)).select(F.col("id").alias("old_id"), "kind", "c", "name", "r")
-    n = new.withColumn("r", F.row_number().over(w)).select(F.col("id").alias("new_id"), "kind", "c", "name", "r")
-    rest = o.join(n, ["kind", "c", "name", "r"], "full_outer").select("old_id", "new_id", F.when(F.col("old_id").isNull(), "+").when(F.col("new_id").isNull(), "-").otherwise("^").alias("mark"))
-    return found[1].unionByName(rest)
+    return de.filter("id % 13 <> 0"), new
+
+
+def version_matches(s: SparkSession, d: str) -> DataFrame:
+    return op.matched_versions(*two_versions(s, d), ["kind", "c", "name"], "hash", "sig", "at")
+
+
+@query(f"WITH {_MATCHED} SELECT * FROM mt WHERE mark <> '='")
+def j20_version_matching(s: SparkSession, d: str) -> DataFrame:
+    """One-to-one matching in three passes: equal text, equal signature, then the nearest within kind, container and name."""
+    return version_matches(s, d).filter("mark <> '='")
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE' GROUP BY 1", bare=True)
