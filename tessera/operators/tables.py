@@ -126,10 +126,14 @@ def matched_versions(old: DataFrame, new: DataFrame, group: Sequence[str], same:
     while True:
         one = rest.filter("p IS NOT NULL").groupBy(*group, "p", "side").agg(F.min("id").alias("id"))
         w = W.partitionBy(*group).orderBy("p", "side")
+        past, coming = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+        other = lambda side, pick, frame: pick(F.when(F.col("side") == side, F.col("p")), ignorenulls=True).over(frame)
+        left = F.col("p") - F.when(F.col("side") == 0, other(1, F.last, past)).otherwise(other(0, F.last, past))
+        right = F.when(F.col("side") == 0, other(1, F.first, coming)).otherwise(other(0, F.first, coming)) - F.col("p")
+        order = one.withColumns({"left": left, "right": right})
         gap = F.when(F.lead("side").over(w) != F.col("side"), F.lead("p").over(w) - F.col("p"))
-        order = one.withColumns({"gap": gap, "next": F.lead("id").over(w)})
-        before, after = F.lag("gap").over(w), F.lead("gap").over(w)
-        best = order.filter("TRUE").withColumns({"b": before, "a": after}).filter("gap IS NOT NULL AND (b IS NULL OR gap < b) AND (a IS NULL OR gap <= a)")
+        order = order.withColumns({"gap": gap, "next": F.lead("id").over(w), "beyond": F.lead("right").over(w)})
+        best = order.filter("gap IS NOT NULL AND (left IS NULL OR gap < left) AND (beyond IS NULL OR gap <= beyond)")
         m = cut(best.select(F.when(F.col("side") == 0, F.col("id")).otherwise(F.col("next")).alias("old_id"), F.when(F.col("side") == 0, F.col("next")).otherwise(F.col("id")).alias("new_id"), F.lit("^").alias("mark")))
         if m.isEmpty():
             break
