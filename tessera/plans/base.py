@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from tessera.operators.delivery import DeletionVectors, delivery_vectors
 from tessera.session import table
 
+#: The instant at which ages are measured.
+NOW = 1_767_225_600_000
+
 PRELUDE = """WITH RECURSIVE f AS (SELECT DISTINCT ON (id) * FROM files), de AS (SELECT DISTINCT * FROM decls),
 iss AS (SELECT *, lower(trim(id)) AS k, nullif(lower(trim(parent)), '') AS pk FROM (SELECT DISTINCT * FROM issues) QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY updated DESC) = 1),
 co AS (SELECT DISTINCT * FROM comments), fc AS (SELECT DISTINCT id, project, issue, "at" AS at_ms, lower(field) AS field, removed, added, author FROM field_changes),
 ru AS (SELECT * FROM (SELECT DISTINCT * FROM runs) QUALIFY row_number() OVER (PARTITION BY id ORDER BY end_ms DESC NULLS LAST, turns DESC) = 1),
 uh AS (SELECT run_id, hour, max(cost) AS cost FROM usage_hours GROUP BY ALL),
-st AS (SELECT seq, session, project, type, timestamp AS at_text, message.id AS mid, message.model AS model, message.usage.output_tokens AS output, coalesce(message.usage.input_tokens, 0) AS input, message.content AS content, length(message.content) AS chars FROM start_a WHERE session IS NOT NULL),
+st AS (SELECT seq, path, session, project, type, timestamp AS at_text, message.id AS mid, message.model AS model, message.usage.output_tokens AS output, coalesce(message.usage.input_tokens, 0) AS input, message.content AS content, length(message.content) AS chars FROM start_a WHERE session IS NOT NULL),
 ln AS (SELECT id, path, i::BIGINT AS line, lines[i] AS text FROM (SELECT id, path, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM f WHERE content IS NOT NULL), unnest(range(1, len(lines) + 1)) AS t(i))
 """
 
@@ -90,7 +93,7 @@ def steps(s: SparkSession, d: str) -> DataFrame:
     """Transcript lines as steps of a session."""
     m = F.col("message")
     return table(s, d, "start_a").filter("session IS NOT NULL").select(
-        "seq", "session", "project", "type", F.col("timestamp").alias("at_text"), m["id"].alias("mid"), m["model"].alias("model"), m["usage"]["output_tokens"].alias("output"),
+        "seq", "path", "session", "project", "type", F.col("timestamp").alias("at_text"), m["id"].alias("mid"), m["model"].alias("model"), m["usage"]["output_tokens"].alias("output"),
         F.coalesce(m["usage"]["input_tokens"], F.lit(0)).alias("input"), m["content"].alias("content"), F.char_length(m["content"]).alias("chars"),
     )
 
