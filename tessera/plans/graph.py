@@ -12,7 +12,7 @@ from tessera.functions.text import line_diff
 from tessera.operators.filters import base_type
 from tessera.operators.tables import narrowest
 from tessera.plans import base as b
-from tessera.plans.joins import _EDGES, _LINKS, _MATCHED, _VERSIONS, document_files, document_tasks, reference_edges, two_versions, version_matches
+from tessera.plans.joins import _EDGES, _LINKS, _MATCHED, _VERSIONS, document_files, document_tasks, landed, reference_edges, two_versions, version_matches
 from tessera.plans.scans import document_lines
 from tessera.session import table
 
@@ -539,9 +539,8 @@ def r20_attribution(s: SparkSession, d: str) -> DataFrame:
     return b.steps(s, d).join(a, "session", "left").join(p, "project", "left").select("seq", F.coalesce("m1", "m2").alias("run"), how.alias("how"))
 
 
-@query(f"WITH {_LINKS}, x AS (SELECT path, task, max(created) AS at_ FROM lk JOIN fl USING (doc_id) JOIN documents USING (doc_id) WHERE source = 'commit_messages' GROUP BY ALL) SELECT path, task FROM x QUALIFY row_number() OVER (PARTITION BY path ORDER BY at_ DESC NULLS LAST, task) <= 6")
+@query(f"WITH {_LINKS}, nw AS (SELECT path, doc_id, created FROM fl JOIN documents USING (doc_id) WHERE source = 'commit_messages' QUALIFY row_number() OVER (PARTITION BY path ORDER BY created DESC NULLS LAST, doc_id) <= 40), x AS (SELECT path, task, max(created) AS at_ FROM nw JOIN lk USING (doc_id) GROUP BY ALL) SELECT path, task FROM x QUALIFY row_number() OVER (PARTITION BY path ORDER BY at_ DESC NULLS LAST, task) <= 6")
 def r21_earlier_tasks(s: SparkSession, d: str) -> DataFrame:
-    docs = b.documents(s, d).filter("source = 'commit_messages'").select("doc_id", "created")
-    x = document_tasks(s, d).join(document_files(s, d), "doc_id").join(docs, "doc_id").groupBy("path", "task").agg(F.max("created").alias("at"))
+    """The six tasks that landed last on a path, of its 40 newest commits."""
     r = F.row_number().over(W.partitionBy("path").orderBy(F.desc_nulls_last("at"), "task"))
-    return x.withColumn("r", r).filter("r <= 6").select("path", "task")
+    return landed(s, d).withColumn("r", r).filter("r <= 6").select("path", "task")

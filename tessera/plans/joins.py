@@ -135,6 +135,14 @@ def document_files(s: SparkSession, d: str) -> DataFrame:
     return b.documents(s, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-z]+/[A-Z][A-Za-z]+\.(?:kt|java|md)"), 0))).alias("path"))
 
 
+def landed(s: SparkSession, d: str) -> DataFrame:
+    """(path, task, at): the tasks that the 40 newest commits on a path name, and when the last of these was."""
+    docs = b.documents(s, d).filter("source = 'commit_messages'").select("doc_id", "created")
+    at = document_files(s, d).join(docs, "doc_id")
+    newest = at.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy(F.desc_nulls_last("created"), "doc_id"))).filter("r <= 40")
+    return newest.join(document_tasks(s, d), "doc_id").groupBy("path", "task").agg(F.max("created").alias("at"))
+
+
 @query(f"WITH {_LINKS} SELECT task, path, count(*) AS n FROM lk JOIN fl USING (doc_id) GROUP BY ALL")
 def j15_bridge(s: SparkSession, d: str) -> DataFrame:
     return document_tasks(s, d).join(document_files(s, d), "doc_id").groupBy("task", "path").agg(F.count("*").alias("n"))

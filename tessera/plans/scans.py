@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import tables as op
 from tessera.plans import base as b
-from tessera.session import shared_dir
+from tessera.session import hadoop_path, scratch
+from tessera.sources.lines import LineSource
+from tessera.streaming.jobs import drained
 
 query = b.Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -92,6 +92,18 @@ def s10_transcript_parts(s: SparkSession, d: str) -> DataFrame:
     return parts.filter("p.type IS NOT NULL").select("seq", F.col("p.type").alias("kind"), F.char_length("p.text").alias("chars"))
 
 
+@query("SELECT seq, session, type AS kind FROM st")
+def s10_transcript_lines(s: SparkSession, d: str) -> DataFrame:
+    """Transcripts as files of JSON lines, one a session, read as growing files and parsed line by line; what does not parse is left out."""
+    folder = scratch(s, "transcripts")
+    rows = b.steps(s, d).select("seq", "session", "type").withColumn("value", F.to_json(F.struct("seq", "session", "type"), {"ignoreNullFields": "false"}))
+    rows.repartition("session").select("value").write.text(folder)
+    s.dataSource.register(LineSource)
+    lines = drained(s.readStream.format("growing_lines").option("path", folder).load())
+    x = F.from_json("line", "seq bigint, session string, type string")
+    return lines.select(x.alias("x")).filter("x.seq IS NOT NULL").select("x.seq", "x.session", F.col("x.type").alias("kind"))
+
+
 @query("SELECT path, size, mtime FROM f WHERE deleted = 0 AND (path, size, mtime) NOT IN (SELECT (path, CASE WHEN id % 5 = 0 THEN size + 1 ELSE size END, mtime) FROM f WHERE deleted = 0 AND id % 7 <> 0)")
 def s11_discovery(s: SparkSession, d: str) -> DataFrame:
     now = b.files(s, d).filter("deleted = 0").select("id", "path", "size", "mtime")
@@ -101,19 +113,43 @@ def s11_discovery(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, CASE WHEN length(content) < n THEN 'shrunk' WHEN left(content, n) <> old THEN 'rewritten' WHEN length(content) > n THEN 'grown' ELSE 'same' END AS state FROM (SELECT id, content, (length(content) // 2 + CASE WHEN id % 11 = 0 THEN length(content) ELSE 0 END)::BIGINT AS n, CASE WHEN id % 3 = 0 THEN 'x' || left(content, length(content) // 2 - 1) ELSE left(content, length(content) // 2) END AS old FROM f WHERE length(content) > 1)")
 def s12_rewrites(s: SparkSession, d: str) -> DataFrame:
+    """Files against what was read of them before: here half of each, of some in other words, of some more than there is now."""
     n = F.char_length("content")
     half = F.floor(n / 2)
     rows = b.files(s, d).filter(n > 1)
-    seen = F.when(F.col("id") % 11 == 0, half + n).otherwise(half)
-    head = F.substring("content", F.lit(1), half.cast("int"))
-    tail = F.sha2(F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), F.substring("content", F.lit(1), (half - 1).cast("int")))).otherwise(head), 256)
-    now = F.sha2(F.substring("content", F.lit(1), seen.cast("int")), 256)
-    return rows.select("id", F.when(n < seen, "shrunk").when(now != tail, "rewritten").when(n > seen, "grown").otherwise("same").alias("state"))
+    was = F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), F.substring("content", F.lit(1), (half - 1).cast("int")))).otherwise(F.substring("content", F.lit(1), half.cast("int")))
+    seen = rows.select("id", F.when(F.col("id") % 11 == 0, half + n).otherwise(half).alias("read"), F.sha2(was, 256).alias("mark"))
+    return rewrites(rows, seen)
+
+
+def rewrites(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, state) of the files (id, content) against how much was `read` of each and the hash of that: shrunk and rewritten ones are
+    to be read anew, grown ones from there on. Files never read are `new`."""
+    n = F.char_length("content")
+    rows = files.join(seen, "id", "left")
+    now = F.sha2(F.substring("content", F.lit(1), F.col("read").cast("int")), 256)
+    state = F.when(F.col("read").isNull(), "new").when(n < F.col("read"), "shrunk").when(now != F.col("mark"), "rewritten").when(n > F.col("read"), "grown").otherwise("same")
+    return rows.select("id", state.alias("state"))
+
+
+def rolled(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The records of a log that is rolled over, from its older and its newer file of JSON lines; missing files and torn lines give nothing."""
+    there = [p for p in paths if (lambda fs, q: fs.exists(q))(*hadoop_path(spark, p))]
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema + ", _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(there).filter("_torn IS NULL").drop("_torn")
 
 
 @query("SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events WHERE value IS NOT NULL")
 def s13_call_log(s: SparkSession, d: str) -> DataFrame:
-    return b.events(s, d).filter("value IS NOT NULL").select("event_id", "event_type", F.from_json("props", "k bigint").getField("k").alias("k"))
+    """The call log, written as the two files that a log rolls over into, and read from both."""
+    folder = scratch(s, "log")
+    e = b.events(s, d).filter("value IS NOT NULL").select("event_id", "event_type", "props")
+    newer = F.col("event_id") % 2 == 0
+    for name, half in (("calls.1", ~newer), ("calls", newer)):
+        e.filter(half).write.json(f"{folder}/{name}")
+    rows = rolled(s, [f"{folder}/calls.1", f"{folder}/calls", f"{folder}/calls.2"], "event_id bigint, event_type string, props string")
+    return rows.select("event_id", "event_type", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
 _TASK = "[A-Z]{2,4}-[0-9]+"
@@ -215,13 +251,13 @@ def k9_newest(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, role, duration_s FROM ru")
 def k10_csv(s: SparkSession, d: str) -> DataFrame:
-    out = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    out = scratch(s, "csv")
     b.runs(s, d).select("id", "role", "duration_s").write.option("header", True).csv(out)
     return s.read.schema("id bigint, role string, duration_s bigint").option("header", True).csv(out)
 
 
 @query("SELECT id, role, cost FROM ru")
 def k11_json(s: SparkSession, d: str) -> DataFrame:
-    out = f"{shared_dir(s)}/json-{uuid.uuid4().hex}"
+    out = scratch(s, "json")
     b.runs(s, d).select("id", "role", "cost").write.json(out)
     return s.read.schema("id bigint, role string, cost bigint").json(out)

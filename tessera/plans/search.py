@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.words import DECLARING, ENGLISH, stems, stems_sql
 from tessera.operators import search as op
 from tessera.plans import base as b
-from tessera.plans.joins import document_files, document_tasks
+from tessera.plans.joins import _EDGES, _LINKS, document_files, document_tasks, reference_edges
 from tessera.plans.scans import document_lines
 from tessera.session import written
 
@@ -186,15 +186,6 @@ def q9_okapi(s: SparkSession, d: str) -> DataFrame:
     return op.bm25(tokens, op.corpus_size(docs, "ws"), terms, "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query("WITH x AS (SELECT id, (path LIKE '%core/%')::INT AS m, (kind = 'class')::INT AS k, (name LIKE 'fold%')::INT AS y, de.id AS did FROM (SELECT de.*, f.path FROM de JOIN f ON f.id = file_id) de) SELECT id, 100 * greatest(100 * k, 85 * y, 45 * m) + 500 * greatest(k + y + m - 1, 0) AS score FROM x WHERE k + y + m > 0")
-def q10_tiers(s: SparkSession, d: str) -> DataFrame:
-    """The best tier decides; each further tier adds a little."""
-    f = b.files(s, d).select(F.col("id").alias("file_id"), "path")
-    m, k, y = (c.cast("int") for c in (F.col("path").contains("core/"), F.col("kind") == "class", F.col("name").startswith("fold")))
-    rows = b.decls(s, d).join(f, "file_id").select("id", m.alias("m"), k.alias("k"), y.alias("y")).filter("m + k + y > 0")
-    return rows.select("id", (100 * F.greatest(100 * F.col("k"), 85 * F.col("y"), 45 * F.col("m")) + 500 * F.greatest(F.col("k") + F.col("y") + F.col("m") - 1, F.lit(0))).alias("score"))
-
-
 _JSON_TEXT = "json->>'description'"
 _SIMILAR = f"""fw AS (SELECT id, num, 0 AS src, {stems_sql('summary')} AS ws FROM iss UNION ALL SELECT id, num, 1, {stems_sql('d')} FROM (SELECT id, num, {_JSON_TEXT} AS d FROM iss) UNION ALL SELECT iss.id, num, 2, {stems_sql('text')} FROM co JOIN iss ON iss.k = lower(trim(issue))),
 tk AS (SELECT id, term, sum(CASE src WHEN 0 THEN 10.0 WHEN 1 THEN 1.0 ELSE 0.4 END)::DOUBLE AS tf, max((src < 2)::INT) AS own FROM (SELECT id, src, unnest(ws) AS term FROM fw) GROUP BY ALL), le AS (SELECT id, sum(len(ws)) AS l FROM fw GROUP BY 1), dfq AS (SELECT term, count(*) AS df FROM tk GROUP BY 1),
@@ -219,6 +210,13 @@ def similar(issues: DataFrame, comments: DataFrame, asked: Column, top: int = 60
     over all fields, and length is that of all fields. Of these stay the ones whose title or description has two of the asked title's
     words (all of a shorter title), or at least three and two fifths of all terms asked. `place` counts before that filter.
     """
+    h, need = similar_scores(issues, comments, asked)
+    best = h.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= top).join(need, "q")
+    return best.filter("(titles > 0 AND in_title >= least(2, titles)) OR shared >= greatest(3, ceil(0.4 * n))").select("q", "id", "place", "shared")
+
+
+def similar_scores(issues: DataFrame, comments: DataFrame, asked: Column) -> tuple[DataFrame, DataFrame]:
+    """(q, id, score, shared, in_title) of all issues that share a term with an asked one, and (q, n, titles) of the terms asked."""
     said = comments.select("id", F.lit(False).alias("asked"), F.lit(2).alias("src"), stems(F.col("text")).alias("ws"))
     words = written(_by_field(issues.withColumn("asked", asked), ("summary", "description"), "asked").unionByName(said))  # stemmed once
     weight = F.when(F.col("src") == 0, 10.0).when(F.col("src") == 1, 1.0).otherwise(0.4)
@@ -232,8 +230,55 @@ def similar(issues: DataFrame, comments: DataFrame, asked: Column, top: int = 60
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_len")))
     h = hit.groupBy("q", "id").agg(F.round(F.sum(idf * norm), 6).alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
-    best = h.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= top).join(need, "q")
-    return best.filter("(titles > 0 AND in_title >= least(2, titles)) OR shared >= greatest(3, ceil(0.4 * n))").select("q", "id", "place", "shared")
+    return h, need
+
+
+#: What a shared link is worth, by kind; a symbol counts less if only its type is named.
+TIERS = {"file": 100, "symbol": 100, "named": 85, "caller": 60, "module": 45, "task": 30}
+_MENTIONED = {"file": r"[a-z]+/([A-Z][A-Za-z]+)\.(?:kt|java|md)", "module": r"([a-z]+)/[A-Z][A-Za-z]+\.(?:kt|java|md)", "symbol": r"([A-Z][A-Za-z]+\.[a-z][A-Za-z]+)", "named": r"([A-Z][a-z]+[A-Z][A-Za-z]+)"}
+_KINDS = " UNION ALL ".join(f"SELECT k, id, num, '{n}' AS kind, unnest(regexp_extract_all(t, '{p}', 1)) AS what FROM tx" for n, p in _MENTIONED.items())
+_TIERED = f"""{_EDGES}, {_LINKS}, {_SIMILAR}, tx AS (SELECT k, id, num, summary || ' ' || coalesce({_JSON_TEXT}, '') AS t FROM iss), me AS (SELECT DISTINCT * FROM ({_KINDS})), mq AS (SELECT * FROM me WHERE num % 50 = 0),
+bn AS (SELECT id AS fid, regexp_replace(regexp_extract(path, '([^/.]*)[.][^/]*$', 1), '[0-9]+', '') AS name FROM f), cw AS (SELECT DISTINCT mq.k, mq.id, 'caller' AS kind, x.name AS what FROM mq JOIN bn z ON z.name = mq.what JOIN ed ON ed.b = z.fid JOIN bn x ON x.fid = ed.a WHERE mq.kind = 'file' AND x.name <> z.name),
+tw AS (SELECT DISTINCT mq.k, mq.id, lower(task) AS ek FROM mq JOIN (SELECT DISTINCT task, regexp_extract(path, '([^/.]*)[.][^/]*$', 1) AS name FROM lk JOIN fl USING (doc_id) JOIN documents USING (doc_id) WHERE source = 'commit_messages') c ON c.name = mq.what WHERE mq.kind = 'file'),
+ti AS (SELECT DISTINCT mq.id AS q, e.id, mq.kind FROM mq JOIN me e ON e.kind = mq.kind AND e.what = mq.what WHERE e.k <> mq.k UNION SELECT cw.id, e.id, 'caller' FROM cw JOIN me e ON e.kind IN ('file', 'named') AND e.what = cw.what WHERE e.k <> cw.k UNION SELECT tw.id, i.id, 'task' FROM tw JOIN iss i ON i.k = tw.ek WHERE i.k <> tw.k),
+tv AS (SELECT q, id, CASE WHEN kind IN ('symbol', 'named') THEN 'symbol' ELSE kind END AS tier, max(CASE kind {' '.join(f"WHEN '{n}' THEN {v}" for n, v in TIERS.items())} END) AS v FROM ti GROUP BY ALL), co2 AS (SELECT q, id, max(v) AS best, count(*) AS tiers FROM tv GROUP BY ALL),
+te AS (SELECT q, id, floor(20 * score / max(score) OVER (PARTITION BY q) + 0.5)::BIGINT AS text FROM hs WHERE score > 0),
+sc10 AS (SELECT coalesce(c.q, t.q) AS q, coalesce(c.id, t.id) AS id, coalesce(best, 0) AS best, coalesce(tiers, 0) AS tiers, coalesce(text, 0) AS text FROM co2 c FULL JOIN te t ON t.q = c.q AND t.id = c.id)"""
+
+
+@query(f"WITH {_TIERED} SELECT q, id, score::BIGINT AS score, tiers, place FROM (SELECT q, sc10.id, tiers, (best + 5 * greatest(0, tiers - 1)) * 100 + text + least(12, 4 * greatest(0, coalesce((json->>'votes')::BIGINT, 0))) AS score, row_number() OVER (PARTITION BY q ORDER BY (best + 5 * greatest(0, tiers - 1)) * 100 + text + least(12, 4 * greatest(0, coalesce((json->>'votes')::BIGINT, 0))) DESC, updated DESC, sc10.id)::INT AS place FROM sc10 JOIN iss ON iss.id = sc10.id WHERE best > 0 OR text > 0) WHERE place <= 60")
+def q10_tiers(s: SparkSession, d: str) -> DataFrame:
+    """Issues for an asked one by links in code: a shared file or symbol, a file that calls, a module, a task that landed on the files.
+
+    The best tier decides, each further one adds a little; text and votes only order what has the same links. The best 60 of each
+    asked issue, which are those whose number is divisible by 50, against all.
+    """
+    i = written(b.issues(s, d).select("k", "id", "num", "summary", F.get_json_object("json", "$.description").alias("description"), F.get_json_object("json", "$.votes").cast("bigint").alias("votes"), "updated"))
+    text = F.concat_ws(" ", "summary", F.coalesce("description", F.lit("")))
+    tag = lambda n, p: F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda w: F.struct(F.lit(n).alias("kind"), w.alias("what")))
+    me = written(i.select("id", (F.col("num") % 50 == 0).alias("asked"), F.explode(F.concat(*[tag(n, p) for n, p in _MENTIONED.items()])).alias("x")).select("id", "asked", "x.*").distinct())
+    mq = me.filter("asked").select(F.col("id").alias("q"), "kind", "what")
+    shared = mq.join(me.select("id", "kind", "what"), ["kind", "what"]).select("q", "id", "kind")
+    stem_of = lambda c: F.regexp_extract(c, r"([^/.]*)[.][^/]*$", 1)
+    names = b.files(s, d).select(F.col("id").alias("fid"), F.regexp_replace(stem_of("path"), "[0-9]+", "").alias("name"))
+    asked_files = mq.filter("kind = 'file'").select("q", F.col("what").alias("name"))
+    callers = asked_files.join(names, "name").join(reference_edges(s, d).select(F.col("b").alias("fid"), "a"), "fid").select("q", "name", F.col("a").alias("fid")).join(names.withColumnRenamed("name", "what"), "fid")
+    callers = callers.filter("what <> name").select("q", "what").distinct().join(me.filter("kind IN ('file', 'named')").select("id", "what"), "what").select("q", "id", F.lit("caller").alias("kind"))
+    docs = b.documents(s, d).filter("source = 'commit_messages'").select("doc_id")
+    landed_on = document_tasks(s, d).join(document_files(s, d), "doc_id").join(docs, "doc_id", "left_semi").select(F.lower("task").alias("k"), stem_of("path").alias("name")).distinct()
+    tasks = asked_files.join(landed_on, "name").join(i.select("k", "id"), "k").select("q", "id", F.lit("task").alias("kind"))
+    worth = F.create_map(*[F.lit(v) for kv in TIERS.items() for v in kv])[F.col("kind")]
+    tiers = shared.unionByName(callers).unionByName(tasks).filter("q <> id").groupBy("q", "id", F.when(F.col("kind") == "named", "symbol").otherwise(F.col("kind")).alias("tier")).agg(F.max(worth).alias("v"))
+    code = tiers.groupBy("q", "id").agg(F.max("v").alias("best"), F.count("*").alias("tiers"))
+    said = b.comments(s, d).select(F.lower(F.trim("issue")).alias("k"), "text").join(i.select("k", "id"), "k").select("id", "text")
+    scores = written(similar_scores(i.select("id", "summary", "description", "num"), said, F.col("num") % 50 == 0)[0].filter("score > 0").select("q", "id", "score"))
+    top = scores.groupBy("q").agg(F.max("score").alias("top"))
+    told = scores.join(top, "q").select("q", "id", F.floor(20 * F.col("score") / F.col("top") + 0.5).alias("text"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = code.join(told, ["q", "id"], "full_outer").join(i.select("id", "votes", "updated"), "id")
+    score = (zero("best") + 5 * F.greatest(zero("tiers") - 1, F.lit(0))) * 100 + zero("text") + F.least(F.lit(12), 4 * F.greatest(zero("votes"), F.lit(0)))
+    rows = rows.filter(zero("best") + zero("text") > 0).select("q", "id", score.cast("bigint").alias("score"), zero("tiers").alias("tiers"), "updated")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), F.desc("updated"), "id"))).filter("place <= 60").drop("updated")
 
 
 @query(f"WITH x AS (SELECT id, 0 AS src, term, min(i) AS pos, count(*) AS n FROM (SELECT id, ws[i] AS term, i FROM (SELECT id, {stems_sql('summary')} AS ws FROM iss), unnest(range(1, len(ws) + 1)) AS t(i)) GROUP BY ALL UNION ALL SELECT id, 1, term, min(i), count(*) FROM (SELECT id, ws[i] AS term, i FROM (SELECT id, {stems_sql(chr(39) + chr(39) + ' || coalesce(json->>' + chr(39) + 'description' + chr(39) + ', ' + chr(39) + chr(39) + ')')} AS ws FROM iss), unnest(range(1, len(ws) + 1)) AS t(i)) GROUP BY ALL), u AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, term ORDER BY src) = 1) SELECT id, term FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, CASE WHEN src = 0 THEN 0 ELSE -n END, pos) <= 16")

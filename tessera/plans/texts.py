@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.functions.numbers import half_up
+from tessera.operators import outputs
 from tessera.operators import tables as op
 from tessera.plans import base as b
 from tessera.plans.aggregates import count_if, iso_week
+from tessera.plans.joins import _LINKS, landed
 from tessera.plans.scans import document_lines
 from tessera.session import table
 
@@ -92,21 +94,23 @@ def fn_json(s: SparkSession, d: str) -> DataFrame:
     return b.issues(s, d).select("id", x.getField("votes").alias("votes"), F.size(x.getField("tags")).cast("bigint").alias("tags"))
 
 
-@query(f"WITH {_L}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(text) + 1) OVER (PARTITION BY doc_id) AS chars FROM l) SELECT doc_id, line, text FROM n WHERE (chars <= 600 AND n < 20) OR line <= 10 OR line > n - 5 OR regexp_matches(text, 'ERROR|WARN')")
+_FAMILY = f"fa AS (SELECT doc_id, {outputs.family_sql('text')} AS family FROM documents), sz AS (SELECT doc_id, count(*) AS n, sum(length(text) + 1) AS chars FROM l GROUP BY 1)"
+
+
+@query(f"WITH {_L}, {_FAMILY} SELECT doc_id, family, line, text FROM l JOIN sz USING (doc_id) JOIN fa USING (doc_id) WHERE {outputs.kept_sql()}")
 def x1_compressed(s: SparkSession, d: str) -> DataFrame:
-    """Short outputs as they are; of long ones head, tail and what reports trouble, so never more than came in."""
-    w = W.partitionBy("doc_id")
-    rows = document_lines(s, d).withColumns({"n": F.count("*").over(w), "chars": F.sum(F.char_length("text") + 1).over(w)})
-    keep = ((F.col("chars") <= 600) & (F.col("n") < 20)) | (F.col("line") <= 10) | (F.col("line") > F.col("n") - 5) | F.col("text").rlike("ERROR|WARN")
-    return rows.filter(keep).select("doc_id", "line", "text")
+    """Outputs cut down by their family; short ones as they are."""
+    return outputs.compressed(document_lines(s, d), outputs.family(b.documents(s, d), "doc_id", "text"), "doc_id")
 
 
-@query(f"WITH {_L}, k AS (SELECT doc_id, CASE WHEN regexp_matches(l.text, '^\\[[0-9:]+\\] ERROR') THEN 'error' WHEN regexp_matches(l.text, '^\\[[0-9:]+\\] WARN') THEN 'warning' WHEN regexp_matches(l.text, '^\\[[0-9:]+\\] INFO') THEN 'info' ELSE 'other' END AS family FROM l JOIN documents USING (doc_id) WHERE source = 'cli_output') SELECT doc_id, family, count(*) AS n FROM k GROUP BY ALL")
+@query(f"WITH {_L}, {_FAMILY}, k AS (SELECT doc_id, count(*) AS kept FROM l JOIN sz USING (doc_id) JOIN fa USING (doc_id) WHERE {outputs.kept_sql()} GROUP BY 1) SELECT family, source, count(*) AS outputs, sum(n)::BIGINT AS lines, sum(coalesce(kept, 0))::BIGINT AS kept FROM documents JOIN fa USING (doc_id) JOIN sz USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY ALL")
 def x2_families(s: SparkSession, d: str) -> DataFrame:
-    docs = b.documents(s, d).filter("source = 'cli_output'").select("doc_id")
-    at = lambda w: F.col("text").rlike(rf"^\[[0-9:]+\] {w}")
-    family = F.when(at("ERROR"), "error").when(at("WARN"), "warning").when(at("INFO"), "info").otherwise("other")
-    return document_lines(s, d).join(docs, "doc_id", "left_semi").groupBy("doc_id", family.alias("family")).agg(F.count("*").alias("n"))
+    """How many outputs of each family and source there are, and what their compression leaves."""
+    docs = b.documents(s, d)
+    family, lines = outputs.family(docs, "doc_id", "text"), document_lines(s, d)
+    kept = outputs.compressed(lines, family, "doc_id").groupBy("doc_id").agg(F.count("*").alias("k"))
+    rows = lines.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept, "doc_id", "left").join(family, "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    return rows.groupBy("family", "source").agg(F.count("*").alias("outputs"), F.sum("n").alias("lines"), F.coalesce(F.sum("k"), F.lit(0)).alias("kept"))
 
 
 @query(f"WITH {_L} SELECT doc_id, max_by(text, line) FILTER (contains(text, 'WARN')) AS last_warning, count(*) FILTER (contains(text, 'ERROR')) AS errors, min_by(text, line) FILTER (contains(text, 'ERROR')) AS first_error FROM l GROUP BY 1")
@@ -123,33 +127,64 @@ def x4_outline(s: SparkSession, d: str) -> DataFrame:
     return document_lines(s, d).filter(F.col("text").rlike("^#+ ")).select("doc_id", "line", m.cast("bigint").alias("level"), F.substring("text", m + 2, F.lit(1 << 30)).alias("title"))
 
 
-@query("WITH v AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY updated DESC) AS rn FROM (SELECT DISTINCT * FROM issues)), n AS (SELECT * FROM v WHERE rn = 1), o AS (SELECT * FROM v WHERE rn = 2) SELECT n.id, 'state' AS field, o.state AS before, n.state AS after FROM n JOIN o ON lower(trim(n.id)) = lower(trim(o.id)) WHERE n.state IS DISTINCT FROM o.state UNION ALL SELECT n.id, 'parent', o.parent, n.parent FROM n JOIN o ON lower(trim(n.id)) = lower(trim(o.id)) WHERE n.parent IS DISTINCT FROM o.parent")
+_DELTA_FIELDS = ("summary", "state", "type", "priority", "assignee", "parent")
+_TEXT = "coalesce(json->>'description', '')"
+_DELTA = f"""v AS (SELECT *, lower(trim(id)) AS k, array_to_string(regexp_extract_all({_TEXT}, '[-*] +\\[[ xX]\\][^\n]*'), ' | ') AS criteria, array_to_string(regexp_extract_all({_TEXT}, '(?m)^#+ .*$'), ' | ') AS sections, row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY updated DESC) AS rn FROM (SELECT DISTINCT * FROM issues)), n AS (SELECT * FROM v WHERE rn = 1), o AS (SELECT * FROM v WHERE rn = 2)"""
+
+
+@query(f"WITH {_DELTA}" + " UNION ALL ".join(f" SELECT n.id, '{f}' AS field, o.{f} AS before, n.{f} AS after FROM n JOIN o USING (k) WHERE n.{f} IS DISTINCT FROM o.{f}" for f in (*_DELTA_FIELDS, "criteria", "sections")) + " UNION ALL SELECT n.id, 'comments', '0', count(*)::VARCHAR FROM n JOIN o USING (k) JOIN co ON lower(trim(co.issue)) = n.k AND co.created > o.updated AND co.created <= n.updated GROUP BY n.id")
 def x5_issue_delta(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "issues").distinct().withColumn("k", F.lower(F.trim("id")))
-    v = v.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc("updated"))))
-    o = v.filter("rn = 2").select("k", F.col("state").alias("s0"), F.col("parent").alias("p0"))
+    """What differs between an issue's last two versions: fields, link to the parent, criteria, sections, and comments in between."""
+    text = F.coalesce(F.get_json_object("json", "$.description"), F.lit(""))
+    found = lambda p: F.array_join(F.regexp_extract_all(text, F.lit(p), 0), " | ")
+    v = table(s, d, "issues").withColumns({"k": F.lower(F.trim("id")), "criteria": found(r"[-*] +\[[ xX]\][^\n]*"), "sections": found(r"(?m)^#+ .*$")})
+    v = v.dropDuplicates(["k", "updated"]).withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy(F.desc("updated"))))
+    fields = (*_DELTA_FIELDS, "criteria", "sections")
+    o = v.filter("rn = 2").select("k", F.col("updated").alias("since"), *[F.col(f).alias(f"old_{f}") for f in fields])
     n = v.filter("rn = 1").join(o, "k")
-    one = lambda f, a, z: F.when(~F.col(a).eqNullSafe(F.col(z)), F.struct(F.lit(f).alias("field"), F.col(a).alias("before"), F.col(z).alias("after")))
-    return n.select("id", F.explode(F.filter(F.array(one("state", "s0", "state"), one("parent", "p0", "parent")), lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
+    one = lambda f: F.when(~F.col(f"old_{f}").eqNullSafe(F.col(f)), F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("before"), F.col(f).alias("after")))
+    rows = n.select("id", F.explode(F.filter(F.array(*map(one, fields)), lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
+    said = b.comments(s, d).select(F.lower(F.trim("issue")).alias("k"), "created").join(n.select("k", "id", "since", "updated"), "k").filter("created > since AND created <= updated")
+    return rows.unionByName(said.groupBy("id").agg(F.count("*").cast("string").alias("after")).select("id", F.lit("comments").alias("field"), F.lit("0").alias("before"), "after"))
 
 
-@query("SELECT iss.id, coalesce(c.n, 0) AS comments, coalesce(h.n, 0) AS changes, coalesce(k.n, 0) AS children FROM iss LEFT JOIN (SELECT issue, count(*) AS n FROM co GROUP BY 1) c ON c.issue = iss.id LEFT JOIN (SELECT issue, count(*) AS n FROM fc GROUP BY 1) h ON h.issue = iss.id LEFT JOIN (SELECT pk, count(*) AS n FROM iss GROUP BY 1) k ON k.pk = iss.k")
-def x6_context_pack(s: SparkSession, d: str) -> DataFrame:
-    i = b.issues(s, d)
-    c = b.comments(s, d).groupBy(F.col("issue").alias("id")).agg(F.count("*").alias("comments"))
-    h = b.changes(s, d).groupBy(F.col("issue").alias("id")).agg(F.count("*").alias("changes"))
-    k = i.filter("pk IS NOT NULL").groupBy(F.col("pk").alias("k")).agg(F.count("*").alias("children"))
-    out = i.select("id", "k").join(c, "id", "left").join(h, "id", "left").join(k, "k", "left")
-    return out.fillna(0, ["comments", "changes", "children"]).drop("k")
+_PACK = f"""{_LINKS}, qi AS (SELECT id, k, summary, {_TEXT} AS d FROM iss WHERE num % 50 = 0), tp AS (SELECT DISTINCT k, id, unnest(regexp_extract_all(summary || ' ' || d, '[a-z]+/[A-Z][A-Za-z]+\\.(?:kt|java|md)')) AS path FROM qi),
+nf AS (SELECT regexp_replace(regexp_extract(path, '[^/]*$'), '[0-9]+', '') AS file, count(*) AS n FROM f GROUP BY 1), ln2 AS (SELECT path, task, max(created) AS at_ FROM (SELECT path, doc_id, created FROM fl JOIN documents USING (doc_id) WHERE source = 'commit_messages' QUALIFY row_number() OVER (PARTITION BY path ORDER BY created DESC NULLS LAST, doc_id) <= 40) JOIN lk USING (doc_id) GROUP BY ALL)"""
 
 
-@query("SELECT id, project, priority_rank FROM iss WHERE resolved IS NULL AND k NOT IN (SELECT pk FROM iss WHERE pk IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY project ORDER BY coalesce(priority_rank, 999), num, id) <= 15")
+@query(f"WITH {_PACK} SELECT id, 'issue' AS part, summary AS what, NULL AS mark FROM qi UNION ALL SELECT id, 'touch', path, CASE WHEN n IS NULL THEN '+' WHEN n = 1 THEN '=' WHEN n <= 3 THEN '~' ELSE '?' END FROM tp LEFT JOIN nf ON nf.file = regexp_extract(path, '[^/]*$') UNION ALL SELECT id, 'prior', task, NULL FROM (SELECT id, task, max(at_) AS at_ FROM tp JOIN ln2 USING (path) WHERE lower(task) <> k GROUP BY id, task QUALIFY row_number() OVER (PARTITION BY id ORDER BY max(at_) DESC NULLS LAST, task) <= 6) UNION ALL SELECT id, 'child', c, NULL FROM (SELECT qi.id, i.id AS c FROM qi JOIN iss i ON i.pk = qi.k QUALIFY row_number() OVER (PARTITION BY qi.id ORDER BY i.num, i.id) <= 5) UNION ALL SELECT id, 'norm', b, NULL FROM (SELECT DISTINCT tp.id, ol.text AS b, doc_id, line FROM tp JOIN (SELECT * FROM l WHERE starts_with(text, '- ')) ol ON list_contains(regexp_extract_all(ol.text, '[A-Z][A-Za-z]+'), regexp_extract(path, '([A-Za-z]+)[.]', 1)) QUALIFY row_number() OVER (PARTITION BY tp.id ORDER BY doc_id, line) <= 6)".replace("WITH ", f"WITH {_L}, ", 1))
+def x6_context_pack(s: SparkSession, d: str) -> DataFrame:
+    """What a worker should know of an issue: itself, the files it will touch and how sure that is, earlier tasks on them, its children,
+    and rules that name them. Asked for the issues whose number is divisible by 50."""
+    i = b.issues(s, d)
+    q = i.filter("num % 50 = 0").select("id", "k", "summary", F.coalesce(F.get_json_object("json", "$.description"), F.lit("")).alias("d"))
+    part = lambda df, name, what, mark=None: df.select("id", F.lit(name).alias("part"), what.alias("what"), (F.lit(None).cast("string") if mark is None else mark).alias("mark"))
+    touch = q.select("k", "id", F.explode(F.regexp_extract_all(F.concat_ws(" ", "summary", "d"), F.lit(r"[a-z]+/[A-Z][A-Za-z]+\.(?:kt|java|md)"), 0)).alias("path")).distinct()
+    touch = touch.withColumn("file", F.regexp_extract("path", "[^/]*$", 0))
+    known = b.files(s, d).groupBy(F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), "[0-9]+", "").alias("file")).agg(F.count("*").alias("n"))
+    mark = F.when(F.col("n").isNull(), "+").when(F.col("n") == 1, "=").when(F.col("n") <= 3, "~").otherwise("?")
+    prior = touch.join(landed(s, d), "path").filter("lower(task) <> k").groupBy("id", "task").agg(F.max("at").alias("at"))
+    prior = prior.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc_nulls_last("at"), "task"))).filter("r <= 6")
+    child = q.select("id", "k").join(i.select(F.col("pk").alias("k"), F.col("id").alias("c"), "num"), "k")
+    child = child.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("num", "c"))).filter("r <= 5")
+    rules = document_lines(s, d).filter(F.col("text").startswith("- ")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][A-Za-z]+"), 0))))
+    norm = touch.withColumn("word", F.regexp_extract("path", "([A-Za-z]+)[.]", 1)).join(rules, "word").select("id", "text", "doc_id", "line").distinct()
+    norm = norm.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("doc_id", "line"))).filter("r <= 6")
+    out = part(q, "issue", F.col("summary")).unionByName(part(touch.join(known, "file", "left"), "touch", F.col("path"), mark))
+    return out.unionByName(part(prior, "prior", F.col("task"))).unionByName(part(child, "child", F.col("c"))).unionByName(part(norm, "norm", F.col("text")))
+
+
+SLOTS = 5
+POOL = max(15, 4 * SLOTS)
+
+
+@query(f"SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY coalesce(priority_rank, 999), num, id)::INT AS place FROM iss WHERE resolved IS NULL AND k NOT IN (SELECT pk FROM iss WHERE pk IS NOT NULL) QUALIFY place <= {POOL}")
 def x7_candidate_pool(s: SparkSession, d: str) -> DataFrame:
-    """Open leaves of the hierarchy, the most urgent 15 of each project."""
+    """Open leaves of the hierarchy, of each project the most urgent, four for each slot and 15 at least."""
     i = b.issues(s, d)
     leaves = i.filter("resolved IS NULL").join(i.filter("pk IS NOT NULL").select(F.col("pk").alias("k")), "k", "left_anti")
-    r = F.row_number().over(W.partitionBy("project").orderBy(F.asc_nulls_last("priority_rank"), "num", "id"))
-    return leaves.withColumn("r", r).filter("r <= 15").select("id", "project", "priority_rank")
+    r = F.row_number().over(W.partitionBy("project").orderBy(F.coalesce("priority_rank", F.lit(999)), "num", "id"))
+    return leaves.withColumn("place", r).filter(F.col("place") <= POOL).select("project", "id", "place")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n, sum(floor(l_extendedprice * l_discount + 0.5))::BIGINT AS attributed FROM lineitem GROUP BY ALL", bare=True)

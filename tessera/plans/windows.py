@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as op
 from tessera.operators.blocks import LEAF_ROWS, ordered_blocks
+from tessera.operators.graph import reach
 from tessera.plans import base as b
 from tessera.plans.joins import _TURNS, turns
 from tessera.plans.scans import document_lines
@@ -84,20 +82,30 @@ def w10_recent_calls(s: SparkSession, d: str) -> DataFrame:
     return b.events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
-def w11_downsampled(s: SparkSession, d: str) -> DataFrame:
-    """Per user at most one event a day apart from the last one taken, newest 240: a greedy choice over the user's own events."""
-
-    def thin(batch: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for i, at in zip(batch["event_id"], batch["at"]):
-            if last is None or at - last >= 86_400:
-                kept.append((i, at))
-                last = at
-        return pd.DataFrame(kept[-240:], columns=["event_id", "at"])
+def thinned(rows: DataFrame, group: str, at: str, row: str, gap: int) -> DataFrame:
+    """(group, at, row) of the rows a greedy choice takes: the first of each group, then always the first at least `gap` later.
 
+    Each row's next one comes of a range window; the rows that the chains from the first ones pass are then marked by doubling, so a
+    group of any length takes a logarithmic number of rounds. Rows without group or place are left out; ties go by `row`.
+    """
+    one = rows.select(F.col(group).alias("g"), F.col(at).alias("at"), F.col(row).alias("id")).filter("g IS NOT NULL AND at IS NOT NULL")
+    first = one.groupBy("g", "at").agg(F.min("id").alias("id"))
+    w = W.partitionBy("g").orderBy("at")
+    jump = cut(first.withColumn("to", F.min("at").over(w.rangeBetween(gap, W.unboundedFollowing))))
+    taken = cut(first.groupBy("g").agg(F.min("at").alias("at")))
+    hop = jump.select("g", "at", "to").filter("to IS NOT NULL")
+    while not hop.isEmpty():
+        taken = cut(taken.unionByName(taken.join(hop, ["g", "at"]).select("g", F.col("to").alias("at"))).distinct())
+        hop = cut(hop.join(hop.select("g", F.col("at").alias("to"), F.col("to").alias("far")), ["g", "to"]).select("g", "at", F.col("far").alias("to")))
+    return first.join(taken, ["g", "at"]).select(F.col("g").alias(group), F.col("at").alias(at), F.col("id").alias(row))
+
+
+@query("WITH RECURSIVE e AS (SELECT user_id AS g, floor(epoch(ts))::BIGINT AS at_, min(event_id) AS id FROM events GROUP BY ALL), nx AS (SELECT g, at_, min(at_) OVER (PARTITION BY g ORDER BY at_ RANGE BETWEEN 86400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e), t AS (SELECT g, min(at_) AS at_ FROM e WHERE g IS NOT NULL GROUP BY 1 UNION SELECT nx.g, nx.nxt FROM t JOIN nx ON nx.g = t.g AND nx.at_ = t.at_ WHERE nxt IS NOT NULL) SELECT e.id AS event_id, e.at_ AS at FROM t JOIN e ON e.g = t.g AND e.at_ = t.at_ QUALIFY row_number() OVER (PARTITION BY e.g ORDER BY e.at_ DESC) <= 240", bare=True)
+def w11_downsampled(s: SparkSession, d: str) -> DataFrame:
+    """Per user at most one event a day apart from the last one taken, newest 240."""
     e = b.events(s, d).select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
-    return e.groupBy("user_id").applyInPandas(lambda g: thin(g.sort_values(["at", "event_id"])), "event_id bigint, at bigint")
+    kept = thinned(e, "user_id", "at", "event_id", 86_400)
+    return kept.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("at")))).filter("r <= 240").select("event_id", "at")
 
 
 @query("SELECT session, lower(p) AS path, min(seq) AS seq FROM (SELECT session, seq, unnest(regexp_extract_all(content, '[a-z]+/[A-Z][A-Za-z]+\\.(?:kt|java)')) AS p FROM st) GROUP BY ALL")
@@ -233,6 +241,14 @@ def o10_priority_order(s: SparkSession, d: str) -> DataFrame:
     return b.issues(s, d).orderBy(F.asc_nulls_last("priority_rank"), "id").limit(60).select("id", "priority_rank")
 
 
+@query("WITH RECURSIVE r AS (SELECT k AS epic, k AS id FROM iss WHERE k IN (SELECT pk FROM iss) UNION SELECT r.epic, i.k FROM r JOIN iss i ON i.pk = r.id) SELECT epic, id FROM r WHERE epic <> id".replace("WITH RECURSIVE ", "WITH "))
+def u3_descendants(s: SparkSession, d: str) -> DataFrame:
+    """All that lies below an issue, as a set, whatever circles the links run in."""
+    i = b.issues(s, d).select("k", "pk")
+    e = i.join(i.select(F.col("k").alias("pk")), "pk", "left_semi").select(F.col("pk").alias("a"), F.col("k").alias("b"))
+    return reach(e.select(F.col("a").alias("id")).distinct(), e).filter("start <> id").select(F.col("start").alias("epic"), "id")
+
+
 @query("SELECT id, 1 AS part FROM ru WHERE role = 'review' UNION ALL SELECT id, 2 FROM ru WHERE cost > 10000")
 def u1_union_all(s: SparkSession, d: str) -> DataFrame:
     r = b.runs(s, d)

@@ -128,3 +128,41 @@ def test_path_order(spark):
     paths = ["b/A.kt", "b/a.kt", "b/_x.kt", "B/a.kt", "b-c/a.kt", "b/1.kt", "b/a.kts"]
     df = spark.createDataFrame([Row(p=p) for p in paths])
     assert col(df.orderBy(path_key(F.col("p"))), "p") == ["b-c/a.kt", "b/_x.kt", "b/1.kt", "b/a.kt", "b/A.kt", "B/a.kt", "b/a.kts"]
+
+
+def test_thinned(spark):
+    import random
+
+    from tessera.plans.windows import thinned
+
+    r = random.Random(4)
+    rows = [(r.choice("ab"), r.randrange(3000), i) for i in range(400)] + [("c", 5, 1000), ("c", 5, 999), (None, 1, 1), ("d", None, 2)]
+    got = {tuple(x) for x in thinned(spark.createDataFrame(rows, "g string, at bigint, id bigint"), "g", "at", "id", 50).collect()}
+    want = set()
+    for g in "abc":
+        last = None
+        for at, i in sorted((a, i) for x, a, i in rows if x == g):
+            if last is None or at - last >= 50:
+                want.add((g, at, i))
+                last = at
+    assert got == want and len(want) > 50
+    assert thinned(spark.createDataFrame([], "g string, at bigint, id bigint"), "g", "at", "id", 50).count() == 0
+
+
+def test_rolled_log(spark, tmp_path):
+    from tessera.plans.scans import rolled
+
+    (tmp_path / "log.1").write_text('{"n": 1}\n{"n": 2}\n')
+    (tmp_path / "log").write_text('{"n": 3, "x": 1}\n{"n": 4')
+    assert sorted(x["n"] for x in rolled(spark, [str(tmp_path / p) for p in ("log.1", "log", "log.2")], "n bigint").collect()) == [1, 2, 3]
+    assert rolled(spark, [str(tmp_path / "none")], "n bigint").count() == 0
+
+
+def test_rewrites(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.plans.scans import rewrites
+
+    files = spark.createDataFrame([(1, "abcdef"), (2, "abXdef"), (3, "ab"), (4, "abc"), (5, "new"), (6, "")], "id bigint, content string")
+    seen = spark.createDataFrame([(1, 3, "abc"), (2, 3, "abc"), (3, 3, "abc"), (4, 3, "abc"), (6, 0, "")], "id bigint, read bigint, was string").select("id", "read", F.sha2("was", 256).alias("mark"))
+    assert {r["id"]: r["state"] for r in rewrites(files, seen).collect()} == {1: "grown", 2: "rewritten", 3: "shrunk", 4: "same", 5: "new", 6: "same"}
