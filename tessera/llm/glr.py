@@ -147,7 +147,20 @@ def build(text: str, start: str) -> tuple[list[dict], list[dict]]:
 
 def _below(node: list, size: int, edge: tuple | None = None) -> list[list]:
     """The nodes `size` steps below `node`; with an edge (upper node, lower node), only those reached by it."""
-    level = {(id(node), edge is None): node}
+    if edge is None:
+        nodes = [node]
+        for _ in range(size):
+            below = {}
+            for x in nodes:
+                y = x[1]
+                if y is not None:
+                    below[id(y)] = y
+                if x[2]:
+                    for y in x[2]:
+                        below[id(y)] = y
+            nodes = list(below.values())
+        return nodes
+    level = {(id(node), False): node}
     for _ in range(size):
         below = {}
         for (_, used), x in level.items():
@@ -168,6 +181,7 @@ def _advance(tables: tuple[list[dict], list[dict]], fresh: list[list], kind: str
     tops = {node[0]: node for node in fresh}
     shifted: dict[int, list] = {}
     todo: list[tuple] = []
+    empty = False  # whether something of no tokens was reduced, so that a top may stand on a top
     while fresh or todo:
         if fresh:
             node = fresh.pop()
@@ -184,6 +198,8 @@ def _advance(tables: tuple[list[dict], list[dict]], fresh: list[list], kind: str
         node, (lhs, size), edge = todo.pop()
         if lhs == "start'":
             return None
+        if not size:
+            empty = True
         if edge is None:
             while size and node[2] is None:
                 node = node[1]
@@ -196,7 +212,7 @@ def _advance(tables: tuple[list[dict], list[dict]], fresh: list[list], kind: str
                 fresh.append(top)
             elif top[1] is not base and not (top[2] and any(b is base for b in top[2])):
                 top[2] = [*(top[2] or ()), base]  # a new way down: what reduces across it does so again
-                for x in tops.values():
+                for x in tops.values() if empty else (top,):
                     act = actions[x[0]].get(kind)
                     todo += [(x, a, (top, base)) for a in (act if type(act) is list else (act,)) if type(a) is tuple and a[1]]
     return list(shifted.values())
