@@ -14,6 +14,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -39,9 +40,16 @@ _GROUP = regex.compile(r"\d+")
 _ZIP = regex.compile(r"(?<![\p{L}\p{N}_])(?:(?:[A-Z]{1,2}-)?(?:\d{5}(?:-\d{4})?|\d{3} \d{2}|\d{2}-\d{3}|\d{4}(?: [A-Z]{2})?)|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2})(?![\p{L}\p{N}_/])")
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:[-’'](?=\p{L})\p{L}[\p{L}\p{M}]*)*|\p{N}+|\n|[^\s]")
 _CASELESS = regex.compile(r"[\p{Lo}\p{M}]+")
+_LATIN, _LETTERS = regex.compile(r"\p{Latin}"), regex.compile(r"\p{L}{2,}")
+_REMOTE, _REMOTE_PATH = regex.compile(r"(?i)git@"), regex.compile(r":[\p{L}\p{N}_~/]")
+_AT_WORD, _SPELT_DOT = regex.compile(r"[\[({<](\p{L}+)[\])}>]"), regex.compile(r"(?i) dot ")
+_NAME_LEFT, _NAME_RIGHT, _ID_LEFT = regex.compile(r"[\p{L}\p{N}_@./\\#-]"), regex.compile(r"[\p{L}\p{N}_@(/\\]"), regex.compile(r"[\p{L}\p{N}_+(@-]")
+_DIGIT, _DOTS = regex.compile(r"\d"), regex.compile(_DOT)
+CACHED = 100_000  # words whose type and folded form a worker remembers, to save work only
 _SHORT = 5  # letters of a word that a full stop may shorten
 
 
+@lru_cache(CACHED)
 def fold(word: str) -> str:
     """Lower case without marks, so that Søren, SØREN and Soren are one."""
     w = unicodedata.normalize("NFD", word.lower().replace("ł", "l").replace("ø", "o").replace("đ", "d").replace("ß", "ss"))
@@ -64,6 +72,7 @@ class Segment:
     features: list[str]
 
 
+@lru_cache(CACHED)
 def _type(t: str) -> str:
     """A token's type: C capitalised, I a capital alone, U capitals, K letters without case, l small, M mixed, N digits, or the character."""
     c = t[0]
@@ -112,10 +121,7 @@ class Tokens:
 
 
 def _script(word: str) -> str:
-    return "Latin" if regex.match(r"\p{Latin}", word) else "other"
-
-
-_NAME_LEFT, _NAME_RIGHT = regex.compile(r"[\p{L}\p{N}_@./\\#-]"), regex.compile(r"[\p{L}\p{N}_@(/\\]")
+    return "Latin" if _LATIN.match(word) else "other"
 
 
 def _names(t: Tokens, known: Names) -> Iterator[Segment]:
@@ -201,15 +207,15 @@ def _emails(text: str) -> Iterator[Segment]:
         if shape == "plain" and "@" not in text:
             continue
         for m in pattern.finditer(text):
-            host = regex.split(_DOT, m[0])[-1]
-            feats = [f"email {shape}", "email tld " + ("letters" if regex.fullmatch(r"\p{L}{2,}", host) else "other")]
-            if regex.match(r"(?i)git@", m[0]) or regex.match(r":[\p{L}\p{N}_~/]", text[m.end() : m.end() + 2]):
+            host = _DOTS.split(m[0])[-1]
+            feats = [f"email {shape}", "email tld " + ("letters" if _LETTERS.fullmatch(host) else "other")]
+            if _REMOTE.match(m[0]) or _REMOTE_PATH.match(text[m.end() : m.end() + 2]):
                 feats.append("email remote")
             if text[max(0, m.start() - 3) : m.start()].endswith("://"):
                 feats.append("email url")
             if shape == "spelt":
-                at = regex.search(r"[\[({<](\p{L}+)[\])}>]", m[0])
-                feats.append(f"email at={at[1].lower()}" if at else "email bare at" + (" and dot" if regex.search(r"(?i) dot ", m[0]) else ""))
+                at = _AT_WORD.search(m[0])
+                feats.append(f"email at={at[1].lower()}" if at else "email bare at" + (" and dot" if _SPELT_DOT.search(m[0]) else ""))
             yield Segment(*m.span(), "email", feats)
 
 
@@ -236,7 +242,7 @@ def _phones(t: Tokens) -> Iterator[Segment]:
                 b = groups[j][1]
                 body = text[a:b]
                 lengths = [y - x for x, y in groups[i : j + 1]]
-                seps = "".join(sorted(set(regex.sub(r"\d", "", body[1:] if body[0] in "+(" else body))))
+                seps = "".join(sorted(set(_DIGIT.sub("", body[1:] if body[0] in "+(" else body))))
                 lead = "+" if body[0] == "+" else "00" if body.startswith("00") else "(" if body[0] == "(" else "0" if body[0] == "0" else "1" if lengths[0] == 1 and body[0] == "1" else "digit"
                 feats = [f"phone lead {lead}", f"phone digits {min(n, 13)}", f"phone groups {min(len(lengths), 6)}", f"phone lead {lead} groups {len(lengths) > 1}"]
                 if n == 10 and lengths[-2:] == [3, 4] or n == 11 and lengths[-2:] == [3, 4]:
@@ -274,7 +280,7 @@ def _ids(t: Tokens) -> Iterator[Segment]:
         lead = t.types[i] in "UI" and len(t.words[i]) <= 3
         if not lead and t.types[i] != "N":
             continue
-        if t.at[i] and regex.match(r"[\p{L}\p{N}_+(@-]", text[t.at[i] - 1]) or i > 1 and t.types[i - 2] == "N" and text[t.at[i] - 1 : t.at[i]] in (".", ",", "/", ":"):
+        if t.at[i] and _ID_LEFT.match(text[t.at[i] - 1]) or i > 1 and t.types[i - 2] == "N" and text[t.at[i] - 1 : t.at[i]] in (".", ",", "/", ":"):
             continue
         shape, digits, j = "", 0, i
         while j < n and j - i < WINDOW["id_number"]:
@@ -365,7 +371,7 @@ def _addresses(t: Tokens) -> Iterator[Segment]:
         if at == len(places) or places[at] - s > 8:
             continue
         i = units[s][0]
-        if t.at[i] and regex.match(r"[\p{L}\p{N}_@./\\#-]", t.text[t.at[i] - 1]):
+        if t.at[i] and _NAME_LEFT.match(t.text[t.at[i] - 1]):
             continue
         form, heads, cuts = [], [], 0
         for k in range(s, min(len(units), s + WINDOW["address"])):
@@ -385,7 +391,7 @@ def _addresses(t: Tokens) -> Iterator[Segment]:
             if not (kind in "Ww" and form[-1:] == [kind]):
                 form.append("/" if kind == "\n" else kind)
             if kind in ("W", "Z", "Z4") and cuts and any(x[0] == "H" or x == "Z4" for x in form) and "W" in form:
-                if b < len(t.words) and t.at[b] == t.to[b - 1] and regex.match(r"[\p{L}\p{N}_@(/\\]", t.text[t.at[b]]):
+                if b < len(t.words) and t.at[b] == t.to[b - 1] and _NAME_RIGHT.match(t.text[t.at[b]]):
                     continue
                 yield _address(t, units, s, k, form, heads)
 
