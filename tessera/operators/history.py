@@ -114,15 +114,16 @@ def field_history(changes: DataFrame, issues: DataFrame, leaf_rows: int = LEAF_R
 
     `field` is compared in lower case. Of changes with the same issue, field and `at` the one with the greatest id stands. Its
     `added` holds from `at`. Before the first change (smallest `at`, then id) its `removed` holds from the issue's `created`, if
-    that is known and earlier. Issue ids are compared without case and blanks around them, and come out as the changes first
-    write them. Changes with null issue, field or `at` are left out. Rows repeated whole count once.
+    that is known and earlier. Issue ids are compared without case and white space around them, and come out in the least of the
+    spellings that the changes have for them. Changes with null issue, field or `at` are left out. Rows repeated whole count once.
     """
-    ch = changes.select("id", F.col("issue").alias("written"), F.lower(F.trim("issue")).alias("k"), F.lower("field").alias("field"), F.col("at").cast("bigint").alias("at"), "removed", "added")
+    bare = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    ch = changes.select("id", F.col("issue").alias("written"), bare("issue").alias("k"), F.lower("field").alias("field"), F.col("at").cast("bigint").alias("at"), "removed", "added")
     ch = ch.filter("k IS NOT NULL AND field IS NOT NULL AND at IS NOT NULL")
     named = F.min("written").alias("issue")
-    stands = ch.groupBy("k", "field", "at").agg(F.max(F.struct("id", "added")).alias("x"), F.min(F.struct("id", "removed")).alias("y"), named)
+    stands = cut(ch.groupBy("k", "field", "at").agg(F.max(F.struct("id", "added")).alias("x"), F.min(F.struct("id", "removed")).alias("y"), named))
     firsts = stands.groupBy("k", "field").agg(F.min(F.struct("at", "y")).alias("first"), F.min("issue").alias("issue"))
-    made = issues.select(F.lower(F.trim("id")).alias("k"), F.col("created").cast("bigint").alias("created"), F.col("updated").alias("u"))
+    made = issues.select(bare("id").alias("k"), F.col("created").cast("bigint").alias("created"), F.col("updated").alias("u"))
     made = made.filter("k IS NOT NULL").groupBy("k").agg(F.max(F.struct("u", "created")).alias("m")).select("k", "m.created")
     before = firsts.join(made, "k").filter(F.col("created") < F.col("first.at")).select(
         "k", "field", F.col("created").alias("f"), F.col("first.y.removed").alias("value")
