@@ -225,11 +225,14 @@ def similar_scores(issues: DataFrame, comments: DataFrame, asked: Column) -> tup
     sizes = length.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("avg_len"))
     terms = written(query_terms(words.filter("asked AND src < 2")).withColumnRenamed("id", "q"))
     need = terms.groupBy("q").agg(F.count("*").alias("n"), F.count(F.when(F.col("src") == 0, 1)).alias("titles"))
-    tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    hit = terms.join(tokens.join(op.document_frequency(tokens), "term").join(length, "id"), "term").filter("q <> id").join(F.broadcast(sizes), F.lit(True))
+    tokens = written(tokens.join(terms.select("term").distinct(), "term", "left_semi"))
+    # What a word adds to an issue's score is the same for every question, so it is computed once for each of its places.
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg_len")))
-    h = hit.groupBy("q", "id").agg(F.round(F.sum(idf * norm), 6).alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
+    placed = tokens.join(op.document_frequency(tokens), "term").join(length, "id").join(F.broadcast(sizes), F.lit(True))
+    placed = written(placed.select("term", "id", "own", (idf * norm).alias("part")))
+    hit = terms.join(placed, "term").filter("q <> id")
+    h = hit.groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
     return h, need
 
 
