@@ -108,6 +108,24 @@ def test_similar_sets_finds_every_link(spark):
         assert out[i]["links"] == len({v for v in sets.values() if w and v != w and len(v & w) / len(v | w) >= 0.6})
 
 
+def test_similar_sets_pair_only_what_can_be_alike(spark, monkeypatch):
+    import random
+
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(200):  # all hold the same rare words, but for pairs of neighbours all differ in number or in many words
+        ws = ["rare", "odd", *r.sample(words, 20)] if i % 2 == 0 else [*rows[-1][1][:-1], f"x{i}"]
+        rows.append((i, ws, str(i // 20) if i % 4 < 2 else None))
+    df = spark.createDataFrame(rows, "k int, w array<string>, n string")
+    met, whole = [], search.paired
+    monkeypatch.setattr(search, "paired", lambda *a: met.append(whole(*a)) or met[-1])
+    out = {x["k"]: x["links"] for x in search.similar_sets(df, "k", "w", 0.8, "n").collect()}
+    alike = lambda v, w: len(set(v) & set(w)) / len(set(v) | set(w)) >= 0.8
+    assert out == {i: sum(1 for j, v, m in rows if j != i and m == n and alike(v, w)) for i, w, n in rows}
+    assert sum(out.values()) == 200 and met[0].count() <= 110
+
+
 def test_page_rank_and_components(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "a", 5.0), ("a", "zz", 1.0)], "a string, b string, w double")
