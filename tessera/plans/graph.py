@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as op
-from tessera.operators import resolve
+from tessera.operators import resolve, walks
 from tessera.functions.text import line_diff
 from tessera.operators.filters import base_type
 from tessera.operators.tables import narrowest
@@ -81,8 +81,7 @@ def supertype_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + _SUPER + ", cl(start, id, depth) USING KEY (start, id) AS (SELECT a, b, 1::BIGINT FROM sup UNION SELECT DISTINCT cl.start, sup.b, cl.depth + 1 FROM cl JOIN sup ON sup.a = cl.id LEFT JOIN recurring.cl AS seen ON seen.start = cl.start AND seen.id = sup.b WHERE seen.id IS NULL) SELECT start, id, depth FROM cl WHERE id <> start")
 def g4_supertypes(s: SparkSession, d: str) -> DataFrame:
-    e = supertype_edges(s, d)
-    return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    return closed(supertype_edges(s, d))
 
 
 @query("WITH " + _SUPER + ", cl(start, id, depth) USING KEY (start, id) AS (SELECT b, a, 1::BIGINT FROM sup UNION SELECT DISTINCT cl.start, sup.a, cl.depth + 1 FROM cl JOIN sup ON sup.b = cl.id LEFT JOIN recurring.cl AS seen ON seen.start = cl.start AND seen.id = sup.a WHERE seen.id IS NULL) SELECT start, id, depth FROM cl WHERE id <> start")
@@ -91,6 +90,14 @@ def g5_subtypes(s: SparkSession, d: str) -> DataFrame:
     return op.reach(e.select(F.col("a").alias("id")).distinct(), e).filter("depth > 0").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
+def closed(e: DataFrame) -> DataFrame:
+    """(start, id, depth): all that each node with edges (a, b) reaches, but itself."""
+    starts = e.select(F.col("a").alias("id")).distinct()
+    rows = walks.closure(starts, e)
+    rows = op.reach(starts, e).filter("depth > 0") if rows is None else rows
+    return rows.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+
+
 def type_members(s: SparkSession, d: str) -> DataFrame:
     """(member, type, name, kind, arity): functions by the name of the type they stand in."""
     de = b.decls(s, d).filter("kind IN ('fun', 'method') AND container <> ''")
