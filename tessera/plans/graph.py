@@ -169,8 +169,11 @@ def g9_test_reach(s: SparkSession, d: str) -> DataFrame:
     """Test files within three steps of users of each main file, going on from 40 files over 2 000 references in each step."""
     f = b.files(s, d)
     e = reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    r = op.reach(f.filter("source_set = 'main'").select("id"), e, 3, FRONTIER, REFERENCES).filter("depth > 0")
-    return r.join(f.filter("source_set = 'test'").select("id"), "id", "left_semi").select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    starts, tests = f.filter("source_set = 'main'").select("id"), f.filter("source_set = 'test'").select("id")
+    r = walks.budgeted(starts, e, 3, FRONTIER, REFERENCES, tests)
+    if r is None:
+        r = op.reach(starts, e, 3, FRONTIER, REFERENCES).filter("depth > 0").join(tests, "id", "left_semi")
+    return r.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
 _TOUCHES = f"{_LINKS}, tx AS (SELECT DISTINCT task, path FROM lk JOIN fl USING (doc_id) JOIN documents USING (doc_id) WHERE source = 'commit_messages' AND NOT path LIKE '%.md')"
