@@ -107,15 +107,19 @@ _MEMBER = "mb AS (SELECT id AS member, regexp_extract(container, '[^.]*$') AS ty
 _ABOVE = "av(type, above, level) USING KEY (type, above) AS (SELECT a, a, 0::BIGINT FROM (SELECT DISTINCT name AS a FROM de WHERE kind IN ('class', 'interface', 'object', 'enum')) UNION SELECT DISTINCT av.type, sup.b, av.level + 1 FROM av JOIN sup ON sup.a = av.above LEFT JOIN recurring.av AS seen ON seen.type = av.type AND seen.above = sup.b WHERE seen.type IS NULL)"
 
 
+def type_ids(s: SparkSession, d: str) -> DataFrame:
+    return b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).select(F.col("name").alias("id")).distinct()
+
+
 def types_above(s: SparkSession, d: str) -> DataFrame:
-    types = b.decls(s, d).filter(F.col("kind").isin("class", "interface", "object", "enum")).select(F.col("name").alias("id")).distinct()
-    return resolve.levels(supertype_edges(s, d), types)
+    return resolve.levels(supertype_edges(s, d), type_ids(s, d))
 
 
 @query(f"WITH {_SUPER}, {_ABOVE}, {_MEMBER} SELECT DISTINCT m.member, o.member AS overridden, level FROM mb m JOIN av ON av.type = m.type AND level > 0 JOIN mb o ON o.type = av.above AND o.name = m.name AND o.kind = m.kind AND o.arity = m.arity WHERE m.member <> o.member")
 def g6_overrides(s: SparkSession, d: str) -> DataFrame:
     """Members that repeat one of the same name, kind and number of parameters in a type above theirs."""
-    return resolve.overrides(type_members(s, d), types_above(s, d))
+    rows = walks.overrides(type_members(s, d), supertype_edges(s, d), type_ids(s, d))
+    return resolve.overrides(type_members(s, d), types_above(s, d)) if rows is None else rows
 
 
 _TREE = "s AS (SELECT id FROM f WHERE id % 50 = 0), e2 AS (SELECT a, b FROM ed QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) <= 12), e3 AS (SELECT a, b FROM ed JOIN ex USING (a, b) QUALIFY row_number() OVER (PARTITION BY b ORDER BY w DESC, a) <= 12), l1 AS (SELECT DISTINCT s.id AS root, e2.a AS id FROM s JOIN e2 ON e2.b = s.id WHERE e2.a <> s.id), l2 AS (SELECT DISTINCT root, e3.a AS id FROM l1 JOIN e3 ON e3.b = l1.id), l3 AS (SELECT DISTINCT root, e3.a AS id FROM l2 JOIN e3 ON e3.b = l2.id)"

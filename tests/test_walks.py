@@ -56,3 +56,28 @@ def test_more_edges_than_a_worker_holds(spark, monkeypatch):
     chain = spark.createDataFrame([(f"T{i}", f"T{i + 1}") for i in range(9)], "a string, b string")
     assert walks.closure(chain.selectExpr("a AS id"), chain) is None
     assert graph.closed(chain).count() == 45
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_members_are_those_of_tables(spark, seed):
+    from tessera.operators import resolve
+
+    r = random.Random(seed)
+    t = lambda: f"T{r.randrange(40)}"
+    members = spark.createDataFrame([(i, t(), f"m{r.randrange(6)}", "fun", r.choice([0, 1, None])) for i in range(200)], "member bigint, type string, name string, kind string, arity int")
+    supers = spark.createDataFrame([(t(), t()) for _ in range(45)], "a string, b string")
+    types = spark.createDataFrame([(f"T{i}",) for i in range(0, 50, 2)] + [(None,)], "id string")
+    uses = spark.createDataFrame([(i, t(), f"m{r.randrange(7)}") for i in range(150)], "use int, type string, name string")
+    above = resolve.levels(supers, types)
+    got = walks.overrides(members, supers, types).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, resolve.overrides(members, above).collect())) != []
+    got = walks.member_lookup(uses, ["use"], members, supers, types).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, resolve.member_lookup(uses, members, above).collect())) != []
+    assert walks.overrides(members.limit(0), supers, types).count() == walks.member_lookup(uses, ["use"], members, supers.limit(0), types.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
+@pytest.mark.parametrize("name", ["g6_overrides", "r3_member_lookup"])
+def test_types_above_are_not_kept(spark, monkeypatch, name):
+    monkeypatch.setattr(op, "cut", lambda df: pytest.fail("a level was written"))
+    assert graph.QUERIES[name](spark, D).count() >= 0
