@@ -313,8 +313,12 @@ def calls_in_types(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SUPER}, {_ABOVE}, {_MEMBER}, {_CALLS}, {_IN_TYPE}, h AS (SELECT DISTINCT file_id, line, ct.name, member, level FROM ct JOIN av ON av.type = ct.type JOIN mb ON mb.type = av.above AND mb.name = ct.name) SELECT *, level = min(level) OVER (PARTITION BY file_id, line, name) AS nearest FROM h")
 def r3_member_lookup(s: SparkSession, d: str) -> DataFrame:
     """What a call inside a type means: a member of the type, or of a type above it; the nearest level wins, the others are kept."""
-    use = F.struct("file_id", "line", "name")
-    uses = calls_in_types(s, d).select(use.alias("use"), "type", "name").distinct()
+    key = ["file_id", "line", "name"]
+    uses = calls_in_types(s, d).select(*key, "type").distinct()
+    rows = walks.member_lookup(uses, key, type_members(s, d), supertype_edges(s, d), type_ids(s, d))
+    if rows is not None:
+        return rows
+    uses = uses.select(F.struct(*key).alias("use"), "type", "name")
     return resolve.member_lookup(uses, type_members(s, d), types_above(s, d)).select("use.*", "member", "level", "nearest")
 
 
