@@ -81,3 +81,28 @@ def test_members_are_those_of_tables(spark, seed):
 def test_types_above_are_not_kept(spark, monkeypatch, name):
     monkeypatch.setattr(op, "cut", lambda df: pytest.fail("a level was written"))
     assert graph.QUERIES[name](spark, D).count() >= 0
+
+
+@pytest.mark.parametrize("few", [20, 400])
+def test_co_changes_are_counted_exactly(spark, few):
+    r = random.Random(few)
+    x = {(f"A-{r.randrange(60)}", f"p{int(r.random() ** 3 * few)}") for _ in range(600)}
+    got = walks.co_changed(spark.createDataFrame(sorted(x), "task string, path string"), spark.createDataFrame([(f"A-{i}",) for i in range(0, 70, 2)], "id string"), 2, 5)
+    want = set()
+    for a in {t for t, _ in x if int(t[2:]) % 2 == 0}:
+        own = {p for t, p in x if t == a}
+        near = {t for t, p in x if p in own and t != a}
+        for p in {p for _, p in x} - own:
+            n = sum((t, p) in x for t in near)
+            if n >= max(2, -(-len(near) // 5)):
+                want.add((a, p, n))
+    rows = [tuple(z) for z in got.collect()]
+    assert set(rows) == want != set() and len(rows) == len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
+def test_tasks_beside_are_not_paired(spark):
+    from tessera.plans import aggregates
+
+    plan = aggregates.a24_co_change(spark, D)._jdf.queryExecution().toString()
+    assert "Join" not in plan.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].split("MapInArrow")[0]
