@@ -106,3 +106,21 @@ def test_tasks_beside_are_not_paired(spark):
 
     plan = aggregates.a24_co_change(spark, D)._jdf.queryExecution().toString()
     assert "Join" not in plan.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].split("MapInArrow")[0]
+
+
+def test_best_alike_are_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    placed = [(f"w{w}", f"I-{i}", r.randrange(2), r.choice([0.25, 0.5, r.random()])) for i in range(150) for w in r.sample(range(30), 6)]
+    p = spark.createDataFrame(placed, "term string, id string, own int, part double")
+    terms = spark.createDataFrame([(f"I-{q}", f"w{w}", w % 2) for q in [*range(9), 900] for w in r.sample(range(33), 5)], "q string, term string, src int")
+    got = {}
+    for x in walks.best_alike(p, terms, 10).collect():
+        got.setdefault(x["q"], []).append((-round(x["score"], 6), x["id"], x["shared"], x["in_title"]))
+    every = p.join(terms, "term").filter("q <> id").groupBy("q", "id").agg(F.sum("part").alias("score"), F.sum("own").alias("shared"), F.sum(F.when(F.col("src") == 0, F.col("own")).otherwise(0)).alias("in_title"))
+    want = {}
+    for x in every.collect():
+        want.setdefault(x["q"], []).append((-round(x["score"], 6), x["id"], x["shared"], x["in_title"]))
+    assert {q: sorted(v)[:10] for q, v in got.items()} == {q: sorted(v)[:10] for q, v in want.items()} and len(want) == 10
+    assert max(map(len, got.values())) < max(map(len, want.values()))  # few are sent on
