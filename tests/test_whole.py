@@ -26,6 +26,13 @@ def test_similar_by_two_title_words_or_description(spark):
     assert next(r["place"] for r in out if r["id"] == "A-1") == 1
 
 
+def test_all_terms_are_found_without_a_vocabulary(spark, monkeypatch):
+    issues = spark.createDataFrame([("A", ["limits", "limiter", "token"]), ("B", ["limit"]), ("C", ["token", "limit", "x"]), ("D", []), ("E", ["tok", "lim"])], "id string, ws array<string>")
+    q = spark.createDataFrame([(1, "limit"), (1, "token"), (2, "tok"), (3, "none")], "qid int, term string")
+    monkeypatch.setattr(search.op, "expanded_terms", lambda *a: pytest.fail("all prefixes of all words"))
+    assert {(r["qid"], r["id"]) for r in search.all_terms(issues, q).collect()} == {(1, "A"), (1, "C"), (2, "A"), (2, "C"), (2, "E")}
+
+
 @tables
 def test_all_files_and_declarations_are_asked(spark):
     checked = {r["file_id"] % 5 for r in graph.r18_name_check(spark, D).collect()}
