@@ -12,7 +12,7 @@ from tessera.functions.text import line_diff
 from tessera.operators.filters import base_type
 from tessera.operators.tables import narrowest
 from tessera.plans import base as b
-from tessera.plans.joins import _EDGES, _LINKS, _MATCHED, _VERSIONS, document_files, document_tasks, landed, reference_edges, two_versions, version_matches
+from tessera.plans.joins import _EDGES, _LINKS, _MATCHED, _VERSIONS, document_files, document_tasks, landed, reference_edges, two_versions, type_files, used_names, version_matches
 from tessera.plans.scans import document_lines
 from tessera.session import table
 
@@ -171,13 +171,21 @@ _REACHED = "rt AS (SELECT start, id, depth::BIGINT AS depth FROM seen3 WHERE dep
 @query(f"WITH {_EDGES}, {_REACH}, {_REACHED} SELECT * FROM rt")
 def g9_test_reach(s: SparkSession, d: str) -> DataFrame:
     """Test files within three steps of users of each main file, going on from 40 files over 2 000 references in each step."""
+    r = tests_reached(s, d, False)
+    return r.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+
+
+def tests_reached(s: SparkSession, d: str, counted: bool) -> DataFrame:
+    """(start, id, depth) of the test files that main files reach, or only (start, n)."""
     f = b.files(s, d)
-    e = reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
     starts, tests = f.filter("source_set = 'main'").select("id"), f.filter("source_set = 'test'").select("id")
-    r = walks.budgeted(starts, e, 3, FRONTIER, REFERENCES, tests)
-    if r is None:
-        r = op.reach(starts, e, 3, FRONTIER, REFERENCES).filter("depth > 0").join(tests, "id", "left_semi")
-    return r.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    declared, used = type_files(s, d).withColumnRenamed("b", "a"), used_names(s, d).withColumnRenamed("a", "b")
+    r = walks.budgeted_by_name(starts, declared, used, 3, FRONTIER, REFERENCES, tests, counted)
+    if r is not None:
+        return r
+    e = reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    r = op.reach(starts, e, 3, FRONTIER, REFERENCES).filter("depth > 0").join(tests, "id", "left_semi")
+    return r.groupBy("start").agg(F.count("*").alias("n")) if counted else r
 
 
 _TOUCHES = f"{_LINKS}, tx AS (SELECT DISTINCT task, path FROM lk JOIN fl USING (doc_id) JOIN documents USING (doc_id) WHERE source = 'commit_messages' AND NOT path LIKE '%.md')"
@@ -480,7 +488,7 @@ def r8_callers_of_changed(s: SparkSession, d: str) -> DataFrame:
 def r14_test_selection(s: SparkSession, d: str) -> DataFrame:
     """Tests to run when a main file changes: those that reach it; a build file widens to everything, a file no test reaches to its module."""
     changed = b.files(s, d).filter("source_set = 'main'").select(F.col("id").alias("start"), "path", "module")
-    reached = g9_test_reach(s, d).groupBy("start").agg(F.count("*").alias("tests"))
+    reached = tests_reached(s, d, True).withColumnRenamed("n", "tests")
     wide = F.when(F.col("path").endswith(".kts"), "everything").when(F.col("tests").isNull(), "module").otherwise("reached")
     return changed.join(reached, "start", "left").select(F.col("start").alias("id"), "module", wide.alias("scope"), F.coalesce("tests", F.lit(0)).alias("tests"))
 

@@ -124,3 +124,26 @@ def test_best_alike_are_those_of_all_pairs(spark):
         want.setdefault(x["q"], []).append((-round(x["score"], 6), x["id"], x["shared"], x["in_title"]))
     assert {q: sorted(v)[:10] for q, v in got.items()} == {q: sorted(v)[:10] for q, v in want.items()} and len(want) == 10
     assert max(map(len, got.values())) < max(map(len, want.values()))  # few are sent on
+
+
+def test_budgets_by_name_are_those_of_edges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    declared = spark.createDataFrame([(r.randrange(120), f"N{r.randrange(40)}") for _ in range(150)] + [(None, "N1"), (3, None), (3, "unused")], "a bigint, name string")
+    used = spark.createDataFrame([(r.randrange(130), f"N{int(r.random() ** 2 * 45)}") for _ in range(700)] + [(None, "N1"), (5, None)], "b bigint, name string")
+    e = declared.join(used, "name").filter("a <> b").select("a", "b").distinct()
+    starts, keep = spark.range(140), spark.range(125).filter("id % 3 > 0")
+    want = {x: rows(op.reach(starts, e, *x).filter("depth > 0").join(keep, "id", "left_semi")) for x in ((3, 4, 30), (2, 40, 2000), (4, 2, 7))}
+    monkeypatch.setattr(walks, "LIMIT", declared.join(used, "name").filter("a <> b").distinct().count() - 1)  # the edges wouldn't fit
+    for x in want:
+        assert rows(walks.budgeted_by_name(starts, declared, used, *x, keep)) == want[x] != []
+        n = walks.budgeted_by_name(starts, declared, used, *x, keep, True)
+        assert sorted(map(tuple, n.collect())) == sorted(map(tuple, spark.createDataFrame(want[x], "start bigint, id bigint, d int").groupBy("start").agg(F.count("*")).collect()))
+    assert rows(walks.budgeted_by_name(starts, declared.limit(0), used, 3, 4, 30, keep)) == rows(walks.budgeted_by_name(starts, declared, used.limit(0), 3, 4, 30, keep)) == []
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
+def test_tests_are_selected_without_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "reference_edges", lambda s, d: pytest.fail("edges were made"))
+    assert graph.r14_test_selection(spark, D).count() > 0 and graph.g9_test_reach(spark, D).count() >= 0
