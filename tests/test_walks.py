@@ -147,3 +147,52 @@ def test_budgets_by_name_are_those_of_edges(spark, monkeypatch):
 def test_tests_are_selected_without_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "reference_edges", lambda s, d: pytest.fail("edges were made"))
     assert graph.r14_test_selection(spark, D).count() > 0 and graph.g9_test_reach(spark, D).count() >= 0
+
+
+@pytest.mark.parametrize("share", [10**6, 150])
+def test_best_linked_are_those_of_all_pairs(spark, monkeypatch, share):
+    import math
+
+    monkeypatch.setattr(walks, "SHARE", share)
+    r = random.Random(share)
+    worth = {"file": ("file", 100), "symbol": ("symbol", 100), "named": ("symbol", 85), "caller": ("caller", 60), "task": ("task", 30)}
+    ids = [f"I-{i}" for i in range(150)]
+    docs = {i: (r.choice([0, 0, 4, 12]), r.choice([5, 6, None])) for i in ids}
+    placed = {(f"w{w}", i): r.choice([0.25, 0.5, r.random()]) for i in ids for w in r.sample(range(30), 4)}
+    links = {(i, r.choice(["file", "symbol", "named", "task"]), f"N{r.randrange(6)}") for i in ids for _ in range(r.choice([0, 0, 1, 2, 3]))} | {(i, k, "N1") for i in ("I-0", "I-100") for k in ("file", "symbol")}
+    asked = {(q, "term", f"w{w}") for q in [*ids[:12], "I-900"] for w in r.sample(range(33), r.choice([1, 4]))} | {(q, k, w) for q, k, w in links if q in ids[:12:2] and k != "task"}
+    declared = {(f"N{r.randrange(10)}", f"t{r.randrange(8)}") for _ in range(6)} | {(None, "t1"), ("N1", None)}
+    used = {(f"t{r.randrange(9)}", f"N{r.randrange(10)}") for _ in range(12)} | {("t1", None)}
+    df = lambda rows, schema: spark.createDataFrame(sorted(rows, key=str), schema)
+    got = walks.best_linked(
+        df([(i, *v) for i, v in docs.items()], "id string, more bigint, updated bigint"), df([(w, i, v) for (w, i), v in placed.items()], "term string, id string, part double"), df(links, "id string, kind string, what string"),
+        df(asked, "q string, kind string, what string"), df(declared, "z string, t string"), df(used, "t string, x string"), worth, 10,
+    )
+    calls = {(z, x) for z, t in declared for u, x in used if None not in (z, t, x) and t == u and z != x}
+    order = lambda x: (-x[1], -(x[3] or 0), x[0])
+    want, found, most = {}, {}, 0
+    for q in {a[0] for a in asked}:
+        text = {i: round(sum(v for (w, j), v in placed.items() if j == i and (q, "term", w) in asked), 6) for i in ids if i != q}
+        files = {w for p, k, w in asked if p == q and k == "file"}
+        for i in text:
+            kinds = {k for k in ("file", "symbol", "named") if any((i, k, w) in links for p, l, w in asked if p == q and l == k)}
+            kinds |= {"task"} if any((i, "task", w) in links for w in files) else set()
+            kinds |= {"caller"} if any((i, k, x) in links for z, x in calls if z in files for k in ("file", "named")) else set()
+            tiers, share_of = {worth[k][0] for k in kinds}, math.floor(20 * text[i] / max(text.values()) + 0.5) if max(text.values()) else 0
+            if tiers or share_of:
+                code = 100 * (max(worth[k][1] for k in kinds) + 5 * (len(tiers) - 1)) if kinds else 0
+                want.setdefault(q, []).append((i, code + share_of + docs[i][0], len(tiers), docs[i][1]))
+    for x in got.collect():
+        found.setdefault(x["q"], []).append(tuple(x)[1:])
+        most = max(most, len(found[x["q"]]))
+    assert {q: sorted(v, key=order)[:10] for q, v in found.items()} == {q: sorted(v, key=order)[:10] for q, v in want.items()} != {}
+    assert most <= 10 * (1 if share > 150 else 4) < max(map(len, want.values()))  # few are sent on
+    assert any(t > 1 for v in want.values() for _, _, t, _ in v) and any(len([1 for x in v if x[2]]) < 10 < len(v) for v in want.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
+def test_linked_issues_are_not_paired(spark):
+    from tessera.plans import search
+
+    plan = search.q10_tiers(spark, D)._jdf.queryExecution().toString()
+    assert "Join" not in plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
