@@ -171,21 +171,33 @@ _REACHED = "rt AS (SELECT start, id, depth::BIGINT AS depth FROM seen3 WHERE dep
 @query(f"WITH {_EDGES}, {_REACH}, {_REACHED} SELECT * FROM rt")
 def g9_test_reach(s: SparkSession, d: str) -> DataFrame:
     """Test files within three steps of users of each main file, going on from 40 files over 2 000 references in each step."""
-    r = tests_reached(s, d, False)
+    starts, declared, used, tests = reach_tables(s, d)
+    r = walks.budgeted_by_name(starts, declared, used, 3, FRONTIER, REFERENCES, tests)
+    if r is None:
+        r = op.reach(starts, user_edges(s, d), 3, FRONTIER, REFERENCES).filter("depth > 0").join(tests, "id", "left_semi")
     return r.select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
-def tests_reached(s: SparkSession, d: str, counted: bool) -> DataFrame:
-    """(start, id, depth) of the test files that main files reach, or only (start, n)."""
+def reach_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Main files (id), files that declare a type's name (a, name) or use a name (b, name), test files (id)."""
     f = b.files(s, d)
-    starts, tests = f.filter("source_set = 'main'").select("id"), f.filter("source_set = 'test'").select("id")
     declared, used = type_files(s, d).withColumnRenamed("b", "a"), used_names(s, d).withColumnRenamed("a", "b")
-    r = walks.budgeted_by_name(starts, declared, used, 3, FRONTIER, REFERENCES, tests, counted)
+    return f.filter("source_set = 'main'").select("id"), declared, used, f.filter("source_set = 'test'").select("id")
+
+
+def user_edges(s: SparkSession, d: str) -> DataFrame:
+    """(a, b): file b names a type of file a."""
+    return reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def tests_reached(s: SparkSession, d: str) -> DataFrame:
+    """(start, n): how many test files are among the users of a main file and theirs, three steps up, all of them followed."""
+    starts, declared, used, tests = reach_tables(s, d)
+    r = walks.reached_by_name(starts, declared, used, 3, tests)
     if r is not None:
         return r
-    e = reference_edges(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    r = op.reach(starts, e, 3, FRONTIER, REFERENCES).filter("depth > 0").join(tests, "id", "left_semi")
-    return r.groupBy("start").agg(F.count("*").alias("n")) if counted else r
+    r = op.reach(starts, user_edges(s, d), 3).filter("depth > 0").join(tests, "id", "left_semi")
+    return r.groupBy("start").agg(F.count("*").alias("n"))
 
 
 _TOUCHES = f"{_LINKS}, tx AS (SELECT DISTINCT task, path FROM lk JOIN fl USING (doc_id) JOIN documents USING (doc_id) WHERE source = 'commit_messages' AND NOT path LIKE '%.md')"
@@ -484,11 +496,18 @@ def r8_callers_of_changed(s: SparkSession, d: str) -> DataFrame:
     return out.select("id", "mark", F.coalesce("callers", F.lit(0)).alias("callers"), F.when(F.col("mark") == "-", F.col("instead")).alias("instead"))
 
 
-@query(f"WITH {_EDGES}, {_REACH}, {_REACHED} SELECT f.id, module, CASE WHEN path LIKE '%.gradle.kts' OR path LIKE '%.kts' THEN 'everything' WHEN t.n IS NULL THEN 'module' ELSE 'reached' END AS scope, coalesce(t.n, 0) AS tests FROM f LEFT JOIN (SELECT start, count(*) AS n FROM rt GROUP BY 1) t ON t.start = f.id WHERE source_set = 'main'")
+# By names and not by edges, whose number grows with the square of a name's places.
+_ALL_REACHED = "un AS (SELECT DISTINCT file_id, name FROM n SEMI JOIN ety USING (name)), nm1 AS MATERIALIZED (SELECT target AS start, name FROM ety WHERE target IN (SELECT id FROM f WHERE source_set = 'main'))" + "".join(
+    f", nm{k} AS MATERIALIZED (SELECT DISTINCT start, ety.name FROM (SELECT DISTINCT start, file_id FROM nm{k - 1} JOIN un USING (name)) JOIN ety ON target = file_id)" for k in (2, 3)
+) + ", rt AS (SELECT DISTINCT start, file_id AS id FROM (SELECT * FROM nm1 UNION SELECT * FROM nm2 UNION SELECT * FROM nm3) JOIN (SELECT * FROM un WHERE file_id IN (SELECT id FROM f WHERE source_set = 'test')) USING (name) WHERE start <> file_id)"
+
+
+@query(f"WITH {_EDGES}, {_ALL_REACHED} SELECT f.id, module, CASE WHEN path LIKE '%.gradle.kts' OR path LIKE '%.kts' THEN 'everything' WHEN t.n IS NULL THEN 'module' ELSE 'reached' END AS scope, coalesce(t.n, 0) AS tests FROM f LEFT JOIN (SELECT start, count(*) AS n FROM rt GROUP BY 1) t ON t.start = f.id WHERE source_set = 'main'")
 def r14_test_selection(s: SparkSession, d: str) -> DataFrame:
-    """Tests to run when a main file changes: those that reach it; a build file widens to everything, a file no test reaches to its module."""
+    """Tests to run when a main file changes: all that reach it in three steps; a build file widens to everything, a file no test
+    reaches to its module."""
     changed = b.files(s, d).filter("source_set = 'main'").select(F.col("id").alias("start"), "path", "module")
-    reached = tests_reached(s, d, True).withColumnRenamed("n", "tests")
+    reached = tests_reached(s, d).withColumnRenamed("n", "tests")
     wide = F.when(F.col("path").endswith(".kts"), "everything").when(F.col("tests").isNull(), "module").otherwise("reached")
     return changed.join(reached, "start", "left").select(F.col("start").alias("id"), "module", wide.alias("scope"), F.coalesce("tests", F.lit(0)).alias("tests"))
 

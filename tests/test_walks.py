@@ -196,3 +196,34 @@ def test_linked_issues_are_not_paired(spark):
 
     plan = search.q10_tiers(spark, D)._jdf.queryExecution().toString()
     assert "Join" not in plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+
+
+def test_all_users_are_reached_by_name(spark):
+    r = random.Random(6)
+    hub = [(f"H{i}", "hub") for i in range(130)]  # more than a level of 40, 64 starts and more than one word of bits
+    declared = spark.createDataFrame([(f"M{r.randrange(120)}", f"N{r.randrange(40)}") for _ in range(150)] + [(i, f"{i}x") for i, _ in hub] + [("M0", "hub"), (None, "N1"), ("M3", None), ("M3", "unused")], "a string, name string")
+    used = spark.createDataFrame([(f"M{r.randrange(130)}", f"N{int(r.random() ** 2 * 45)}") for _ in range(60)] + hub + [(f"T{i}", f"{i}x") for i, _ in hub] + [(None, "N1"), ("M5", None)], "b string, name string")
+    e = declared.join(used, "name").filter("a <> b").select("a", "b").distinct()
+    starts = spark.createDataFrame([(f"M{i}",) for i in range(140)] + [(i,) for i, _ in hub], "id string")
+    keep = spark.createDataFrame([(f"M{i}",) for i in range(0, 125, 2)] + [(f"T{i}",) for i, _ in hub], "id string")
+    for depth in (1, 2, 3, 5):
+        want = op.reach(starts, e, depth).filter("depth > 0").join(keep, "id", "left_semi").groupBy("start").count()
+        got = dict(map(tuple, walks.reached_by_name(starts, declared, used, depth, keep).collect()))
+        assert got == dict(map(tuple, want.collect())) != {}
+        assert got.get("M0", 0) >= 130 or depth == 1
+    assert walks.reached_by_name(starts, declared.limit(0), used, 3, keep).count() == walks.reached_by_name(starts, declared, used.limit(0), 3, keep).count() == 0
+
+
+@pytest.mark.parametrize("limit", [60_000_000, 5])
+def test_no_test_of_a_file_is_dropped(spark, monkeypatch, limit):
+    n = 60  # 60 files use the first; each is used by one test, those after the 40th as well
+    files = [(0, "main")] + [(i, "main") for i in range(1, n + 1)] + [(100 + i, "test") for i in range(1, n + 1)]
+    declared = [("Core", 0)] + [(f"Part{i}", i) for i in range(1, n + 1)]
+    used = [(i, "Core") for i in range(1, n + 1)] + [(100 + i, f"Part{i}") for i in range(1, n + 1)]
+    monkeypatch.setattr(walks, "LIMIT", limit)
+    monkeypatch.setattr(graph.b, "files", lambda s, d: s.createDataFrame([(i, f"src/F{i}.kt", "m", x) for i, x in files], "id bigint, path string, module string, source_set string"))
+    monkeypatch.setattr(graph, "type_files", lambda s, d: s.createDataFrame(declared, "name string, b bigint"))
+    monkeypatch.setattr(graph, "used_names", lambda s, d: s.createDataFrame(used, "a bigint, name string"))
+    monkeypatch.setattr(graph, "reference_edges", lambda s, d: graph.used_names(s, d).join(graph.type_files(s, d), "name").selectExpr("a", "b", "1.0 AS w").filter("a <> b"))
+    got = {x["id"]: (x["scope"], x["tests"]) for x in graph.r14_test_selection(spark, "").collect()}
+    assert got == {0: ("reached", n)} | {i: ("reached", 1) for i in range(1, n + 1)}
